@@ -76,3 +76,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     low = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return low.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def by_batch(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with rows as Python lists: run takes an iterator of {column: list} and yields such dicts.
+
+    Longs and nulls stay exact, which pandas columns with nulls don't give.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(source):
+        for out in run(b.to_pydict() for b in source):
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return df.mapInArrow(batches, schema)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.llm import pack_windows, piece_codec, quality_rules, token_counts
+from gridloom.llm import ngram_join, pack_windows, personal_data, piece_codec, quality_rules, token_counts
 
-MODULES = (quality_rules, piece_codec, token_counts, pack_windows)
+MODULES = (ngram_join, quality_rules, piece_codec, token_counts, pack_windows, personal_data)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
