@@ -94,3 +94,36 @@ def by_batch(df: DataFrame, run, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(batches, schema)
+
+
+def summed_blocks(rows: DataFrame, width: str = "<u4") -> DataFrame:
+    """Rows (block int, counts binary) added up by block, in two steps so that no task reads all tasks' blocks.
+
+    A task holds one array for each of its blocks; sums stop at the largest number of the width.
+    """
+    import numpy as np
+
+    def add(source):
+        total: dict[int, np.ndarray] = {}
+        for batch in source:
+            for k, raw in zip(batch["block"], batch["counts"]):
+                more = np.frombuffer(raw, width).astype(np.uint64)
+                total[k] = total[k] + more if k in total else more
+        most = np.iinfo(width).max
+        yield {"block": list(total), "counts": [np.minimum(x, most).astype(width).tobytes() for x in total.values()]}
+
+    rows = rows.select("block", "counts").withColumn("part", F.spark_partition_id() % 16)
+    rows = by_batch(rows.repartition("block", "part").drop("part"), add, "block int, counts binary")
+    return by_batch(rows.repartition("block"), add, "block int, counts binary")
+
+
+def collected_blocks(rows: DataFrame, size: int, width: str = "<u4"):
+    """The array of size counters that summed blocks make up; its size is fixed, whatever the input."""
+    import numpy as np
+
+    out = None
+    for row in rows.toLocalIterator():
+        part = np.frombuffer(row["counts"], width)
+        out = np.zeros(size, width) if out is None else out
+        out[row["block"] * len(part) : (row["block"] + 1) * len(part)] = part
+    return np.zeros(size, width) if out is None else out

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import by_batch, components, documents, staged
+from gridloom.llm._common import by_batch, collected_blocks, components, documents, staged, summed_blocks
 
 #: Counters in each of the sketch's two rows, and in a block of them; sums are the same for any number of tasks.
 ROW, BLOCK = 1 << 21, 1 << 16
@@ -120,26 +120,6 @@ def _profile(source: Iterator[dict]) -> Iterator[dict]:
     yield {"doc_id": none, "n": none, "node": none, "block": blocks, "counts": [sketch[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes() for k in blocks]}
 
 
-def _summed(source: Iterator[dict]) -> Iterator[dict]:
-    total: dict[int, np.ndarray] = {}
-    for batch in source:
-        for k, raw in zip(batch["block"], batch["counts"]):
-            add = np.frombuffer(raw, "<u4").astype(np.uint64)
-            total[k] = total[k] + add if k in total else add
-    yield {"block": list(total), "counts": [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()]}
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The sketch of all tasks, summed by block in two steps: 2 * ROW counters reach the driver, whatever the input."""
-    rows = profile.where("block IS NOT NULL").select("block", "counts").withColumn("part", F.spark_partition_id() % 16)
-    rows = by_batch(rows.repartition("block", "part").drop("part"), _summed, "block int, counts binary")
-    rows = by_batch(rows.repartition("block"), _summed, "block int, counts binary")
-    out = np.zeros(2 * ROW, np.uint32)
-    for row in rows.toLocalIterator():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<u4")
-    return out
-
-
 _BLOB = "bucket int, token binary, top binary, reach binary, doc binary, node binary, n binary"
 #: A partner's size relative to one's own lies between 0.75 and 4 / 3; a byte holds how much of that a place allows.
 _LEAST, _SPAN = 0.75, 4 / 3 - 0.75
@@ -314,7 +294,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = staged(by_batch(docs, _profile, "doc_id bigint, n bigint, node bigint, block int, counts binary"))
     rows = profile.where("block IS NULL").select("doc_id", "n", "node")
     classes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    sketch = spark.sparkContext.broadcast(_sketch(profile))
+    sketch = spark.sparkContext.broadcast(collected_blocks(summed_blocks(profile.where("block IS NOT NULL")), 2 * ROW))
     total = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARE))
     blobs = by_batch(docs.select("text"), _prefixes(sketch, buckets), _BLOB)
