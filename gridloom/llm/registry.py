@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.llm import lm_scoring, ngram_join, pack_windows, personal_data, piece_codec, quality_rules, token_counts, toxicity
+from gridloom.llm import line_dedup, lm_scoring, ngram_join, pack_windows, personal_data, piece_codec, quality_rules, token_counts, toxicity
 
-MODULES = (ngram_join, quality_rules, toxicity, lm_scoring, piece_codec, token_counts, pack_windows, personal_data)
+MODULES = (ngram_join, quality_rules, line_dedup, toxicity, lm_scoring, piece_codec, token_counts, pack_windows, personal_data)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
