@@ -11,14 +11,17 @@ _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def votes(term: Column, word: int = 0, weight: Column | None = None) -> list[Column]:
-    """Sums over terms of their hash bits: 32 longs of two 32-bit lanes, bit j low and bit j + 32 high.
+def votes(terms: list[tuple[str, int]], word: int = 0) -> list[Column]:
+    """Sums over rows of weighted hash bits: 32 longs of two 32-bit lanes, bit j low and bit j + 32 high.
 
-    Votes of a fingerprint must stay below 2 ** 31 in all. word chooses another 64 bits of the hash.
+    terms are columns of 64-bit hashes, 0 where there is no term, with their weights. All votes for a bit
+    must stay below 2 ** 32.
     """
-    h = F.xxhash64(F.lit(word), term) if word else F.xxhash64(term)
-    bits = [F.shiftright(h, j).bitwiseAND(F.lit(_LANES)) if j else h.bitwiseAND(F.lit(_LANES)) for j in range(32)]
-    return [F.sum(b if weight is None else b * weight).alias(f"v{word}_{j}") for j, b in enumerate(bits)]
+    out = []
+    for j in range(32):
+        lanes = [F.shiftrightunsigned(name, j).bitwiseAND(F.lit(_LANES)) * F.lit(weight).cast("long") for name, weight in terms]
+        out.append(F.sum(sum(lanes[1:], lanes[0])).alias(f"v{word}_{j}"))
+    return out
 
 
 def fingerprint(total: str, word: int = 0) -> Column:
