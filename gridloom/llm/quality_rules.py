@@ -97,7 +97,9 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": _covered("__h", "n_words"),
     })
     bits = " | ".join(f"CASE WHEN {rule.fails} THEN {BIT[rule.name]}L ELSE 0L END" for rule in RULES)
-    return out.withColumn("fail_bits", F.expr(bits)).drop("__t", "__w", "__l", "__h")
+    out = out.withColumn("fail_bits", F.expr(bits))
+    # a generator stops filters on the ledger: pushed further down they would repeat every measurement
+    return out.select(*df.columns, F.explode(F.array(F.struct(*made))).alias("__m")).select(*df.columns, "__m.*")
 
 
 def apply_policy(ledgered: DataFrame, policy: str = "v2") -> DataFrame:
