@@ -11,15 +11,15 @@ _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def votes(terms: list[tuple[str, int]], word: int = 0) -> list[Column]:
+def votes(terms: list[tuple[str, int | str]], word: int = 0) -> list[Column]:
     """Sums over rows of weighted hash bits: 32 longs of two 32-bit lanes, bit j low and bit j + 32 high.
 
-    terms are columns of 64-bit hashes, 0 where there is no term, with their weights. All votes for a bit
-    must stay below 2 ** 32.
+    terms are columns of 64-bit hashes, 0 where there is no term, with their weights, numbers or columns of
+    longs. All votes for a bit must stay below 2 ** 32.
     """
     out = []
     for j in range(32):
-        lanes = [F.shiftrightunsigned(name, j).bitwiseAND(F.lit(_LANES)) * F.lit(weight).cast("long") for name, weight in terms]
+        lanes = [F.shiftrightunsigned(name, j).bitwiseAND(F.lit(_LANES)) * (F.col(w) if isinstance(w, str) else F.lit(w).cast("long")) for name, w in terms]
         out.append(F.sum(sum(lanes[1:], lanes[0])).alias(f"v{word}_{j}"))
     return out
 
