@@ -29,6 +29,8 @@ from gridloom.llm._common import by_batch, collected_blocks, components, documen
 ROW, BLOCK = 1 << 21, 1 << 16
 #: Prefix entries for a task that sorts them.
 SHARE = 500_000
+#: Rounds in which classes that meet are tried with one hub of their shingle, before they are tried with each other.
+HUB_ROUNDS = 2
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _STEP = np.uint64(0x100000001B3 * 2 + 1)
 
@@ -302,19 +304,31 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = staged(by_batch(groups, _with_smallest, _PAIR).distinct())
     edges = _verify(pairs, classes, docs, sketch, percent)
     named = staged(components(edges))
-    # groups of classes that are not yet connected: those of different components are tried with each other
+    # groups of classes that are not yet connected: first with the hubs of their shingles, then, where
+    # different components still meet, with each other
     large = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id())
-    members = staged(large).select("g", F.explode(F.arrays_zip("nodes", "sizes", "reach")).alias("m")).select("g", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.reach").alias("reach"))
-    members = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    members = staged(members.join(split, "g"))
-    left, right = members.alias("l"), members.alias("r")
-    apart = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.component") < F.col("r.component")) & (F.col("l.n") <= F.col("r.reach")) & (F.col("r.n") <= F.col("l.reach")))
-    apart = apart.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    more = staged(apart.join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        edges = edges.unionByName(_verify(more, classes, docs, sketch, percent))
-        named = staged(components(edges))
+    members = staged(large).select("g", F.size("nodes").alias("k"), F.explode(F.arrays_zip("nodes", "sizes", "reach")).alias("m")).select("g", "k", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.reach").alias("reach"))
+    # an original meets its copies on more shingles than they meet each other: the likeliest hub
+    central = members.groupBy("node").agg(F.sum("k").alias("central"))
+    members = staged(members.join(central, "node").select("g", "node", "n", "reach", "central"))
+    hub_of = [F.struct("central", "node", "n", "reach", "component"), *[F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "reach", "component") for k in range(HUB_ROUNDS - 1)]]
+    for hub in [*hub_of, None]:
+        of = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = of.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(hub if hub is not None else F.struct("node")).alias("hub")).where("low <> high").select("g", "hub")
+        of = staged(of.join(split, "g"))
+        members = of.select("g", "node", "n", "reach", "central")
+        if hub is not None:
+            meet = of.where((F.col("component") != F.col("hub.component")) & (F.col("n") <= F.col("hub.reach")) & (F.col("hub.n") <= F.col("reach")))
+            meet = meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        else:
+            left, right = of.drop("hub").alias("l"), of.drop("hub").alias("r")
+            meet = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.component") < F.col("r.component")) & (F.col("l.n") <= F.col("r.reach")) & (F.col("r.n") <= F.col("l.reach")))
+            meet = meet.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+        more = staged(meet.distinct().join(pairs, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            edges = edges.unionByName(_verify(more, classes, docs, sketch, percent))
+            pairs = pairs.unionByName(more)
+            named = staged(components(edges))
     of = classes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = staged(of.join(least, "component").select("node", "component_id"))
