@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gridloom.plans import catalog
@@ -10,7 +11,7 @@ from gridloom.plans import catalog
 
 def rows(frame):
     def plain(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         if isinstance(x, str):
             return x
