@@ -18,10 +18,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import documents
+from gridloom.llm._common import by_batch, documents
 
 #: Bounds of a worker's memory: ids in a pool of rests, cached words.
 POOL_IDS, WORDS = 8_000_000, 700_000
@@ -170,7 +169,9 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1
     partition times 2 ** 33 plus a count. window must be a power of two.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    def run(source: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         encode = _tokenizers.get(tokenizer_file) or _tokenizers.setdefault(tokenizer_file, WordTokenizer(tokenizer_file))
@@ -181,7 +182,7 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1
 
         def piece(key, start, ids, tokens, at):
             row = (key, start, len(ids), zlib.crc32(ids.tobytes()), tokens, sequence, at)
-            rows.append((*row, ids.astype("int64")) if with_ids else row)
+            rows.append((*row, ids.tolist()) if with_ids else row)
 
         def settle():
             nonlocal sequence, waiting
@@ -195,17 +196,15 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1
             pool.clear()
             waiting = 0
 
-        def frame():
-            out = pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
-            out["id"] = out["id"].astype("object" if out["id"].isna().any() else out["id"].dtype)
+        def made():
+            out = dict(zip(names, map(list, zip(*rows))))
             rows.clear()
             return out
 
-        for batch in batches:
-            keys = batch["id"].tolist()
+        for batch in source:
             texts = [t or "" for t in batch["text"]]
             for low in range(0, len(texts), 256):
-                for key, ids in zip(keys[low : low + 256], encode(texts[low : low + 256])):
+                for key, ids in zip(batch["id"][low : low + 256], encode(texts[low : low + 256])):
                     ids = np.concatenate([ids, end])
                     whole = len(ids) // window * window
                     for start in range(0, whole, window):
@@ -217,15 +216,14 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1
                     if waiting >= POOL_IDS:
                         settle()
             if rows:
-                yield frame()
+                yield made()
         settle()
         if rows:
-            yield frame()
+            yield made()
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInPandas(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids)
-    return out.withColumnRenamed("id", id_col)
+    return by_batch(source, run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * with_ids).withColumnRenamed("id", id_col)
 
 
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,9 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import documents
+from gridloom.llm._common import by_batch, documents
 from gridloom.llm._pieces import BAR, Pieces, segments, spelled
 
 #: Bounds of a worker's memory: cached segments, and cached pairs of pieces. Beyond them a cache starts anew.
@@ -186,24 +185,25 @@ def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
     shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
+
+    def run(source: Iterator[dict]) -> Iterator[dict]:
         own = codec(model_file)
         begin, end = (np.array([i], "<u4").tobytes() for i in (own.pieces.bos, own.pieces.eos))
-        for batch in batches:
-            rows = []
+        for batch in source:
+            out = {name: [] for name in names}
             for text in batch["text"]:
                 ids = begin + own.encode(text or "") + end
                 n = np.frombuffer(ids, "<u4")
                 back = own.decode(n)
-                rows.append((len(n), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), *((n.astype("int64"), back.decode()) if texts else ())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if texts else ())])
-            out.insert(0, "id", batch["id"].array)
-            yield out
+                row = (len(n), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), *((n.tolist(), back.decode()) if texts else ()))
+                for name, value in zip(names, row):
+                    out[name].append(value)
+            yield {"id": batch["id"], **out}
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInPandas(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * texts)
-    return out.withColumnRenamed("id", id_col)
+    return by_batch(source, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * texts).withColumnRenamed("id", id_col)
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._common import documents
+from gridloom.llm._common import by_batch, documents
 from gridloom.llm._pieces import Pieces, segments, spelled
 
 #: Bounds of a worker's memory: cached segments, symbols merged at a time.
@@ -101,16 +100,16 @@ def token_counts(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
     rows, null ids and other columns of any name don't matter; an empty table gives none. Needs no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(source: Iterator[dict]) -> Iterator[dict]:
         own = _mergers.get(model_file) or _mergers.setdefault(model_file, RaggedMerger(model_file))
-        for batch in batches:
+        for batch in source:
             texts = [t or "" for t in batch["text"]]
             counts = [n for k in range(0, len(texts), at_once) for n in own.count(texts[k : k + at_once])]
-            yield pd.DataFrame({"id": batch["id"].array, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]})
+            yield {"id": batch["id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return by_batch(source, run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

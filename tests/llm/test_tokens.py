@@ -43,16 +43,20 @@ def test_words_equal_the_library():
         assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+#: An id that a double can't hold.
+ID = (1 << 60) + 1
+
+
 def odd(spark):
-    return spark.createDataFrame([(1 << 60, "a b", 1), (1 << 60, "a b", 1), (None, None, None), (2, "", 2), (3, "word " * 5000, 3)], "doc_id long, text string, n_tokens int")
+    return spark.createDataFrame([(ID, "a b", 1), (ID, "a b", 1), (None, None, None), (2, "", 2), (3, "word " * 5000, 3)], "doc_id long, text string, n_tokens int")
 
 
 def test_odd_rows(spark):
     got = encode_decode(odd(spark), MODEL, texts=True).collect()
-    assert sorted((r.doc_id or 0, r.decoded[:3]) for r in got) == [(0, ""), (2, ""), (3, "wor"), (1 << 60, "a b"), (1 << 60, "a b")]
+    assert sorted((r.doc_id or 0, r.decoded[:3]) for r in got) == [(0, ""), (2, ""), (3, "wor"), (ID, "a b"), (ID, "a b")]
     assert all(hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in got)
     counts = {(r.doc_id, r.n_bytes, r.over_limit) for r in token_counts(odd(spark), MODEL).collect()}
-    assert counts == {(1 << 60, 3, False), (None, 0, False), (2, 0, False), (3, 25000, True)}
+    assert counts == {(ID, 3, False), (None, 0, False), (2, 0, False), (3, 25000, True)}
     assert encode_decode(odd(spark).limit(0), MODEL).count() == token_counts(odd(spark).limit(0), MODEL).count() == 0
 
 
