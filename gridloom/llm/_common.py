@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,11 @@ def by_batch(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(batches, schema)
 
 
+def packed(counts, width: str = "<u4") -> bytes:
+    """A block of counters, compressed: a task's are mostly small or zero."""
+    return zlib.compress(counts.astype(width).tobytes(), 1)
+
+
 def summed_blocks(rows: DataFrame, width: str = "<u4") -> DataFrame:
     """Rows (block int, counts binary) added up by block, in two steps so that no task reads all tasks' blocks.
 
@@ -107,10 +113,10 @@ def summed_blocks(rows: DataFrame, width: str = "<u4") -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for batch in source:
             for k, raw in zip(batch["block"], batch["counts"]):
-                more = np.frombuffer(raw, width).astype(np.uint64)
+                more = np.frombuffer(zlib.decompress(raw), width).astype(np.uint64)
                 total[k] = total[k] + more if k in total else more
         most = np.iinfo(width).max
-        yield {"block": list(total), "counts": [np.minimum(x, most).astype(width).tobytes() for x in total.values()]}
+        yield {"block": list(total), "counts": [packed(np.minimum(x, most), width) for x in total.values()]}
 
     rows = rows.select("block", "counts").withColumn("part", F.spark_partition_id() % 16)
     rows = by_batch(rows.repartition("block", "part").drop("part"), add, "block int, counts binary")
@@ -123,7 +129,7 @@ def collected_blocks(rows: DataFrame, size: int, width: str = "<u4"):
 
     out = None
     for row in rows.toLocalIterator():
-        part = np.frombuffer(row["counts"], width)
+        part = np.frombuffer(zlib.decompress(row["counts"]), width)
         out = np.zeros(size, width) if out is None else out
         out[row["block"] * len(part) : (row["block"] + 1) * len(part)] = part
     return np.zeros(size, width) if out is None else out

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import by_batch, collected_blocks, components, documents, staged, summed_blocks
+from gridloom.llm._common import by_batch, collected_blocks, components, documents, packed, staged, summed_blocks
 
 #: Counters in each of the sketch's two rows, and in a block of them; sums are the same for any number of tasks.
 ROW, BLOCK = 1 << 21, 1 << 16
@@ -119,7 +119,7 @@ def _profile(source: Iterator[dict]) -> Iterator[dict]:
         add()
     blocks = [k for k in range(2 * ROW // BLOCK) if sketch[k * BLOCK : (k + 1) * BLOCK].any()]
     none = [None] * len(blocks)
-    yield {"doc_id": none, "n": none, "node": none, "block": blocks, "counts": [sketch[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes() for k in blocks]}
+    yield {"doc_id": none, "n": none, "node": none, "block": blocks, "counts": [packed(sketch[k * BLOCK : (k + 1) * BLOCK]) for k in blocks]}
 
 
 _BLOB = "bucket int, token binary, top binary, reach binary, doc binary, node binary, n binary"
