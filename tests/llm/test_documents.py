@@ -206,3 +206,24 @@ def test_lm_scoring_prefers_the_target(spark):
     odd, even = ([x.score for x in got if x.doc_id is not None and x.doc_id < 60 and x.n_tokens == 200 and x.doc_id % 2 == k] for k in (1, 0))
     assert max(odd) < min(even) and all(math.isfinite(x.score) for x in got)
     assert {x.n_tokens for x in got if x.doc_id in (98, 99)} == {0}
+
+
+def test_line_groups_equal_brute_force_over_all_pairs(spark):
+    r = random.Random(21)
+
+    def typo(line, n):
+        for _ in range(n):
+            k = r.randrange(len(line))
+            line = r.choice([line[:k] + r.choice("qxz ") + line[k + 1 :], line[:k] + line[k + 1 :], line[:k] + r.choice("qxz") + line[k:]])
+        return line
+
+    lines = [prose(n, r) for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 15, 16, 20, 30, 60) for _ in range(3)]
+    lines += [typo(x, max(1, round(len(x) * share))) for x in lines for share in (0.0, 0.03, 0.06, 0.09, 0.1, 0.12)]
+    evenly = lambda x, n: "".join("q" if k % n == n - 1 else c for k, c in enumerate(x))
+    lines += [evenly(x, n) for x in lines[:42] for n in (10, 11)]
+    norms = [" ".join(re.findall(r"[a-z0-9]+", x.lower())) for x in lines]
+    links = [(a, b) for a in range(len(norms)) for b in range(a) if abs(len(norms[a]) - len(norms[b])) * 10 <= max(len(norms[a]), len(norms[b])) and levenshtein(norms[a], norms[b]) <= max(len(norms[a]), len(norms[b])) // 10]
+    of = groups(len(lines), links)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {row.doc_id for row in line_dedup.duplicate_lines(df).collect()}
+    assert got == {k for k in range(len(lines)) if of[k] != k}
