@@ -227,3 +227,13 @@ def test_line_groups_equal_brute_force_over_all_pairs(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {row.doc_id for row in line_dedup.duplicate_lines(df).collect()}
     assert got == {k for k in range(len(lines)) if of[k] != k}
+
+
+def test_long_lines_may_differ_in_a_tenth(spark):
+    r = random.Random(22)
+    line = prose(500, r)
+    edits = lambda share: "".join("q" if r.random() < share else c for c in line)
+    rows = [(1, line), (2, edits(0.085)), (3, prose(500, r))]
+    assert len(line) > 2500 and sum(a != b for a, b in zip(line, rows[1][1])) > 200
+    got = {x.doc_id: list(x.lines) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [0]}
