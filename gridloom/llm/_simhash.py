@@ -15,7 +15,7 @@ def votes(terms: list[tuple[str, int | str]], word: int = 0) -> list[Column]:
     """Sums over rows of weighted hash bits: 32 longs of two 32-bit lanes, bit j low and bit j + 32 high.
 
     terms are columns of 64-bit hashes, 0 where there is no term, with their weights, numbers or columns of
-    longs. All votes for a bit must stay below 2 ** 32.
+    longs. All votes for a bit must stay below 2 ** 31.
     """
     out = []
     for j in range(32):

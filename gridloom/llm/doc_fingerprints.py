@@ -2,8 +2,8 @@
 within a Hamming radius.
 
 Only DataFrame functions. Terms are words and pairs of words; each votes with its weight on 128 signed bits.
-Words are exploded only into a partial aggregation by text, so what is shuffled is a row of vote sums for
-each text, never its words. A search compares only fingerprints that share a block key: equal fingerprints
+Words are exploded only into a partial aggregation by row, so what is shuffled is a row of vote sums for
+each row, never its words. A search compares only fingerprints that share a block key: equal fingerprints
 are one row, and each key is hashed from enough bits to stay selective at any size.
 """
 
@@ -29,19 +29,20 @@ def fingerprints(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, fp0, fp1): the 128-bit SimHash of the text of each value of the column key, as two longs.
 
     Terms are lower-cased words and adjacent pairs of them, each as often as it comes. Texts without words
-    and null texts have the fingerprint 0. Rows that share a key are taken together; repeated rows change
-    nothing, for all votes grow alike. A null key is a key.
+    and null texts have the fingerprint 0. Rows that share a key have the same text, such as rows with its
+    hash; each votes by itself, so votes don't grow with the number of copies. A null key is a key.
     """
     clean = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = df.select(key, F.filter(F.split(clean, SPACE + "+"), lambda x: x != "").alias("__w"))
-    hashes = words.select(key, F.transform("__w", lambda x: F.xxhash64(x)).alias("__w"))
-    terms = hashes.select(key, "__w", F.posexplode_outer("__w").alias("__i", "__x")).select(key, "__x", F.get("__w", F.col("__i") - 1).alias("__y"))
+    words = df.select(key, F.monotonically_increasing_id().alias("__row"), F.filter(F.split(clean, SPACE + "+"), lambda x: x != "").alias("__w"))
+    hashes = words.select(key, "__row", F.transform("__w", lambda x: F.xxhash64(x)).alias("__w"))
+    terms = hashes.select(key, "__row", "__w", F.posexplode_outer("__w").alias("__i", "__x")).select(key, "__row", "__x", F.get("__w", F.col("__i") - 1).alias("__y"))
     pair = lambda seed: F.when(F.col("__y").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), "__y", "__x"))
     single = lambda seed: F.when(F.col("__x").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), "__x"))
-    terms = terms.select(key, single(1).alias("s0"), single(2).alias("s1"), pair(3).alias("p0"), pair(4).alias("p1"), (F.when(F.col("__x").isNull(), 0).otherwise(SINGLE) + F.when(F.col("__y").isNull(), 0).otherwise(PAIR)).alias("weight"))
+    terms = terms.select(key, "__row", single(1).alias("s0"), single(2).alias("s1"), pair(3).alias("p0"), pair(4).alias("p1"), (F.when(F.col("__x").isNull(), 0).otherwise(SINGLE) + F.when(F.col("__y").isNull(), 0).otherwise(PAIR)).alias("weight"))
     sums = [v for word in (0, 1) for v in votes([(f"s{word}", SINGLE), (f"p{word}", PAIR)], word)]
-    summed = terms.groupBy(key).agg(F.sum("weight").alias("total"), *sums)
-    return summed.select(key, *[fingerprint("total", word).alias(f"fp{word}") for word in (0, 1)])
+    summed = terms.groupBy(key, "__row").agg(F.sum("weight").alias("total"), *sums)
+    prints = summed.select(key, *[fingerprint("total", word).alias(f"fp{word}") for word in (0, 1)])
+    return prints.groupBy(key).agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"))
 
 
 def likeness(left: list[str], right: list[str]) -> Column:

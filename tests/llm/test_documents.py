@@ -237,3 +237,10 @@ def test_long_lines_may_differ_in_a_tenth(spark):
     assert len(line) > 2500 and sum(a != b for a, b in zip(line, rows[1][1])) > 200
     got = {x.doc_id: list(x.lines) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: [0]}
+
+
+def test_copies_of_a_text_do_not_add_up_votes(spark, monkeypatch):
+    monkeypatch.setattr(doc_fingerprints, "PAIR", 1 << 27)
+    text = "one two three four five"
+    prints = lambda n: [tuple(x) for x in doc_fingerprints.fingerprints(spark.createDataFrame([("k", text)] * n, "k string, text string"), "k").collect()]
+    assert prints(200) == prints(1)
