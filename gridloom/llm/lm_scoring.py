@@ -1,128 +1,110 @@
 """Cross-entropy difference: a target model and a background model with one vocabulary, and for each
 document the mean over its tokens of the target's loss less the background's (low: like the target).
 
-Tokens are lower-cased words. The vocabulary is every word that makes up at least one in a million tokens
-of the background (all documents), which by itself bounds its size; other words are one token. Both models
-are bigrams smoothed by their unigrams, with counts over all documents in hashed tables of fixed size, so
-they are broadcast whatever the corpus measures.
+Tokens are lower-cased words. The vocabulary is every word that comes at least twice in the background (all
+documents); other words are one token. Both models are bigrams smoothed by their unigrams. Words are 64-bit
+hashes; their counts and those of pairs are exact and stay in tables that grow with the corpus: documents
+meet them in joins, and nothing of them reaches the driver but totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import by_batch, collected_blocks, documents, packed, summed_blocks
+from gridloom.llm._common import by_batch, documents, staged
 
-#: Counters for words and for pairs of words; counters in a block.
-WORDS, PAIRS, BLOCK = 1 << 21, 1 << 22, 1 << 16
-#: Share of the background's tokens that a word of the vocabulary has, and its least count.
-SHARE, LEAST = 1e-6, 2
+#: The least count of a word of the vocabulary.
+LEAST = 2
 #: Weight of the unigram estimate in the bigram's, and of the uniform one in the unigram's, in tokens.
 KAPPA, ALPHA = 20.0, 0.5
-_P = np.uint64(0x9E3779B97F4A7C15)
 #: The tokens of all words outside the vocabulary, and of the start of a text.
 _OTHER, _START = 0, 1
 
 
-def _words(text: str | None) -> np.ndarray:
-    """Places of a text's words in the table of words; 0 and 1 are kept for _OTHER and _START."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return (h % np.uint64(WORDS - 2)).astype(np.int64) + 2
-
-
-def _tokens(text: str | None, known: np.ndarray) -> np.ndarray:
-    at = _words(text)
-    return np.where(known[at], at, _OTHER)
-
-
-def _pairs(tokens: np.ndarray) -> np.ndarray:
-    before = np.r_[_START, tokens[:-1]].astype(np.uint64) if len(tokens) else tokens.astype(np.uint64)
-    h = (before * np.uint64(WORDS) + tokens.astype(np.uint64)) * _P
-    return ((h ^ (h >> np.uint64(29))) * _P >> np.uint64(64 - 22)).astype(np.int64)
-
-
-def _blocks(counts: np.ndarray) -> dict:
-    """The blocks of an array of counters that are not all zero, as a batch of rows."""
-    parts = counts.reshape(-1, BLOCK)
-    some = np.flatnonzero(parts.any(axis=1)).tolist()
-    return {"block": some, "counts": [packed(parts[k], "<u8") for k in some]}
-
-
-def _count(df: DataFrame, size: int, add) -> np.ndarray:
-    """size counters over all rows of df; add(counters, batch of rows) counts a batch."""
+def _pairs(df: DataFrame) -> DataFrame:
+    """A row (u, v) for each token of the column text, with the token before it, and df's other columns; a text
+    without tokens has one row of nulls."""
+    kept = [f for f in df.schema.fields if f.name != "text"]
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
-        counts = np.zeros(size, np.int64)
+        import pyarrow as pa
+        import xxhash
+
         for batch in source:
-            add(counts, batch)
-        yield _blocks(counts)
+            found, sizes = [], []
+            for text in batch["text"]:
+                words = (text or "").encode().lower().split()
+                found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64))
+                sizes.append(max(1, len(words)))
+            none = np.concatenate([np.full(max(1, len(x)), not len(x)) for x in found] or [np.zeros(0, bool)])
+            after = np.concatenate([x if len(x) else [_OTHER] for x in found] or [[]]).astype(np.int64)
+            before = np.r_[_START, after[:-1]].astype(np.int64)[: len(after)]
+            before[np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = _START
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            out = {f.name: pa.array(batch[f.name], kinds.field(f.name).type).take(pa.array(rows)) for f in kept}
+            yield out | {"u": pa.array(before, mask=none), "v": pa.array(after, mask=none)}
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(df.schema)
+    return by_batch(df, run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "u bigint", "v bigint"]))
+
+
+def _within(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs (u, v, ...) with their tokens mu and mv: the words themselves where they are known, or else _OTHER,
+    and the counts of these tokens, null for _OTHER and _START."""
+    for c in ("u", "v"):
+        named = known.select(F.col("word").alias(c), F.lit(True).alias("found"), F.col("b").alias(f"{c}_b"), F.col("t").alias(f"{c}_t"))
+        token = F.when(F.col("found") | (F.col(c) == _START), F.col(c)).otherwise(F.lit(_OTHER).cast("long"))
+        pairs = pairs.join(named, c, "left").withColumn(f"m{c}", token).drop("found")
+    return pairs
+
+
+@dataclass
+class Model:
+    """The two models: known words with their counts in the background and the target (word, b, t), pairs of
+    tokens with theirs (mu, mv, b, t), and of both models the tokens, those outside the vocabulary and the texts."""
 
-    return collected_blocks(summed_blocks(by_batch(df, run, "block int, counts binary"), "<u8"), size, "<u8").astype(np.float64)
+    known: DataFrame
+    pairs: DataFrame
+    words: int
+    totals: dict[str, float]
+    others: dict[str, float]
+    texts: dict[str, float]
 
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """pairs (u, v), each once, with their losses under the background (b) and the target (t), in nats."""
+        rows = _within(pairs, self.known).join(self.pairs.select("mu", "mv", F.col("b").alias("n_b"), F.col("t").alias("n_t")), ["mu", "mv"], "left")
 
-class Model:
-    """The two models: counts of words and pairs under one vocabulary."""
-
-    def __init__(self, known: np.ndarray, counts: np.ndarray):
-        size = WORDS + PAIRS
-        self.known, self.words = known, int(known.sum()) + 1
-        self.background, self.target = counts[:size].astype(np.float32), counts[size:].astype(np.float32)
-        # the start token is no word of a text, so it is kept out of the totals
-        self.totals = [float(c[:WORDS].sum(dtype=np.float64) - c[_START]) for c in (self.target, self.background)]
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Tokens of a text and its mean loss under the target and the background, in nats; 0 for no tokens."""
-        tokens = _tokens(text, self.known)
-        if not len(tokens):
-            return 0, 0.0, 0.0
-        pairs, before = _pairs(tokens), np.r_[_START, tokens[:-1]]
-        out = []
-        for counts, total in zip((self.target, self.background), self.totals):
-            one = (counts[tokens] + ALPHA) / (total + ALPHA * self.words)
-            two = (np.minimum(counts[WORDS + pairs], counts[before]) + KAPPA * one) / (counts[before] + KAPPA)
-            out.append(float(-np.log(two).mean(dtype=np.float64)))
-        return len(tokens), out[0], out[1]
+        def loss(m: str) -> Column:
+            of = lambda c: F.when(F.col(f"m{c}") == _START, self.texts[m]).when(F.col(f"m{c}") == _OTHER, self.others[m]).otherwise(F.col(f"{c}_{m}").cast("double"))
+            one = (of("v") + ALPHA) / F.lit(self.totals[m] + ALPHA * self.words)
+            return -F.log((F.coalesce(F.col(f"n_{m}"), F.lit(0)) + KAPPA * one) / (of("u") + KAPPA))
+
+        return rows.select("u", "v", loss("b").alias("b"), loss("t").alias("t"))
 
 
 def train(docs: DataFrame, target: DataFrame) -> Model:
     """Models from docs (doc_id, text), the background, and those of them whose doc_id is in target.
 
-    Two passes: words of all documents give the vocabulary, then pairs are counted under it. Target ids
-    that repeat count once; null texts add nothing.
+    Pairs are counted once as they are; words and pairs of tokens are sums of these counts. Target ids that
+    repeat count once; null texts add nothing.
     """
-
-    def words(counts, batch):
-        counts += np.bincount(np.concatenate([_words(t) for t in batch["text"]] or [[]]).astype(np.int64), minlength=WORDS)
-
-    counts = _count(docs.select("text"), WORDS, words)
-    known = counts >= max(LEAST, SHARE * counts.sum())
-    known[[_OTHER, _START]] = False
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    size = WORDS + PAIRS
-
-    def pairs(counts, batch):
-        flat = {False: [], True: []}
-        for text, mark in zip(batch["text"], batch["target"]):
-            tokens = _tokens(text, sent.value)
-            if len(tokens):
-                flat[bool(mark)].append(np.concatenate([tokens, [_START], _pairs(tokens) + WORDS]))
-        for mark, found in flat.items():
-            if found:
-                more = np.bincount(np.concatenate(found), minlength=size)
-                counts[:size] += more
-                if mark:
-                    counts[size:] += more
-
-    marked = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    joined = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", "target")
-    return Model(known, _count(joined, 2 * size, pairs))
+    marked = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1))
+    joined = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
+    counts = lambda rows, *by: rows.groupBy(*by).agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    raw = _pairs(joined).where("u IS NOT NULL").groupBy("u", "v").agg(F.count("*").alias("b"), F.sum("target").alias("t"))
+    raw = staged(raw)
+    known = staged(counts(raw, F.col("v").alias("word")).where(F.col("b") >= LEAST))
+    sums = lambda rows: {m: float(n or 0) for m, n in rows.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first().asDict().items()}
+    totals, inside, texts = sums(raw), sums(known), sums(raw.where(F.col("u") == _START))
+    pairs = staged(counts(_within(raw, known), "mu", "mv"))
+    return Model(known, pairs, known.count() + 1, totals, {m: totals[m] - inside[m] for m in totals}, texts)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,17 +113,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no tokens and zeros. Rows are scored each by itself, so repeated rows, ties,
     null ids and other columns don't matter.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(source: Iterator[dict]) -> Iterator[dict]:
-        own = sent.value
-        for batch in source:
-            rows = [own.losses(t) for t in batch["text"]]
-            yield {"id": batch["id"], "n_tokens": [n for n, _, _ in rows], "target_loss": [t for _, t, _ in rows], "background_loss": [b for _, _, b in rows], "score": [t - b for _, t, b in rows]}
-
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return by_batch(source, run, f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    distinct = _pairs(source.select("text")).where("u IS NOT NULL").distinct()
+    losses = staged(model.losses(distinct))
+    rows = _pairs(source.withColumn("row", F.monotonically_increasing_id())).join(losses, ["u", "v"], "left")
+    out = rows.groupBy("row", "id").agg(F.count("u").alias("n_tokens"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"{name}_loss") for m, name in (("t", "target"), ("b", "background"))])
+    return out.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

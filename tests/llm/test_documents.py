@@ -244,3 +244,27 @@ def test_copies_of_a_text_do_not_add_up_votes(spark, monkeypatch):
     text = "one two three four five"
     prints = lambda n: [tuple(x) for x in doc_fingerprints.fingerprints(spark.createDataFrame([("k", text)] * n, "k string, text string"), "k").collect()]
     assert prints(200) == prints(1)
+
+
+def test_lm_scoring_equals_exact_counts(spark):
+    from collections import Counter
+
+    r = random.Random(31)
+    words = [f"w{k}" for k in range(20000)] * 2
+    r.shuffle(words)
+    texts = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)] + ["once only", "w1 W2 w1 w2 new"]
+    good = set(range(0, 40))
+    known = {w for w, n in Counter(w for t in texts for w in t.lower().split()).items() if n >= lm_scoring.LEAST}
+    tokens = [[w if w in known else None for w in t.lower().split()] for t in texts]
+    want = [[] for _ in texts]
+    for chosen in (good, range(len(texts))):
+        one = Counter(w for k in chosen for w in tokens[k])
+        total, two = sum(one.values()), Counter(p for k in chosen for p in zip(["<s>", *tokens[k]], tokens[k]))
+        one["<s>"] = len(chosen)
+        for k, own in enumerate(tokens):
+            base = lambda w: (one[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * (len(known) + 1))  # noqa: B023, E731
+            want[k].append(np.mean([-math.log((two[a, b] + lm_scoring.KAPPA * base(b)) / (one[a] + lm_scoring.KAPPA)) for a, b in zip(["<s>", *own], own)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_scoring.score(docs, lm_scoring.train(docs, spark.createDataFrame([(k,) for k in good], "doc_id long"))).collect()}
+    for k, (t, b) in enumerate(want):
+        assert got[k].n_tokens == len(tokens[k]) and math.isclose(got[k].target_loss, t, rel_tol=1e-6) and math.isclose(got[k].background_loss, b, rel_tol=1e-6)
