@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -18,12 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and
+    driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
     return context.getCheckpointDir()
 
@@ -38,13 +43,51 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_gridloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_gridloom_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Staged tables with an owner: with Scratch() as stage, stage(df) stages df, and at the end every table
+    goes but those in stage.kept, which a result still reads."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = staged(df)
+        self.tables.append(out)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A staged table that outlives this scope."""
+        out = self(df)
+        self.kept.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """These tables go, and with them the shuffle files of what has been written: the driver's collector
+        finds the finished plans, and Spark's cleaner deletes their files."""
+        unstage(*tables)
+        gone = {id(df) for df in tables}
+        self.tables = [df for df in self.tables if id(df) not in gone]
+        if tables:
+            gc.collect()
+            tables[0].sparkSession._jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        kept = {id(df) for df in self.kept}
+        self.drop(*[df for df in self.tables if id(df) not in kept])
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -57,26 +100,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps: each is a partial minimum by node and an equi-join on
     the node, so a hub of any degree is split by adaptive skew joins and never gathered in one group.
-    Every round is written to the shared folder. Nodes without links do not appear; null ids are ignored.
+    Every round is written to the shared folder, and so is the result, which the caller deletes. Nodes
+    without links do not appear; null ids are ignored.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = staged(start)
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = staged(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = staged(small)
-        unstage(now)
-        unstage(large)
-        now, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
-    low = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return low.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    with Scratch() as stage:
+        now = stage(start)
+        mark = _mark(now)
+        while mark[0]:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            after = stage(small)
+            stage.drop(now, large)
+            now, before, mark = after, mark, _mark(after)
+            if mark == before:
+                break
+        low = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return stage.keep(low.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")))
 
 
 def by_batch(df: DataFrame, run, schema: str) -> DataFrame:

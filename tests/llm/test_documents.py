@@ -225,7 +225,7 @@ def test_line_groups_equal_brute_force_over_all_pairs(spark):
     links = [(a, b) for a in range(len(norms)) for b in range(a) if abs(len(norms[a]) - len(norms[b])) * 10 <= max(len(norms[a]), len(norms[b])) and levenshtein(norms[a], norms[b]) <= max(len(norms[a]), len(norms[b])) // 10]
     of = groups(len(lines), links)
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {row.doc_id for row in line_dedup.duplicate_lines(df).collect()}
+    got = {row.doc_id for row in line_dedup.duplicate_lines(df, exhaustive=True).collect()}
     assert got == {k for k in range(len(lines)) if of[k] != k}
 
 
@@ -239,6 +239,47 @@ def test_long_lines_may_differ_in_a_tenth(spark):
     assert got == {2: [0]}
 
 
+def test_lines_with_a_tenth_of_their_words_edited_are_found(spark):
+    r = random.Random(23)
+    rows, want = [], {}
+    for k in range(120):
+        words = prose(r.randint(14, 90), r).split(" ")
+        rows.append((2 * k, " ".join(words)))
+        other = list(words)
+        for at in sorted(r.sample(range(len(words)), len(words) // 10), reverse=True):
+            other[at : at + 1] = r.choice([[], [other[at][::-1]], [other[at], "q"]])
+        rows.append((2 * k + 1, " ".join(other)))
+        a, b = rows[-2][1], rows[-1][1]
+        if levenshtein(a, b) <= max(len(a), len(b)) // 10:
+            want[2 * k + 1] = [0]
+    got = {x.doc_id: list(x.lines) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and got == want
+
+
+def test_line_search_misses_no_pair_of_the_test_tables(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    drops = lambda x: {r.doc_id: list(r.lines) for r in line_dedup.duplicate_lines(docs, exhaustive=x).collect()}
+    assert drops(False) == drops(True)
+
+
+def test_line_rows_with_odd_ids_names_and_lengths(spark):
+    long = " ".join(f"w{k}" for k in range(30000))
+    rows = [(None, "only here one two three\nshared line of text", "a"), (None, "another text\nshared line of text", "b"), (4, long, "c"), (4, long + " end", "d"), (5, "一二三四五六七八九十" * 30, "e"), (6, "一二三四五六七八九十" * 29 + "一二三四五六七八十", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __rid0 string").withColumn("h", F.lit(1))
+    got = {r["__rid0"]: r.text for r in line_dedup.dedup(df).collect()}
+    assert sorted([got["a"], got["b"]]) in (["another text", rows[0][1]], ["another text\nshared line of text", "only here one two three"])
+    assert sorted([got["c"], got["d"]], key=len)[0] == "" and sorted([got["e"], got["f"]], key=len)[0] == ""
+
+
+def test_line_stage_drops_copies_as_a_whole(spark):
+    r = random.Random(24)
+    lines = [prose(20, r) for _ in range(9)]
+    rows = [(1, "\n".join(lines[:6])), (2, "\n".join([*lines[:5], prose(4, r)])), (3, "\n".join([lines[0], *lines[6:]])), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {x.doc_id: x for x in line_dedup.stage(spark, df, "").collect()}
+    assert {k: x.text for k, x in got.items()} == {1: rows[0][1], 3: "\n".join(lines[6:]), 4: None, 5: ""} and got[3].n_chars == len(got[3].text) and got[4].n_chars is None
+
+
 def test_copies_of_a_text_do_not_add_up_votes(spark, monkeypatch):
     monkeypatch.setattr(doc_fingerprints, "PAIR", 1 << 27)
     text = "one two three four five"
