@@ -201,11 +201,12 @@ def test_lm_scoring_prefers_the_target(spark):
     r = random.Random(8)
     a, b = VOCAB[:150], VOCAB[150:]
     docs = spark.createDataFrame([(k, " ".join(r.choice(a if k % 2 else b) for _ in range(200))) for k in range(60)] + [(98, None), (99, ""), (None, "abc"), (1, "abc abc")], "doc_id long, text string")
-    model = lm_scoring.train(docs, spark.createDataFrame([(k,) for k in range(1, 41, 2)] * 2, "doc_id long"))
-    got = lm_scoring.score(docs, model).collect()
+    got = lm_scoring.score(docs, spark.createDataFrame([(k,) for k in range(1, 41, 2)] * 2 + [(None,)], "doc_id long")).collect()
     odd, even = ([x.score for x in got if x.doc_id is not None and x.doc_id < 60 and x.n_tokens == 200 and x.doc_id % 2 == k] for k in (1, 0))
-    assert max(odd) < min(even) and all(math.isfinite(x.score) for x in got)
-    assert {x.n_tokens for x in got if x.doc_id in (98, 99)} == {0}
+    assert len(got) == 64 and max(odd) < min(even) and all(math.isfinite(x.score) for x in got)
+    assert {(x.n_tokens, x.score) for x in got if x.doc_id in (98, 99)} == {(0, 0.0)}
+    none = spark.createDataFrame([], "doc_id long")
+    assert {x.score for x in lm_scoring.score(docs, none).collect()} == {0.0} and not lm_scoring.score(docs.limit(0), none).count()
 
 
 def test_line_groups_equal_brute_force_over_all_pairs(spark):
@@ -287,25 +288,32 @@ def test_copies_of_a_text_do_not_add_up_votes(spark, monkeypatch):
     assert prints(200) == prints(1)
 
 
-def test_lm_scoring_equals_exact_counts(spark):
+def test_lm_scoring_equals_counts_of_the_other_documents(spark, monkeypatch):
     from collections import Counter
 
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3000)
     r = random.Random(31)
-    words = [f"w{k}" for k in range(20000)] * 2
+    words = [f"w{k}" for k in range(5000)] * 2 + [f"v{k % 40}" for k in range(5000)]
     r.shuffle(words)
-    texts = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)] + ["once only", "w1 W2 w1 w2 new"]
-    good = set(range(0, 40))
-    known = {w for w, n in Counter(w for t in texts for w in t.lower().split()).items() if n >= lm_scoring.LEAST}
-    tokens = [[w if w in known else None for w in t.lower().split()] for t in texts]
+    texts = [" ".join(words[k : k + 300]) for k in range(0, len(words), 300)] + ["once only", "w1 W2 w1 w2 new", "", "long " * 9000]
+    texts.append(texts[3])
+    good = set(range(0, 20))
+    tokens = [t.lower().split() for t in texts]
+    vocabulary = len({w for t in tokens for w in t})
+    size = {m: sum(len(t) for k, t in enumerate(tokens) if (k in good) == m) for m in (True, False)}
     want = [[] for _ in texts]
-    for chosen in (good, range(len(texts))):
-        one = Counter(w for k in chosen for w in tokens[k])
-        total, two = sum(one.values()), Counter(p for k in chosen for p in zip(["<s>", *tokens[k]], tokens[k]))
-        one["<s>"] = len(chosen)
+    for target in (True, False):
+        chosen = [k for k in range(len(texts)) if (k in good) == target]
+        one, two = Counter(w for k in chosen for w in tokens[k]), Counter(p for k in chosen for p in zip(["<s>", *tokens[k]], tokens[k]))
+        scale = min(size.values()) / size[target]
         for k, own in enumerate(tokens):
-            base = lambda w: (one[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * (len(known) + 1))  # noqa: B023, E731
-            want[k].append(np.mean([-math.log((two[a, b] + lm_scoring.KAPPA * base(b)) / (one[a] + lm_scoring.KAPPA)) for a, b in zip(["<s>", *own], own)]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x for x in lm_scoring.score(docs, lm_scoring.train(docs, spark.createDataFrame([(k,) for k in good], "doc_id long"))).collect()}
+            inside = (k in good) == target
+            mine, pairs = Counter(own), Counter(zip(["<s>", *own], own))
+            count = lambda w: (len(chosen) - inside if w == "<s>" else one[w] - inside * mine[w]) * scale  # noqa: B023, E731
+            base = lambda w: (count(w) + lm_scoring.ALPHA) / ((size[target] - inside * len(own)) * scale + lm_scoring.ALPHA * (vocabulary + 1))  # noqa: B023, E731
+            losses = [-math.log(((two[a, b] - inside * pairs[a, b]) * scale + lm_scoring.KAPPA * base(b)) / (count(a) + lm_scoring.KAPPA)) for a, b in zip(["<s>", *own], own)]
+            want[k].append(np.mean(losses) if losses else 0.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("target", F.lit("x"))
+    got = {x.doc_id: x for x in lm_scoring.score(docs, spark.createDataFrame([(k,) for k in good], "doc_id long")).collect()}
     for k, (t, b) in enumerate(want):
-        assert got[k].n_tokens == len(tokens[k]) and math.isclose(got[k].target_loss, t, rel_tol=1e-6) and math.isclose(got[k].background_loss, b, rel_tol=1e-6)
+        assert got[k].n_tokens == len(tokens[k]) and math.isclose(got[k].target_loss, t, rel_tol=1e-9) and math.isclose(got[k].background_loss, b, rel_tol=1e-9)
