@@ -27,7 +27,7 @@ from gridloom.llm._common import Scratch, by_batch, documents
 #: Weight of the unigram estimate in the bigram's, and of the uniform one in the unigram's, in tokens.
 KAPPA, ALPHA = 20.0, 0.5
 #: Tokens of a chunk (a longer document is a chunk of its own), and entries of a bucket.
-CHUNK, BUCKET = 1_000_000, 4_000_000
+CHUNK, BUCKET = 500_000, 4_000_000
 #: Ids of the target are broadcast up to so many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -70,17 +70,23 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, edges), len(keys)]
 
 
-_FIELDS = ("chunk bigint, grams int, bucket int, keys binary, b binary, t binary, words binary, codes binary, sizes binary, target binary, tokens_b bigint, tokens_t bigint")
-_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+_ASKED = "chunk bigint, grams int, bucket int, keys binary, b binary, t binary"
+_OWN = "chunk bigint, words binary, codes binary, sizes binary, target binary, tokens_b bigint, tokens_t bigint"
 
 
-def _profile(buckets: int):
-    """A chunk's row (its documents and tokens) and a row for each bucket with the counts of its words or pairs."""
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
+def _chunks(buckets: int, asking: bool):
+    """A chunk's row with its documents and tokens; or, asking, a row for each bucket with the counts of its words
+    or of its pairs. Both come from the same chunks, as the documents are read in the same order."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        names = _names(_ASKED) if asking else ["ids", *_names(_OWN)]
         ids, marks, found, waiting = [], [], [], 0
 
         def chunk():
@@ -89,18 +95,20 @@ def _profile(buckets: int):
             flat = np.concatenate(found)
             of = np.repeat(marked, sizes).astype(bool)
             words, codes = np.unique(flat, return_inverse=True)
-            rows = [{"chunk": number, "ids": list(ids), "words": _pack(np.diff(words, prepend=np.uint64(0))), "codes": _pack(codes, "<u4"), "sizes": _pack(sizes, "<u4"), "target": marked.tobytes(), "tokens_b": int((~of).sum()), "tokens_t": int(of.sum())}]
-            for grams, every in ((1, flat), (2, _pairs(flat, sizes)[1])):
-                keys, at = (words, codes) if grams == 1 else np.unique(every, return_inverse=True)
-                t = np.bincount(at, weights=of, minlength=len(keys))
-                b = np.bincount(at, minlength=len(keys)) - t
-                cuts = _cuts(keys, buckets)
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = slice(cuts[k], cuts[k + 1])
-                    rows.append({"chunk": number, "grams": grams, "bucket": k, "keys": _pack(np.diff(keys[own], prepend=np.uint64(0))), "b": _pack(b[own], "<u4"), "t": _pack(t[own], "<u4")})
+            if asking:
+                rows = []
+                for grams, keys, at in ((1, words, codes), (2, *np.unique(_pairs(flat, sizes)[1], return_inverse=True))):
+                    t = np.bincount(at, weights=of, minlength=len(keys))
+                    b = np.bincount(at, minlength=len(keys)) - t
+                    cuts = _cuts(keys, buckets)
+                    for k in np.flatnonzero(np.diff(cuts)).tolist():
+                        own = slice(cuts[k], cuts[k + 1])
+                        rows.append({"chunk": number, "grams": grams, "bucket": k, "keys": _pack(np.diff(keys[own], prepend=np.uint64(0))), "b": _pack(b[own], "<u4"), "t": _pack(t[own], "<u4")})
+            else:
+                rows = [{"chunk": number, "ids": list(ids), "words": _pack(np.diff(words, prepend=np.uint64(0))), "codes": _pack(codes, "<u4"), "sizes": _pack(sizes, "<u4"), "target": marked.tobytes(), "tokens_b": int((~of).sum()), "tokens_t": int(of.sum())}]
             number += 1
             ids.clear(), marks.clear(), found.clear()
-            return {name: [row.get(name) for row in rows] for name in ["ids", *_NAMES]}
+            return {name: [row.get(name) for row in rows] for name in names}
 
         for batch in source:
             for key, text, mark in zip(batch["id"], batch["text"], batch["target"]):
@@ -223,14 +231,15 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         kind = source.schema["id"].dataType.simpleString()
         size = source.agg(F.sum(F.length("text"))).first()[0] or 0
         source = source.join(F.broadcast(wanted) if small else wanted, "id", "left").select("id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+        source = source if small else stage(source)  # rows from a shuffle needn't come in the same order again
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(parts, size // 3 // BUCKET)
-        profile = stage(by_batch(source, _profile(buckets), f"ids array<{kind}>, {_FIELDS}"))
-        rows = profile.where("bucket IS NULL")
+        # chunks are made twice, so that only their tokens are kept, and what they ask is only shuffled
+        rows = stage(by_batch(source, _chunks(buckets, False), f"ids array<{kind}>, {_OWN}"))
         n = rows.agg(F.sum("tokens_b"), F.sum("tokens_t")).first()
         texts = source.agg(F.sum("target"), F.count("*")).first()
         sizes = {"tokens": {"b": n[0] or 0, "t": n[1] or 0}, "texts": {"b": (texts[1] or 0) - (texts[0] or 0), "t": texts[0] or 0}}
-        asked = profile.where("bucket IS NOT NULL").select("chunk", "grams", "bucket", "keys", "b", "t")
+        asked = by_batch(source, _chunks(buckets, True), _ASKED)
         totals = stage(by_batch(asked.repartition(buckets, "bucket"), _added, "chunk bigint, grams int, bucket int, b binary, t binary, vocabulary bigint"))
         stage.drop(wanted)
         vocabulary = totals.agg(F.sum("vocabulary")).first()[0] or 0
