@@ -8,8 +8,9 @@ A document is its set of five-word shingles; two are linked when 100 * |A and B|
 2. A second pass emits each class's prefix under the first order: of n shingles the first n // 4 + 1, for
    linked sets share one there. Prefixes travel in packed blocks by shingle hash; a task sorts its share
    and finds the classes that meet on a shingle at places from which they can still reach the threshold.
-3. Classes that meet are paired with the smallest one of their shingle, and the pair is tried under the
-   other orders too: only pairs that share prefix shingles under every order are verified, on whole sets.
+3. Classes that meet are paired with the smallest one of their shingle. Prefixes under two more orders are kept
+   beside the sets of all classes that meet any; pairs that do not share a prefix shingle under each of these
+   too are gone before sets are fetched, and what is left is verified on whole sets.
    Then classes that met but are not yet connected are paired with each other and tried likewise. So
    connected components are exact, yet a group of any size needs about as many pairs as it has members.
 4. Components come from alternating stars over the verified links (gridloom.llm._common.components).
@@ -23,12 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import by_batch, collected_blocks, components, documents, packed, staged, summed_blocks
+from gridloom.llm._common import Scratch, by_batch, collected_blocks, components, documents, packed, summed_blocks
 
 #: Counters in each of the sketch's two rows, and in a block of them; sums are the same for any number of tasks.
 ROW, BLOCK = 1 << 21, 1 << 16
 #: Prefix entries for a task that sorts them.
 SHARE = 500_000
+#: Classes whose texts are read again are broadcast up to so many (16 bytes each).
+BROADCAST_ROWS = 400_000
 #: Rounds in which classes that meet are tried with one hub of their shingle, before they are tried with each other.
 HUB_ROUNDS = 2
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -239,46 +242,59 @@ def _with_smallest(source: Iterator[dict]) -> Iterator[dict]:
         yield {"a": [a for a, _ in new], "b": [b for _, b in new]}
 
 
-def _verified(sketch, percent: int):
-    """The pairs whose texts share a prefix shingle under every order and reach the threshold."""
+def _sets(sketch):
+    """A class's set, its size, and its prefixes under the other two orders as sorted 32-bit halves, where the
+    document is the one that was asked for."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
         orders = Orders(sketch.value)
-        kept: dict[str, tuple] = {}
-
-        def seen(text: str) -> tuple:
-            if text not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                found = shingles(text)
-                kept[text] = found, [orders.prefix(found, k) for k in range(3)]
-            return kept[text]
-
         for batch in source:
-            out = {"a": [], "b": []}
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
-                (left, first), (right, second) = seen(x), seen(y)
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(first, second)) and linked(left, right, percent):
-                    out["a"].append(a)
-                    out["b"].append(b)
+            out = {"node": [], "found": [], "second": [], "third": []}
+            for node, text in zip(batch["node"], batch["text"]):
+                found = shingles(text)
+                if set_hash(found) == node:
+                    second, third = (np.unique(orders.prefix(found, k).astype("<u4")).tobytes() for k in (1, 2))
+                    for name, value in zip(out, (node, found.tobytes(), second, third)):
+                        out[name].append(value)
             yield out
 
     return run
 
 
-def _own_texts(source: Iterator[dict]) -> Iterator[dict]:
-    """Texts under their sets' hashes, where the document is the one that was asked for."""
+def _sharing(source: Iterator[dict]) -> Iterator[dict]:
+    """The pairs whose prefixes have a shingle in common under the second and under the third order too."""
     for batch in source:
-        got = [(node, text) for node, text in zip(batch["node"], batch["text"]) if set_hash(shingles(text)) == node]
-        yield {"node": [n for n, _ in got], "text": [t for _, t in got]}
+        out = {"a": [], "b": []}
+        for a, b, *prefixes in zip(*(batch[c] for c in ("a", "b", "a2", "b2", "a3", "b3"))):
+            x2, y2, x3, y3 = (np.frombuffer(p, "<u4") for p in prefixes)
+            if all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in ((x2, y2), (x3, y3))):
+                out["a"].append(a)
+                out["b"].append(b)
+        yield out
+
 
+def _reaching(percent: int):
+    """The pairs whose sets reach the threshold."""
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """Verified pairs, staged. Only texts of classes that are in a pair are carried along."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("doc_id", "node")
-    texts = staged(by_batch(docs.join(need, "doc_id").select("node", "text"), _own_texts, "node bigint, text string").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return staged(by_batch(both, _verified(sketch, percent), _PAIR))
+    def run(source: Iterator[dict]) -> Iterator[dict]:
+        for batch in source:
+            same = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch["x"], batch["y"])]
+            yield {c: [v for v, keep in zip(batch[c], same) if keep] for c in ("a", "b")}
+
+    return run
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, stage: Scratch) -> DataFrame:
+    """Verified pairs, staged: the filters of the other orders first, on prefixes alone, then whole sets of the rest."""
+
+    def beside(rows: DataFrame, **columns: str) -> DataFrame:
+        for side in "ab":
+            rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(n.format(side)) for n, c in columns.items()]), side)
+        return rows
+
+    both = stage(by_batch(beside(pairs, **{"{}2": "second", "{}3": "third"}), _sharing, _PAIR))
+    whole = beside(both, **{"{}set": "found"}).withColumnsRenamed({"aset": "x", "bset": "y"})
+    return stage(by_batch(whole, _reaching(percent), _PAIR))
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -291,50 +307,71 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 75:
         raise ValueError("prefixes are long enough for 75 % or more")
-    spark = df.sparkSession
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    profile = staged(by_batch(docs, _profile, "doc_id bigint, n bigint, node bigint, block int, counts binary"))
+    with Scratch() as stage:
+        rows, of = _components(docs, percent, stage)
+        out = rows.join(of, "node", "left")
+        empty = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return stage.keep(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), empty.alias("component_id")))
+
+
+def _components(docs: DataFrame, percent: int, stage: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, node) of all documents, and (node, component_id) of all classes; both staged."""
+    spark = docs.sparkSession
+    profile = stage(by_batch(docs, _profile, "doc_id bigint, n bigint, node bigint, block int, counts binary"))
     rows = profile.where("block IS NULL").select("doc_id", "n", "node")
-    classes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    classes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     sketch = spark.sparkContext.broadcast(collected_blocks(summed_blocks(profile.where("block IS NOT NULL")), 2 * ROW))
     total = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARE))
     blobs = by_batch(docs.select("text"), _prefixes(sketch, buckets), _BLOB)
-    groups = staged(by_batch(blobs.repartition(buckets, "bucket"), _meetings, _GROUP))
-    pairs = staged(by_batch(groups, _with_smallest, _PAIR).distinct())
-    edges = _verify(pairs, classes, docs, sketch, percent)
-    named = staged(components(edges))
+    groups = stage(by_batch(blobs.repartition(buckets, "bucket"), _meetings, _GROUP))
+    # only classes that meet another one are looked at again, and their texts are read once
+    need = stage(groups.select(F.explode("nodes").alias("node")).distinct().join(classes, "node").select("doc_id", "node"))
+    wanted = F.broadcast(need) if need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else need
+    ids = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))  # a class may have no row with an id
+    texts = docs.alias("a").join(wanted.alias("b"), ids).select("b.node", "a.text")
+    sets = stage(by_batch(texts, _sets(sketch), "node bigint, found binary, second binary, third binary").dropDuplicates(["node"]))
+    stage.drop(need)
+    pairs = stage(by_batch(groups, _with_smallest, _PAIR).distinct())
+    edges = _verify(pairs, sets, percent, stage)
+    named = components(edges)
     # groups of classes that are not yet connected: first with the hubs of their shingles, then, where
     # different components still meet, with each other
-    large = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id())
-    members = staged(large).select("g", F.size("nodes").alias("k"), F.explode(F.arrays_zip("nodes", "sizes", "reach")).alias("m")).select("g", "k", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.reach").alias("reach"))
+    large = stage(groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id()))
+    stage.drop(groups)
+    members = large.select("g", F.size("nodes").alias("k"), F.explode(F.arrays_zip("nodes", "sizes", "reach")).alias("m")).select("g", "k", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.reach").alias("reach"))
     # an original meets its copies on more shingles than they meet each other: the likeliest hub
     central = members.groupBy("node").agg(F.sum("k").alias("central"))
-    members = staged(members.join(central, "node").select("g", "node", "n", "reach", "central"))
+    members = stage(members.join(central, "node").select("g", "node", "n", "reach", "central"))
+    stage.drop(large)
     hub_of = [F.struct("central", "node", "n", "reach", "component"), *[F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "reach", "component") for k in range(HUB_ROUNDS - 1)]]
     for hub in [*hub_of, None]:
         of = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = of.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(hub if hub is not None else F.struct("node")).alias("hub")).where("low <> high").select("g", "hub")
-        of = staged(of.join(split, "g"))
-        members = of.select("g", "node", "n", "reach", "central")
+        of = stage(of.join(split, "g"))
         if hub is not None:
             meet = of.where((F.col("component") != F.col("hub.component")) & (F.col("n") <= F.col("hub.reach")) & (F.col("hub.n") <= F.col("reach")))
             meet = meet.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
-            left, right = of.drop("hub").alias("l"), of.drop("hub").alias("r")
-            meet = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.component") < F.col("r.component")) & (F.col("l.n") <= F.col("r.reach")) & (F.col("r.n") <= F.col("l.reach")))
+            # by group and by size: partners' sizes differ by a third at most, so a class looks into few of them
+            shape = "cast(floor(ln({}) / ln(4 / 3D)) AS int)"
+            left = of.drop("hub").withColumn("shape", F.expr(shape.format("n"))).alias("l")
+            right = of.drop("hub").withColumn("shape", F.explode(F.expr(f"sequence({shape.format('n')} - 1, {shape.format('n')} + 2)"))).alias("r")
+            fits = (F.col("l.n") <= F.col("r.reach")) & (F.col("r.n") <= F.col("l.reach")) & (F.col("l.component") < F.col("r.component"))
+            meet = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.shape") == F.col("r.shape")) & fits)
             meet = meet.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        more = staged(meet.distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = stage(meet.distinct().join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            edges = edges.unionByName(_verify(more, classes, docs, sketch, percent))
+            edges = edges.unionByName(_verify(more, sets, percent, stage))
             pairs = pairs.unionByName(more)
-            named = staged(components(edges))
+            stage.drop(named)
+            named = components(edges)
+        members = of.select("g", "node", "n", "reach", "central")
+    stage.tables.append(named)
     of = classes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = staged(of.join(least, "component").select("node", "component_id"))
-    out = rows.join(of, "node", "left")
-    empty = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), empty.alias("component_id"))
+    return rows, stage(of.join(least, "component").select("node", "component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,10 +380,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays (rows that repeat an id are
-    one document); rows without an id stay."""
+    """Pipeline stage: of each component the document with the smallest id stays. Rows without an id stay; of
+    rows that repeat an id and a text one stays."""
     kept = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
