@@ -1,5 +1,10 @@
 """Token counts by rank-synchronous merging: the pre-tokens of a batch lie end to end in numpy arrays, and
-in each round every pre-token merges its best ranked pair; what survives is counted."""
+in each round every pre-token merges its best ranked pair wherever it stands; what survives is counted.
+
+A pair's occurrences merge in one round where nothing that a merge makes could come before them (checked when
+the model is read); else only the leftmost one does. Only the neighbours of merges are looked up again. Long
+pre-tokens are first cut between characters that stand side by side in no piece. So a text without spaces
+takes as many rounds as it has different pairs to merge, not as many as it has merges."""
 
 from __future__ import annotations
 
@@ -37,6 +42,13 @@ class RaggedMerger:
                     made.append(self.symbol[p])
         place = np.argsort(np.array(keys))
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[place] for x in (keys, ranks, made))
+        #: Ranks of which a merge can make a pair that ranks no worse: their merges go one by one.
+        own = np.full(self.other + 1, -1, np.int64)
+        own[self.made] = self.ranks
+        self.single = np.zeros(len(rank_of) + 1, bool)
+        for part in (own[self.keys // (self.other + 1)], own[self.keys % (self.other + 1)]):
+            self.single[part[part >= self.ranks]] = True
+        self.inner = {p[k : k + 2] for p in m.id for k in range(len(p) - 1)}
         self.cache: dict[str, int] = {}
 
     def counts(self, words: list[str]) -> np.ndarray:
@@ -49,26 +61,57 @@ class RaggedMerger:
         strange = [(k, len(c.encode())) for k, w in enumerate(words) if not all(c in symbol for c in w) for c in w if c not in symbol]
         for k, n in strange:
             total[k] += n
-        never = np.int64(1) << 40
-        while len(flat) > 1:
-            key = flat[:-1] * (other + 1) + flat[1:]
+        never = np.int64(len(self.single) - 1)
+        base = np.int64(self.other + 1)
+
+        def looked_up(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Table rows and ranks of the pairs that begin at these places."""
+            key = flat[left] * base + flat[left + 1]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], never)
-            # one number to compare: the rank, then the place, so that the leftmost of equals wins
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            full = np.r_[rank, never] * len(flat) + np.arange(len(flat))
-            best = np.minimum.reduceat(full, first)
-            ready = best < never * len(flat)
-            spot = best[ready] % len(flat)
-            flat[spot] = self.made[at[spot]]
+            return at, np.where((self.keys[at] == key) & (word[left] == word[left + 1]), self.ranks[at], never)
+
+        def ends() -> np.ndarray:
+            return np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+
+        if len(flat) > 1:
+            at, rank = (np.r_[x, none] for x, none in zip(looked_up(np.arange(len(flat) - 1)), (0, never)))
+        while len(flat) > 1:
+            first = ends()
+            best = np.minimum.reduceat(rank, first)
+            size = np.diff(np.r_[first, len(flat)])
+            hit = np.flatnonzero((rank == np.repeat(best, size)) & (rank < never))
+            # of hits side by side every other one merges; where merges go one by one only a word's first
+            start = np.r_[True, np.diff(hit) != 1] if len(hit) else np.zeros(0, bool)
+            run = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
+            new = np.r_[True, word[hit][1:] != word[hit][:-1]] if len(hit) else start
+            hit = hit[np.where(self.single[rank[hit]], new, (np.arange(len(hit)) - run) % 2 == 0)]
+            flat[hit] = self.made[at[hit]]
             # words without a pair are done: their symbols are counted and leave the arrays
-            keep = np.repeat(ready, np.diff(np.r_[first, len(flat)]))
+            keep = np.repeat(best < never, size)
             np.add.at(total, word[~keep], self.weight[flat[~keep]])
-            keep[spot + 1] = False
-            flat, word = flat[keep], word[keep]
+            changed = np.zeros(len(flat), bool)
+            changed[hit] = True
+            keep[hit + 1] = False
+            flat, word, at, rank, changed = (x[keep] for x in (flat, word, at, rank, changed))
+            if len(flat) < 2:
+                break
+            touched = np.flatnonzero(changed)
+            touched = np.union1d(touched, touched[touched > 0] - 1)
+            rank[-1] = never
+            touched = touched[touched < len(flat) - 1]
+            at[touched], rank[touched] = looked_up(touched)
         np.add.at(total, word, self.weight[flat])
         return total
 
+    def cut(self, spelled_segment: str) -> list[str]:
+        """A long segment's parts between which nothing merges."""
+        parts, start = [], 0
+        for k in range(1, len(spelled_segment)):
+            if spelled_segment[k - 1 : k + 1] not in self.inner:
+                parts.append(spelled_segment[start:k])
+                start = k
+        return [*parts, spelled_segment[start:]]
+
     def count(self, texts: list[str]) -> list[int]:
         cut = [segments(t) for t in texts]
         cache = self.cache
@@ -80,7 +123,10 @@ class RaggedMerger:
             while end < len(new) and (end == at or size < SYMBOLS):
                 size += len(new[end]) + 1
                 end += 1
-            for s, n in zip(new[at:end], self.counts([spelled(s) for s in new[at:end]]).tolist()):
+            parts = [[spelled(s)] if len(s) <= 64 else self.cut(spelled(s)) for s in new[at:end]]
+            found = self.counts([x for own in parts for x in own])
+            sums = np.add.reduceat(found, np.cumsum([0, *map(len, parts[:-1])]))
+            for s, n in zip(new[at:end], sums.tolist()):
                 (cache if len(s) <= 256 else long)[s] = n
             at = end
         known = cache if not long else {**cache, **long}

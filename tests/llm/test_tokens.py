@@ -37,6 +37,14 @@ def test_counts_equal_the_library():
     assert RaggedMerger(MODEL).count(texts()) == [len(library.encode(t)) for t in texts()]
 
 
+def test_long_texts_without_spaces_equal_the_library():
+    r, library, own, codec = random.Random(5), sentencepiece.SentencePieceProcessor(model_file=MODEL), RaggedMerger(MODEL), BacktrackCodec(MODEL)
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "".join(chr(r.randint(0x4E00, 0x5E00)) for _ in range(200_000)), "the" * 5000, "ab" * 3000 + "=" * 2000, "a" * 6000]
+    want = [library.encode(t) for t in long]
+    assert own.count(long) == [len(x) for x in want]
+    assert [np.frombuffer(codec.encode(t), "<u4").tolist() for t in long] == want
+
+
 def test_words_equal_the_library():
     own = WordTokenizer(WORDS)
     for text, ids in zip(texts(), own(texts())):
