@@ -92,11 +92,11 @@ class BacktrackCodec:
             if n > longest[end - n + 1]:
                 longest[end - n + 1] = n
         out: list[str] = []
-        open_at = (1 << (len(text) + 1)) - 1  # bit k: position k may yet lead to the end
+        failed = bytearray(len(text) // 8 + 1)  # bit k: position k does not lead to the end
         at, n = 0, longest[0]
         while at < len(text):
             piece = text[at : at + n]
-            while n and not (open_at >> (at + n) & 1 and (not out or self.fit(out[-1], piece))):
+            while n and (failed[at + n >> 3] >> (at + n & 7) & 1 or (out and not self.fit(out[-1], piece))):
                 n = self.shorter[piece]
                 piece = piece[:n]
             if n:
@@ -104,7 +104,7 @@ class BacktrackCodec:
                 at += n
                 n = longest[at] if at < len(text) else 0
             else:
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 n = len(out[-1])
                 at -= n
                 out.pop()
@@ -181,8 +181,8 @@ def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
     the ids and the decoded text.
 
     A null text counts as empty: two ids, an empty decoded text. Each row is worked on by itself, so ties,
-    repeated rows, null ids and other columns of any name don't matter; an empty table gives none. Needs no
-    shuffle.
+    repeated rows, null ids and other columns of any name don't matter; an empty table gives none. A text may be of
+    any length, with spaces or without. Needs no shuffle.
     """
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
