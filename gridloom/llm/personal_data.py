@@ -2,8 +2,8 @@
 
 Four base kinds are found as they are defined, leftmost and without overlap, each kind by itself; they
 always stay. Further kinds are only kept if their score reaches a threshold: bank account numbers (IBAN,
-modulo 97), national identity numbers and telephone numbers without a country code, the last two only
-beside a word that announces them.
+modulo 97), national identity numbers, telephone numbers without a country code, and keys of 32 to 64
+hexadecimal digits, the last three only beside a word (for keys also an assignment) that announces them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from gridloom.llm._common import documents
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "local_phone")
+KINDS = (*BASE, "iban", "ssn", "local_phone", "secret")
 #: Score of a span by its kind; context adds or takes NEAR if a word of the kind's list is within REACH characters.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3, "secret": 0.3}
 NEAR, REACH, THRESHOLD = 0.3, 40, 0.5
 FOR = {
     "email": re.compile(r"\b(?:e-?mail|contact|write|mailto)\b", re.I),
@@ -32,6 +32,8 @@ FOR = {
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security)\b", re.I),
     "local_phone": re.compile(r"\b(?:phone|telephone|tel|call|mobile|fax)\b", re.I),
+    # what stands before a span ends in a line feed here
+    "secret": re.compile(r"(?:key|token|secret|passw(?:or)?d|credential|auth)|[=:]\x20?[\"']?\n", re.I),
 }
 AGAINST = re.compile(r"\b(?:version|isbn|issn|part no|section|serial|invoice)\b", re.I)
 
@@ -45,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])")
 _DIGITS = re.compile("[0-9]")
 
 
@@ -108,7 +111,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     out = [(k, s, e, score(text, k, s, e)) for k, s, e in base]
     if _ANY.search(text):
         taken = [(s, e) for _, s, e in base]
-        for kind, pattern, holds in (("iban", _IBAN, lambda x: mod97(x.replace(" ", ""))), ("ssn", _SSN, bool), ("local_phone", _LOCAL_PHONE, bool)):
+        for kind, pattern, holds in (("iban", _IBAN, lambda x: mod97(x.replace(" ", ""))), ("ssn", _SSN, bool), ("local_phone", _LOCAL_PHONE, bool), ("secret", _SECRET, bool)):
             for m in pattern.finditer(text):
                 if holds(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
                     points = score(text, kind, *m.span())
@@ -130,7 +133,7 @@ def redacted(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-_ROW = StructType([StructField(f"n_{k}", LongType()) for k in BASE] + [StructField("base_sha256", StringType()), StructField("spans", StringType())])
+_ROW = StructType([StructField(f"n_{k}", LongType()) for k in BASE] + [StructField(n, StringType()) for n in ("base_sha256", "spans", "scores")])
 _SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
 
 
@@ -142,8 +145,8 @@ def _digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batch:
             whole = spans(text)
             base = [x for x in whole if x[0] in BASE]
-            rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(said(base).encode()).hexdigest(), said(whole)))
-        yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(said(base).encode()).hexdigest(), said(whole), ",".join(f"{p:.2f}" for *_, p in whole)))
+        yield pd.DataFrame(rows, columns=_ROW.names)
 
 
 @F.pandas_udf(StringType())
@@ -172,7 +175,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, the base spans' digest and all spans of every document."""
+    """Counts, the base spans' digest, and all spans of every document with their scores in the same order."""
     docs = documents(spark, sf_dir)
     return docs.select("doc_id", _digest("text").alias("r")).select("doc_id", "r.*")
 
