@@ -79,9 +79,10 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     made = [*MEASURES, "fail_bits"]
     df = df.drop(*[c for c in df.columns if c in made and c != text_col])
-    temp = [c for c in ("__t", "__w", "__l", "__h") if c not in df.columns]
-    assert len(temp) == 4, "columns __t, __w, __l and __h are the ledger's own"
-    out = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    # columns of df that carry a name needed on the way are put aside in a struct
+    aside = next(name for k in range(len(df.columns) + 1) if (name := f"__row{k}") not in df.columns)
+    names, df = df.columns, df.select(F.struct(*df.columns).alias(aside), F.col(text_col).alias("__text"))
+    out = df.withColumn("__t", F.coalesce(F.col("__text"), F.lit("")))
     out = out.withColumn("__w", F.filter(F.split("__t", SPACE + "+"), lambda x: x != ""))
     out = out.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_words", F.size("__w").cast("long"))
@@ -99,7 +100,8 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     bits = " | ".join(f"CASE WHEN {rule.fails} THEN {BIT[rule.name]}L ELSE 0L END" for rule in RULES)
     out = out.withColumn("fail_bits", F.expr(bits))
     # a generator stops filters on the ledger: pushed further down they would repeat every measurement
-    return out.select(*df.columns, F.explode(F.array(F.struct(*made))).alias("__m")).select(*df.columns, "__m.*")
+    out = out.select(aside, F.explode(F.array(F.struct(*made))).alias("__m"))
+    return out.select(*[F.col(aside)[c].alias(c) for c in names], "__m.*")
 
 
 def apply_policy(ledgered: DataFrame, policy: str = "v2") -> DataFrame:
