@@ -9,6 +9,8 @@ are one row, and each key is hashed from enough bits to stay selective at any si
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ PAIR, SINGLE = 4, 1
 #: 7 blocks with keys of 2 find all fingerprints that differ in up to 5 bits.
 BLOCKS, CHOSEN = 7, 2
 RADIUS = BLOCKS - CHOSEN
-#: Ranges of ids within which neighbouring documents are found: FAN ** 2 bounds reach the driver, whatever the input.
-FAN = 32
+#: Ranges of ids within which neighbouring documents are found are cut so that one holds about RANGE rows; their
+#: bounds, one for each range, reach the driver. They are looked up in two steps of FAN or more.
+FAN, RANGE = 32, 4096
 
 
 def fingerprints(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -75,14 +78,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut into ranges at quantiles; a range is one window, with a copy of the first document of the
     next range as its last row. So nothing is sorted in one place, and a text moves once.
     """
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / FAN**2 for k in range(1, FAN**2)], 20 * FAN**2)).first()[0] or [0]
+    fan = max(FAN, math.isqrt(docs.count() // RANGE) + 1)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / fan**2 for k in range(1, fan**2)], 20 * fan**2)).first()[0] or [0]
     cuts = sorted(set(cuts))
-    fine = [cuts[k : k + FAN] for k in range(0, len(cuts), FAN)]
+    fine = [cuts[k : k + fan] for k in range(0, len(cuts), fan)]
     coarse = F.lit([part[0] for part in fine]).cast("array<bigint>")
     upto = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))
     lists = F.array(*[F.lit(part).cast("array<bigint>") for part in fine])
     part = docs.withColumn("__c", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(upto(coarse)))
-    part = part.withColumn("__range", F.when(F.col("__c") == 0, F.lit(0)).otherwise((F.col("__c") - 1) * FAN + upto(F.get(lists, F.col("__c") - 1)))).drop("__c")
+    part = part.withColumn("__range", F.when(F.col("__c") == 0, F.lit(0)).otherwise((F.col("__c") - 1) * fan + upto(F.get(lists, F.col("__c") - 1)))).drop("__c")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "sha")).alias("first")
     found = part.groupBy("__range").agg(first).orderBy("__range").collect()  # a row for each range at most
     if not found:
