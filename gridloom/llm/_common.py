@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
@@ -53,6 +54,19 @@ def unstage(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_owners: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def owned():
+    """Tables that operators keep for their results go at the end of this scope, when the results are written."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        unstage(*_owners.pop())
+
+
 class Scratch:
     """Staged tables with an owner: with Scratch() as stage, stage(df) stages df, and at the end every table
     goes but those in stage.kept, which a result still reads."""
@@ -67,9 +81,11 @@ class Scratch:
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """A staged table that outlives this scope."""
+        """A staged table that outlives this scope; the owner of the result that reads it (owned) deletes it."""
         out = self(df)
         self.kept.append(out)
+        for tables in _owners[-1:]:
+            tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
