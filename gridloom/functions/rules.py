@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.types import READING, SETTINGS, Settings
 
-_IDS = ("event_id", "meter_id", "household_id", "grid_zone")
+#: Text columns that must hold something; an event without an id of its own is still a reading.
+_NAMES = ("meter_id", "household_id", "grid_zone")
+_VALUES = ("event_ts", "consumption_kwh", "solar_generation_kwh")
 
 
-def rules(known: Column, s: Settings = SETTINGS, ids: tuple[str, ...] = _IDS) -> list[tuple[str, Column]]:
-    """(reason, predicate), in order. known tells whether the household is on the roster."""
-    blank = F.lit(False)
-    for name in ids:
-        blank = blank | F.col(name).isNull() | (F.col(name).cast("string") == "")
-    for name in ("event_ts", "consumption_kwh", "solar_generation_kwh"):
-        blank = blank | F.col(name).isNull()
-    return [
-        ("null_field", blank),
-        ("negative_kwh", (F.col("consumption_kwh") < 0) | (F.col("solar_generation_kwh") < 0)),
-        ("unknown_household", ~known),
-        ("unknown_zone", ~F.col("grid_zone").isin(*s.zones)),
-        ("event_ts_out_of_range", ~F.col("event_ts").between(F.lit(s.earliest).cast("timestamp"), F.lit(s.latest).cast("timestamp"))),
-    ]
+def rules(known: Column, s: Settings = SETTINGS) -> dict[str, Column]:
+    """Reason to predicate, in the order in which they apply. known tells whether the household is on the roster."""
+    filled = [F.nullif(F.col(name).cast("string"), F.lit("")) for name in _NAMES] + [F.col(name) for name in _VALUES]
+    within = F.col("event_ts").between(*[F.lit(t).cast("timestamp") for t in (s.earliest, s.latest)])
+    return {
+        "null_field": reduce(or_, [c.isNull() for c in filled]),
+        "negative_kwh": F.least("consumption_kwh", "solar_generation_kwh") < 0,
+        "unknown_household": ~known,
+        "unknown_zone": ~F.col("grid_zone").isin(*s.zones),
+        "event_ts_out_of_range": ~within,
+    }
 
 
 def with_reason(readings: DataFrame, roster: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """readings with reason: null for valid ones. The roster is joined on its key, whatever its size."""
-    ids = tuple(c for c in _IDS if c in readings.columns)
-    known = roster.select("household_id").distinct().withColumn("__known", F.lit(True))
-    out = readings.join(known, "household_id", "left")
-    case = None
-    for reason, fails in rules(F.col("__known").isNotNull(), s, ids):
-        case = F.when(fails, reason) if case is None else case.when(fails, reason)
-    return out.withColumn("reason", case).drop("__known")
+    named = roster.select("household_id", F.lit(True).alias("__known")).distinct()
+    failed = rules(F.col("__known").isNotNull(), s)
+    marked = readings.join(named, "household_id", "left")
+    return marked.withColumn("reason", F.coalesce(*[F.when(fails, F.lit(reason)) for reason, fails in failed.items()])).drop("__known")
+
+
+def accepted(marked: DataFrame) -> DataFrame:
+    """The valid ones of marked readings."""
+    return marked.where("reason IS NULL").drop("reason")
+
+
+def rejected(marked: DataFrame) -> DataFrame:
+    """The others, with a payload: what there is of the contract's columns as JSON."""
+    present = [field.name for field in READING if field.name in marked.columns]
+    return marked.where("reason IS NOT NULL").withColumn("payload", F.to_json(F.struct(*present)))
 
 
 def split(readings: DataFrame, roster: DataFrame, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
-    """Valid readings, and rejected ones with reason and payload (JSON of the contract's columns there are)."""
+    """Valid readings, and rejected ones with reason and payload."""
     marked = with_reason(readings, roster, s)
-    payload = F.to_json(F.struct(*[c for c in READING.names if c in readings.columns]))
-    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").withColumn("payload", payload)
+    return accepted(marked), rejected(marked)
 
 
 def warnings(s: Settings = SETTINGS) -> Column:

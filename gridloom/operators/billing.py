@@ -15,9 +15,11 @@ def exact_sum(name: str):
 
 
 def dedup_earliest(raw: DataFrame) -> DataFrame:
-    """Of readings with one meter_id and event_ts the one that came first; ties go to the smallest event_id."""
-    order = Window.partitionBy("meter_id", "event_ts").orderBy("ingest_ts", "event_id")
-    return raw.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """Of readings with one meter_id and event_ts the one that came first; ties go to the smallest event_id.
+
+    An aggregation, so that copies go before the shuffle."""
+    whole, order = F.struct(*raw.columns), F.struct("ingest_ts", "event_id")
+    return raw.groupBy("meter_id", "event_ts").agg(F.min_by(whole, order).alias("first")).select("first.*")
 
 
 def duplicates_removed(raw: DataFrame) -> DataFrame:
@@ -29,30 +31,36 @@ def household_daily(valid: DataFrame) -> DataFrame:
     return valid.groupBy("household_id", F.to_date("event_ts").alias("sim_date")).agg(exact_sum("consumption_kwh").alias("consumption_kwh"), exact_sum("solar_generation_kwh").alias("solar_kwh"), F.count("*").alias("readings_count"))
 
 
-def idle_households(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    """Zero totals for those with a tariff on a day but no reading."""
-    owed = tariff.select("household_id", F.col("effective_date").alias("sim_date"))
-    none = owed.join(totals, ["household_id", "sim_date"], "left_anti")
-    return none.select("household_id", "sim_date", F.lit(0).cast(KWH).alias("consumption_kwh"), F.lit(0).cast(KWH).alias("solar_kwh"), F.lit(0).cast("long").alias("readings_count"))
+def every_day(totals: DataFrame, tariff: DataFrame) -> DataFrame:
+    """The days of totals, and those on which a tariff begins."""
+    return totals.select("sim_date").union(tariff.select("effective_date")).distinct()
 
 
 def tariff_effective(tariff: DataFrame, days: DataFrame) -> DataFrame:
-    """The tariff in force on each sim_date of days: by household the latest with effective_date <= sim_date."""
-    order = Window.partitionBy("household_id", "sim_date").orderBy(F.col("effective_date").desc())
-    usable = tariff.join(F.broadcast(days), F.col("effective_date") <= F.col("sim_date"))
-    return usable.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """The tariff in force on each sim_date of days: by household the latest with effective_date <= sim_date, and
+    rows_in_force, how many there are of that date (more than one: none may be billed).
+
+    A tariff holds until the day before the next one: it is laid out over its own days, which meet days by
+    equality, so the work is that of the result."""
+    terms = [c for c in tariff.columns if c not in ("household_id", "effective_date")]
+    same = Window.partitionBy("household_id", "effective_date")
+    dated = tariff.withColumns({"rows_in_force": F.count("*").over(same), "__n": F.row_number().over(same.orderBy(*terms))}).where("__n = 1").drop("__n")
+    ends = days.agg(F.min("sim_date").alias("a"), F.max("sim_date").alias("b"))  # one row
+    following = F.lead("effective_date").over(Window.partitionBy("household_id").orderBy("effective_date"))
+    spans = dated.withColumn("until", F.date_sub(following, 1)).crossJoin(F.broadcast(ends))
+    spans = spans.withColumns({"since": F.greatest("effective_date", "a"), "until": F.least("until", "b")}).where("since <= until")
+    laid = spans.select("household_id", "effective_date", *terms, "rows_in_force", F.explode(F.sequence("since", "until")).alias("sim_date"))
+    return laid.join(days.select("sim_date").distinct(), "sim_date", "left_semi").select(*tariff.columns, "sim_date", "rows_in_force")
 
 
 def tariff_ties(tariff: DataFrame, days: DataFrame) -> DataFrame:
     """Households with more than one tariff of the latest effective date on a day: none may be billed."""
-    order = Window.partitionBy("household_id", "sim_date").orderBy(F.col("effective_date").desc())
-    usable = tariff.join(F.broadcast(days), F.col("effective_date") <= F.col("sim_date"))
-    top = usable.withColumn("__n", F.rank().over(order)).where("__n = 1")
-    return top.groupBy("household_id", "sim_date", "effective_date").agg(F.count("*").alias("rows_in_force")).where("rows_in_force > 1")
+    return tariff_effective(tariff, days).where("rows_in_force > 1").select("household_id", "sim_date", "effective_date", "rows_in_force")
 
 
 def missing_tariff(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    return totals.join(tariff.select("household_id", F.col("effective_date").alias("sim_date")), ["household_id", "sim_date"], "left_anti").select("household_id", "sim_date")
+    """Household days of totals on which no tariff is in force."""
+    return totals.join(tariff_effective(tariff, totals.select("sim_date").distinct()), ["household_id", "sim_date"], "left_anti").select("household_id", "sim_date")
 
 
 class MissingTariffError(LookupError):
@@ -60,11 +68,24 @@ class MissingTariffError(LookupError):
 
 
 def require_tariff(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    """totals with their day's tariff; raises, naming up to ten households, if one has none."""
+    """totals with the tariff in force; raises, naming up to ten households, if one has none."""
     absent = [r["household_id"] for r in missing_tariff(totals, tariff).select("household_id").distinct().limit(10).collect()]
     if absent:
         raise MissingTariffError(", ".join(sorted(absent)))
-    return totals.join(tariff.withColumnRenamed("effective_date", "sim_date"), ["household_id", "sim_date"])
+    return billable(totals, tariff, totals.select("sim_date").distinct()).where("readings_count > 0")
+
+
+def billable(totals: DataFrame, tariff: DataFrame, days: DataFrame) -> DataFrame:
+    """Totals of days with the tariff in force; a household without readings has zeros.
+
+    Totals without a tariff, and tariffs of which two are in force, fail the query that reads them."""
+    held = tariff_effective(tariff, days).withColumnRenamed("effective_date", "tariff_effective_date").withColumn("__held", F.lit(True))
+    both = held.join(totals.join(days.select("sim_date").distinct(), "sim_date", "left_semi"), ["household_id", "sim_date"], "full")
+    where = F.concat(F.col("household_id"), F.lit(" on "), F.col("sim_date").cast("string"))
+    fault = F.when(F.col("__held").isNull(), F.raise_error(F.concat(F.lit("no tariff for "), where))).when(F.col("rows_in_force") > 1, F.raise_error(F.concat(F.lit("two tariffs for "), where)))
+    zero = {"consumption_kwh": F.lit(0).cast(KWH), "solar_kwh": F.lit(0).cast(KWH), "readings_count": F.lit(0).cast("long")}
+    out = both.where(fault.cast("string").isNull()).withColumns({n: F.coalesce(n, z) for n, z in zero.items()})
+    return out.select(*totals.columns, *[c for c in held.columns if c not in (*totals.columns, "rows_in_force", "__held")])
 
 
 def price(joined: DataFrame, total: str) -> DataFrame:
@@ -74,11 +95,15 @@ def price(joined: DataFrame, total: str) -> DataFrame:
     return joined.select(*keep, *[c.alias(total if n == "total" else n) for n, c in parts.items()])
 
 
-def daily_bills(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    """Final bills of all households with a tariff on the day, idle ones included."""
-    every = totals.unionByName(idle_households(totals, tariff))
-    dated = tariff.withColumn("sim_date", F.col("effective_date")).withColumnRenamed("effective_date", "tariff_effective_date")
-    return price(every.join(dated, ["household_id", "sim_date"]), "final_bill")
+def idle_households(totals: DataFrame, tariff: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Zero totals for those with a tariff in force on a day but no reading."""
+    return billable(totals, tariff, every_day(totals, tariff) if days is None else days).where("readings_count = 0").select(*totals.columns)
+
+
+def daily_bills(totals: DataFrame, tariff: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Final bills of days (sim_date; every_day if none are given): all households with a tariff in force, idle
+    ones included, at that tariff. A total without a tariff, or with two, fails the query."""
+    return price(billable(totals, tariff, every_day(totals, tariff) if days is None else days), "final_bill")
 
 
 def provisional_bills(totals: DataFrame, tariff: DataFrame) -> DataFrame:

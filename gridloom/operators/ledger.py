@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 STATES = ("running", "success", "failed", "superseded")
 
@@ -27,3 +32,61 @@ def finalised_days(runs: DataFrame) -> DataFrame:
 def current(history: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of the history (run_id) whose run is the day's successful one."""
     return history.join(runs.where("status = 'success'").select("run_id"), "run_id", "left_semi")
+
+
+EVENT = "run_id string, sim_date date, layer string, seq long, status string, rows_in long, rows_out long, at timestamp"
+
+
+class RunLedger:
+    """A ledger kept as Parquet: each change is one file of events, so it is there whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime] = datetime.now):
+        self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
+
+    def events(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(EVENT).parquet(f"{self.path}/*/")
+        except AnalysisException:  # nothing has been written yet
+            return self.spark.createDataFrame([], EVENT)
+
+    def runs(self) -> DataFrame:
+        return ledger_state(self.events())
+
+    def append(self, *changes: tuple) -> None:
+        """Changes (run_id, sim_date, layer, status, rows_in, rows_out) become events, in this order."""
+        last = self.events().agg(F.max("seq")).first()[0]
+        now, first = self.clock(), 0 if last is None else last + 1
+        rows = [(run, day, layer, first + k, status, read, made, now) for k, (run, day, layer, status, read, made) in enumerate(changes)]
+        self.spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(f"{self.path}/{first:012d}-{uuid.uuid4().hex}")
+
+    def start(self, run_id: str, day, layer: str = "batch") -> None:
+        self.append((run_id, day, layer, "running", None, None))
+
+    def fail(self, run_id: str, day, layer: str = "batch", rows_in: int | None = None) -> None:
+        self.append((run_id, day, layer, "failed", rows_in, None))
+
+    def succeed(self, run_id: str, day, rows_in: int, rows_out: int, layer: str = "batch") -> None:
+        """The run counts from now on, and the day's run that counted until now is superseded, both at once."""
+        before = self.runs().where((F.col("status") == "success") & (F.col("sim_date") == F.lit(day)) & (F.col("layer") == layer) & (F.col("run_id") != run_id)).collect()
+        self.append(*[(r.run_id, day, layer, "superseded", r.rows_in, r.rows_out) for r in before], (run_id, day, layer, "success", rows_in, rows_out))
+
+
+def publish_day(ledger: RunLedger, root: str, run_id: str, day, tables: dict[str, DataFrame], rows_in: int, counted: str) -> None:
+    """Write a run's tables for a day and make them the current ones in one step: readers (published) see the
+    rows of the run whose success the ledger tells, so all tables change together, and a run that fails
+    changes none. A table with rows of another day fails the run."""
+    ledger.start(run_id, day)
+    try:
+        for name, df in tables.items():
+            kept = df.withColumn("sim_date", F.when(F.col("sim_date").eqNullSafe(F.lit(day)), F.col("sim_date")).otherwise(F.raise_error(F.lit(f"{name}: rows of another day than {day}")).cast("date")))
+            kept.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/run_id={run_id}")
+        rows_out = ledger.spark.read.parquet(f"{root.rstrip('/')}/{counted}/run_id={run_id}").count()
+    except Exception:
+        ledger.fail(run_id, day, rows_in=rows_in)
+        raise
+    ledger.succeed(run_id, day, rows_in, rows_out)
+
+
+def published(ledger: RunLedger, root: str, name: str) -> DataFrame:
+    """The current rows of a published table, with the run that made them."""
+    return current(ledger.spark.read.parquet(f"{root.rstrip('/')}/{name}"), ledger.runs())

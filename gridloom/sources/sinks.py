@@ -23,9 +23,15 @@ def upsert_path(path: str, new: DataFrame, keys: list[str], order: Column | None
     out = f"{path}/v={version + 1}"
     upsert(old, new, keys, order).write.parquet(out)
     spark.createDataFrame([(version + 1,)], "version int").coalesce(1).write.parquet(f"{path}/_committed/{version + 1:09d}")
+    _delete(spark, f"{path}/v={version - 1}")  # readers of the version before may still be at it
     return out
 
 
+def _delete(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def current_version(spark, path: str) -> int:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/_committed")
@@ -55,11 +61,15 @@ def dead_letter_records(letters: DataFrame) -> DataFrame:
 
 
 def archive_tariff(tariff: DataFrame, path: str) -> None:
-    tariff.coalesce(1).write.mode("overwrite").parquet(path)
+    """Tariffs by the day they begin; days that are archived again are replaced, others stay."""
+    tariff.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("effective_date").parquet(path)
 
 
 def compact_day(spark, archive: str, day: str, target_rows: int = 1_000_000) -> None:
-    """Rewrite a closed day's small files into few, hour by hour."""
+    """Rewrite a closed day's small files into few, hour by hour, in place: the copy is complete before the
+    day's folder is written anew from it."""
+    copy = f"{archive}/_compacting/sim_date={day}"
     df = spark.read.parquet(f"{archive}/sim_date={day}")
-    files = max(1, -(-df.count() // target_rows))
-    df.repartition(files, "hour").write.partitionBy("hour").mode("overwrite").parquet(f"{archive}/_compacted/sim_date={day}")
+    df.repartition(max(1, -(-df.count() // target_rows)), "hour").write.partitionBy("hour").mode("overwrite").parquet(copy)
+    spark.read.parquet(copy).repartition("hour").write.partitionBy("hour").mode("overwrite").parquet(f"{archive}/sim_date={day}")
+    _delete(spark, copy)

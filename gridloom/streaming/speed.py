@@ -16,9 +16,6 @@ from gridloom.sources.readings import with_partitions
 from gridloom.sources.sinks import dead_letters, upsert_path
 from gridloom.types import SETTINGS, Settings
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def deduplicated(valid: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Each (meter_id, event_ts) once; rows behind the watermark of the batch before are dropped."""
     return valid.withWatermark("event_ts", s.watermark).dropDuplicates(["meter_id", "event_ts"])
@@ -71,26 +68,32 @@ def archive(readings: DataFrame, path: str, checkpoint: str, trigger: dict | Non
     return writer.partitionBy("sim_date", "hour").outputMode("append").trigger(**(trigger or {"processingTime": SETTINGS.trigger})).start()
 
 
+def _offsets(text: str | None) -> dict[tuple[str, str], int]:
+    """(topic, partition) to offset; nothing for a source that has not reported yet."""
+    read = json.loads(text) if text and text != "None" else None
+    return {(topic, part): n for topic, parts in (read or {}).items() for part, n in parts.items()}
+
+
 def lag_by_partition(end: str | None, latest: str | None) -> dict[str, int]:
-    """Records behind by topic partition, at least 0; empty if either side is missing."""
-    if not end or not latest:
-        return {}
-    done, top = json.loads(end), json.loads(latest)
-    return {f"{topic}-{p}": max(0, n - done.get(topic, {}).get(p, 0)) for topic, parts in top.items() for p, n in parts.items()}
+    """Records behind by topic partition, at least 0, of those partitions that both sides know."""
+    done, top = _offsets(end), _offsets(latest)
+    return {f"{topic}-{part}": max(0, top[topic, part] - done[topic, part]) for topic, part in sorted(top.keys() & done.keys())}
 
 
 class LagListener(StreamingQueryListener):
-    """The lag of each partition as of the last progress, the largest of all queries of a layer."""
+    """The lag of each partition as of the last progress, the largest of all sources of the queries named, or of
+    all queries."""
 
-    def __init__(self):
-        self.by_query: dict[str, dict[str, int]] = {}
+    def __init__(self, names: set[str] | None = None):
+        self.names = names
+        self.by_query: dict[str, list[dict[str, int]]] = {}
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        for source in event.progress.sources:
-            self.by_query[str(event.progress.id)] = lag_by_partition(source.endOffset, source.latestOffset)
+        if self.names is None or event.progress.name in self.names:
+            self.by_query[str(event.progress.id)] = [lag_by_partition(source.endOffset, source.latestOffset) for source in event.progress.sources]
 
     def onQueryIdle(self, event):
         pass
@@ -100,9 +103,9 @@ class LagListener(StreamingQueryListener):
 
     def lag(self) -> dict[str, int]:
         out: dict[str, int] = {}
-        for parts in self.by_query.values():
-            for k, n in parts.items():
-                out[k] = max(out.get(k, 0), n)
+        for sources in self.by_query.values():
+            for parts in sources:
+                out |= {k: max(out.get(k, 0), n) for k, n in parts.items()}
         return out
 
 

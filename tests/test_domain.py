@@ -11,6 +11,7 @@ from gridloom.functions.tariff import bill, blocks, pct_divergence, renewable_ra
 from gridloom.operators import billing, ledger, rollups, serving
 from gridloom.sources import readings as log
 from gridloom.sources import sinks
+from gridloom.streaming import speed
 from gridloom.streaming.speed import lag_by_partition
 from gridloom.types import Settings
 
@@ -88,6 +89,26 @@ def test_missing_tariff_is_named(spark):
         billing.require_tariff(totals, tariff)
 
 
+def priced(spark, totals, tariffs):
+    day = lambda d: dt.date(2024, 1, d)
+    rows = spark.createDataFrame([(h, day(d), D(k), D(0), 1) for h, d, k in totals], "household_id string, sim_date date, consumption_kwh decimal(12,4), solar_kwh decimal(12,4), readings_count long")
+    held = spark.createDataFrame([(h, day(d), *rate(fixed)) for h, d, fixed in tariffs], "household_id string, effective_date date, " + RATES)
+    return {(r.household_id, r.sim_date.day): (r.final_bill, r.tariff_effective_date.day, r.readings_count) for r in billing.daily_bills(rows, held).collect()}
+
+
+def test_bills_use_the_tariff_in_force(spark):
+    got = priced(spark, [("a", 3, "10"), ("a", 5, "10"), ("b", 5, "0")], [("a", 1, "1.00"), ("a", 4, "2.00"), ("b", 2, "3.00"), ("a", 9, "999.00")])
+    assert got[("a", 3)] == (D("81.00"), 1, 1) and got[("a", 5)] == (D("82.00"), 4, 1) and got[("b", 5)] == (D("3.00"), 2, 1)
+    assert got[("b", 3)] == (D("3.00"), 2, 0) and got[("a", 9)] == (D("999.00"), 9, 0) and ("b", 1) not in got
+
+
+def test_bills_fail_without_a_tariff_or_with_two(spark):
+    with pytest.raises(Exception, match="no tariff for b on 2024-01-03"):
+        priced(spark, [("a", 3, "1"), ("b", 3, "1")], [("a", 3, "1.00"), ("b", 4, "1.00")])
+    with pytest.raises(Exception, match="two tariffs for a on 2024-01-02"):
+        priced(spark, [("a", 3, "1")], [("a", 2, "1.00"), ("a", 2, "2.00")])
+
+
 def test_zone_export_nets_by_household_day(spark):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     df = spark.createDataFrame([("ZONE-A", "h1", "m1", at(1), D("1.0"), D("0")), ("ZONE-A", "h1", "m1", at(12), D("0.2"), D("2.0")), ("ZONE-A", "h2", "m2", at(1), D("0.6"), D("0"))], "grid_zone string, household_id string, meter_id string, event_ts timestamp, consumption_kwh decimal(12,4), solar_generation_kwh decimal(12,4)")
@@ -118,8 +139,9 @@ def test_ledger_serves_the_successful_run(spark):
 
 
 def test_lag_and_arguments():
-    assert lag_by_partition('{"t": {"0": 5}}', '{"t": {"0": 9, "1": 2}}') == {"t-0": 4, "t-1": 2}
-    assert lag_by_partition(None, "{}") == {}
+    assert lag_by_partition('{"t": {"0": 5}}', '{"t": {"0": 9, "1": 2}}') == {"t-0": 4}
+    assert lag_by_partition('{"t": {"0": 9}, "u": {"0": 1}}', '{"t": {"0": 5}, "u": {"0": 3}}') == {"t-0": 0, "u-0": 2}
+    assert lag_by_partition(None, "{}") == lag_by_partition("None", '{"t": {"0": 9}}') == lag_by_partition('{"t": {"0": 9}}', "None") == {}
     with pytest.raises(ValueError):
         serving.history_minutes(0)
     assert "restated" in serving.render_report("2024-01-01", {"bills": None}, [], True)
@@ -142,3 +164,49 @@ def test_day_scan_prunes_partitions_and_columns(spark, tmp_path):
     one = log.read_day(spark, str(tmp_path / "raw"), "2024-01-02")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == 1 and "voltage" not in plan and "PartitionFilters: [isnotnull(sim_date" in plan
+
+
+def test_a_published_day_changes_as_a_whole(spark, tmp_path):
+    day, root = dt.date(2024, 1, 3), str(tmp_path / "tables")
+    book = ledger.RunLedger(spark, str(tmp_path / "ledger"))
+    rows = lambda n, d=day: spark.createDataFrame([(f"h{k}", d, n) for k in range(n)], "household_id string, sim_date date, bill int")
+    now = lambda name: sorted((r.run_id, r.bill) for r in ledger.published(book, root, name).collect())
+    assert not book.runs().count()
+    ledger.publish_day(book, root, "r1", day, {"bills": rows(2), "rejects": rows(1)}, 10, "bills")
+    assert now("bills") == [("r1", 2)] * 2 and now("rejects") == [("r1", 1)]
+    with pytest.raises(Exception, match="rows of another day"):
+        ledger.publish_day(book, root, "r2", day, {"bills": rows(3), "rejects": rows(1, dt.date(2024, 1, 4))}, 10, "bills")
+    assert now("bills") == [("r1", 2)] * 2
+    ledger.publish_day(book, root, "r3", day, {"bills": rows(4), "rejects": rows(2)}, 12, "bills")
+    assert now("bills") == [("r3", 4)] * 4 and now("rejects") == [("r3", 2)] * 2
+    assert {(r.run_id, r.status, r.rows_in, r.rows_out) for r in book.runs().collect()} == {("r1", "superseded", 10, 2), ("r2", "failed", 10, None), ("r3", "success", 12, 4)}
+    assert not ledger.double_success(book.runs()).count()
+
+
+def test_late_rows_restarts_and_rewritten_batches(spark, tmp_path):
+    t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "meter_id string, household_id string, grid_zone string, event_ts timestamp, consumption_kwh decimal(12,4), solar_generation_kwh decimal(12,4)"
+    put = lambda n, rows: spark.createDataFrame([("m", "HH-0001", "ZONE-A", at, D(k), D(0)) for at, k in rows], schema).write.parquet(f"{tmp_path}/in/{n}")
+    roster = spark.createDataFrame([("HH-0001",)], "household_id string")
+    view = f"{tmp_path}/view"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        speed.start(speed.zone_stream(stream, roster), speed.upsert_sink(view, ["grid_zone", "window_start"]), f"{tmp_path}/check", "late", trigger={"availableNow": True}).awaitTermination()
+        return {r.window_start: r.total_consumption_kwh for r in spark.read.parquet(f"{view}/v={sinks.current_version(spark, view)}").collect()}
+
+    put(1, [(t(1), 1), (t(1), 1), (t(1, 5), 2)])
+    assert run() == {t(1): D(3)}
+    put(2, [(t(6), 4)])
+    assert run() == {t(1): D(3), t(6): D(4)}
+    put(3, [(t(1, 10), 9), (t(5, 50), 5)])  # after a restart: behind the watermark, and within it
+    assert run() == {t(1): D(3), t(6): D(4), t(5, 45): D(5)}
+
+
+def test_archived_days_are_compacted_in_place(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    df = spark.range(40).selectExpr("id", "cast(id % 2 AS int) AS hour")
+    df.repartition(8).write.partitionBy("hour").parquet(f"{root}/sim_date=2024-01-01")
+    sinks.compact_day(spark, root, "2024-01-01")
+    assert sorted(r.id for r in spark.read.parquet(root).collect()) == list(range(40))
+    assert len(list((tmp_path / "archive" / "sim_date=2024-01-01" / "hour=0").glob("*.parquet"))) == 1
