@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.tariff import netting, renewable_ratio
 from gridloom.operators.billing import exact_sum
-from gridloom.types import KWH, SETTINGS, Settings
+from gridloom.types import KWH, SETTINGS, TOTAL, Settings
 
 
 def zone_windows(valid: DataFrame, s: Settings = SETTINGS, streaming: bool = False) -> DataFrame:
@@ -32,26 +32,30 @@ def peak_windows(windows: DataFrame) -> DataFrame:
     return out.select("grid_zone", "sim_date", F.timestamp_micros(-F.col("m.back")).alias("peak_window_start"), F.col("m.total_consumption_kwh").alias("peak_consumption_kwh"))
 
 
-def zone_daily(valid: DataFrame) -> DataFrame:
+def zone_daily(valid: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Zone days: households are netted by day first, then added up; with meters, readings and the peak window.
 
-    Distinct meters are counted by way of the household days: a meter belongs to one of them.
+    Readings are aggregated once, by zone, day, household, meter and window; days and windows are both sums of
+    that. Distinct meters are counted by way of the household days: a meter belongs to one of them.
     """
-    day = valid.groupBy("grid_zone", F.to_date("event_ts").alias("sim_date"), "household_id").agg(exact_sum("consumption_kwh").alias("c"), exact_sum("solar_generation_kwh").alias("s"), F.count_distinct("meter_id").alias("meters"), F.count("*").alias("n"))
+    keys = ["grid_zone", F.to_date("event_ts").alias("sim_date"), "household_id", "meter_id", F.window("event_ts", s.window)["start"].alias("window_start")]
+    fine = valid.groupBy(*keys).agg(exact_sum("consumption_kwh").alias("c"), exact_sum("solar_generation_kwh").alias("s"), F.count("*").alias("n"))
+    day = fine.groupBy("grid_zone", "sim_date", "household_id").agg(F.sum("c").cast(KWH).alias("c"), F.sum("s").cast(KWH).alias("s"), F.count_distinct("meter_id").alias("meters"), F.sum("n").alias("n"))
     nets = netting(F.col("c"), F.col("s"))
     day = day.select("*", nets["billable_import_kwh"].alias("bought"), nets["export_kwh"].alias("sold"))
-    added = lambda c: F.sum(c).cast(KWH)
-    out = day.groupBy("grid_zone", "sim_date").agg(added("c").alias("total_consumption_kwh"), added("s").alias("total_solar_kwh"), added("bought").alias("total_import_kwh"), added("sold").alias("total_export_kwh"), F.sum("meters").alias("active_meters"), F.sum("n").alias("readings_count"))
+    names = {"c": "total_consumption_kwh", "s": "total_solar_kwh", "bought": "total_import_kwh", "sold": "total_export_kwh"}
+    out = day.groupBy("grid_zone", "sim_date").agg(*[F.sum(c).cast(TOTAL).alias(n) for c, n in names.items()], F.sum("meters").alias("active_meters"), F.sum("n").alias("readings_count"))
     out = out.withColumn("renewable_ratio", renewable_ratio(F.col("total_solar_kwh"), F.col("total_consumption_kwh")))
-    return out.join(peak_windows(zone_windows(valid)), ["grid_zone", "sim_date"])
+    windows = fine.groupBy("grid_zone", "window_start").agg(F.sum("c").cast(TOTAL).alias("total_consumption_kwh"))
+    return out.join(peak_windows(windows), ["grid_zone", "sim_date"])
 
 
 def cross_check(zones: DataFrame, households: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Per day the difference of the zones' and the households' totals, and whether it is within tolerance."""
-    z = zones.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast(KWH).alias("zone_kwh"))
-    h = households.groupBy("sim_date").agg(F.sum("consumption_kwh").cast(KWH).alias("household_kwh"))
-    out = z.join(h, "sim_date", "full").withColumn("gap_kwh", F.abs(F.coalesce("zone_kwh", F.lit(0)) - F.coalesce("household_kwh", F.lit(0))).cast(KWH))
-    return out.withColumn("within", F.col("gap_kwh") <= F.lit(s.cross_check_kwh).cast(KWH))
+    z = zones.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast(TOTAL).alias("zone_kwh"))
+    h = households.groupBy("sim_date").agg(F.sum("consumption_kwh").cast(TOTAL).alias("household_kwh"))
+    out = z.join(h, "sim_date", "full").withColumn("gap_kwh", F.abs(F.coalesce("zone_kwh", F.lit(0)) - F.coalesce("household_kwh", F.lit(0))).cast(TOTAL))
+    return out.withColumn("within", F.col("gap_kwh") <= F.lit(s.cross_check_kwh).cast(TOTAL))
 
 
 def latest_by_zone(windows: DataFrame) -> DataFrame:
@@ -67,5 +71,5 @@ def retained(windows: DataFrame, as_of, s: Settings = SETTINGS) -> DataFrame:
 
 def grid_totals(windows: DataFrame) -> DataFrame:
     """All zones together by window, and each window's share of sunshine."""
-    out = windows.groupBy("window_start").agg(F.sum("total_consumption_kwh").cast(KWH).alias("consumption_kwh"), F.sum("total_solar_kwh").cast(KWH).alias("solar_kwh"), F.count("*").alias("zones"))
+    out = windows.groupBy("window_start").agg(F.sum("total_consumption_kwh").cast(TOTAL).alias("consumption_kwh"), F.sum("total_solar_kwh").cast(TOTAL).alias("solar_kwh"), F.count("*").alias("zones"))
     return out.withColumn("renewable_ratio", renewable_ratio(F.col("solar_kwh"), F.col("consumption_kwh")))

@@ -64,9 +64,14 @@ def solar_kwh(hour: Column, cloud_pct: Column, peak: float = 1.0) -> Column:
     return F.lit(peak) * solar_shape(hour) * (1 - F.lit(0.8) * cloud_pct / 100)
 
 
+#: Seconds by which readings of an outage arrive late.
+BACKFILL = 2700
+
+
 def with_faults(readings: DataFrame) -> DataFrame:
     """Readings with deterministic faults by event_id and an ingest time: exclusive faults in a fixed order of
-    their residues, duplicates beside them, sent again five seconds later."""
+    their residues, duplicates beside them, sent again five seconds later. One meter reading in forty waits out an
+    outage and arrives with a backfill, three quarters of an hour late."""
     e = F.col("event_id")
     lost, negative, stranger, nowhere, ancient = e % 100 == 1, e % 200 == 3, e % 200 == 5, e % 500 == 7, e % 500 == 9
     out = readings.withColumns({
@@ -76,7 +81,9 @@ def with_faults(readings: DataFrame) -> DataFrame:
         "event_ts": F.when(ancient, F.col("event_ts") - F.expr("INTERVAL 25 YEARS")).otherwise(F.col("event_ts")),
     })
     copies = F.when(e % 50 == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
-    return out.withColumn("late", F.explode(copies)).withColumn("ingest_ts", F.expr("event_ts + make_interval(0, 0, 0, 0, 0, 0, late)")).drop("late")
+    again, outage = F.explode(copies).alias("again"), F.when(e % 40 == 11, F.lit(BACKFILL)).otherwise(F.lit(0))
+    out = out.select("*", again).withColumn("late", F.col("again") + outage).drop("again")
+    return out.withColumn("ingest_ts", F.expr("event_ts + make_interval(0, 0, 0, 0, 0, 0, late)")).drop("late")
 
 
 def closed_days_owed(dropped: DataFrame, today: Column, cap: int = 7) -> DataFrame:

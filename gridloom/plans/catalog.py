@@ -102,8 +102,8 @@ def latencies(w: World) -> DataFrame:
 
 
 def report(w: World) -> DataFrame:
-    bills = w.bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(12,2)").alias("billed"))
-    zones = w.zone_days.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast("decimal(12,4)").alias("zone_kwh"))
+    bills = w.bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(18,2)").alias("billed"))
+    zones = w.zone_days.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast("decimal(18,4)").alias("zone_kwh"))
     rec = w.reconciled.groupBy("sim_date").agg(F.count("*").alias("reconciled"))
     runs = w.runs.groupBy("sim_date").agg(F.count("*").alias("runs"), F.bool_or(F.col("status") == "superseded").alias("restated"))
     return bills.join(zones, "sim_date", "left").join(rec, "sim_date", "left").join(runs, "sim_date", "left")
@@ -183,7 +183,7 @@ ENTRIES: dict[str, Entry] = {
     "tariff_ties": Entry(lambda w: billing.tariff_ties(w.tariff.unionByName(w.tariff.where("billing_tier = 'TIER_1'")), w.open_days.select("sim_date")), "household_id; sim_date:d=effective_date; effective_date:d; rows_in_force:i=2", "tariff WHERE billing_tier = 'TIER_1'"),
     "reconciliation": Entry(lambda w: w.reconciled, _REC, "reconciled"),
     "reconciliation_unmatched": Entry(lambda w: reconcile.unmatched(w.speed_bills, w.bills), "household_id; sim_date:d; side", "sides", _SIDES),
-    "bill_history_audit": Entry(lambda w: w.history.join(w.runs.select("run_id", "status"), "run_id").groupBy("run_id", "sim_date", "status").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(12,2)").alias("billed")), "run_id; sim_date:d; status; bills:i; billed:n", "(SELECT h.run_id, h.sim_date, r.status, count(*) AS bills, sum(final_bill) AS billed FROM history h JOIN runs r ON r.run_id = h.run_id GROUP BY 1, 2, 3)"),
+    "bill_history_audit": Entry(lambda w: w.history.join(w.runs.select("run_id", "status"), "run_id").groupBy("run_id", "sim_date", "status").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(18,2)").alias("billed")), "run_id; sim_date:d; status; bills:i; billed:n", "(SELECT h.run_id, h.sim_date, r.status, count(*) AS bills, sum(final_bill) AS billed FROM history h JOIN runs r ON r.run_id = h.run_id GROUP BY 1, 2, 3)"),
     "kwh_shortfall": Entry(lambda w: reconcile.kwh_shortfall(w.speed_bills, w.bills), "sim_date:d; kwh_shortfall_pct:n", "gap_day", _SPLIT),
     "windows_on_real_axis": Entry(lambda w: w.windows.select("grid_zone", "window_start", clock.to_real(F.col("window_start")).alias("real_start"), clock.to_real(F.col("window_end")).alias("real_end")), "grid_zone; window_start:t; real_start:t=TIMESTAMP '2024-06-01' + to_microseconds((epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288); real_end:t=TIMESTAMP '2024-06-01' + to_microseconds((epoch_us(window_end) - epoch_us(TIMESTAMP '2024-01-01')) // 288)", "windows"),
     "finalised_days": Entry(lambda w: ledger.finalised_days(w.runs), "sim_date:d", "finalised"),
@@ -196,13 +196,13 @@ ENTRIES: dict[str, Entry] = {
     "zone_daily_rollup": Entry(lambda w: w.zone_days, _ZONE_DAY, "zone_days"),
     "peak_window": Entry(lambda w: rollups.peak_windows(rollups.zone_windows(w.batch_valid)), "grid_zone; sim_date:d; peak_window_start:t; peak_consumption_kwh:n", "peaks"),
     "latest_ratio": Entry(lambda w: w.windows.groupBy("grid_zone").agg(F.max_by("renewable_ratio", "window_start").alias("renewable_ratio")), "grid_zone; renewable_ratio:n", "latest", _LATEST),
-    "billing_summary": Entry(lambda w: day(w.bills).groupBy().agg(F.count("*").alias("bills"), F.coalesce(F.sum("final_bill"), F.lit(0)).cast("decimal(12,2)").alias("billed"), F.coalesce(F.sum("export_kwh"), F.lit(0)).cast("decimal(12,4)").alias("exported")).where("bills > 0"), "bills:i; billed:n; exported:n", f"(SELECT count(*) AS bills, sum(final_bill) AS billed, sum(export_kwh) AS exported FROM bills WHERE sim_date = DATE '{DAY}') WHERE bills > 0"),
+    "billing_summary": Entry(lambda w: day(w.bills).groupBy().agg(F.count("*").alias("bills"), F.coalesce(F.sum("final_bill"), F.lit(0)).cast("decimal(18,2)").alias("billed"), F.coalesce(F.sum("export_kwh"), F.lit(0)).cast("decimal(12,4)").alias("exported")).where("bills > 0"), "bills:i; billed:n; exported:n", f"(SELECT count(*) AS bills, sum(final_bill) AS billed, sum(export_kwh) AS exported FROM bills WHERE sim_date = DATE '{DAY}') WHERE bills > 0"),
     "rejected_recent": Entry(lambda w: w.marked.where((F.col("reason").isNotNull()) & (F.col("ingest_ts") >= at("2024-01-20 00:00:00"))).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason"), "reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND ingest_ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"),
     "rejected_for_day": Entry(lambda w: day(late_letters(w).withColumn("sim_date", F.to_date(F.substring(F.get_json_object("raw_payload", "$.event_ts"), 1, 10)))).where("stage = 'speed'").groupBy("reason").agg(F.count("*").alias("n")), "reason; n:i", f"(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND CAST(event_ts AS DATE) = DATE '{DAY}' GROUP BY 1)"),
     "reconciliation_summary": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(F.count("*").alias("n"), reconcile.mean("abs_divergence", 2).alias("mean_abs"), reconcile.mean("pct_divergence", 3).alias("mean_pct")), "sim_date:d; n:i; mean_abs:n; mean_pct:n", f"(SELECT sim_date, count(*) AS n, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct FROM reconciled GROUP BY 1)"),
     "divergence_summary": Entry(lambda w: reconcile.divergence_summary(w.reconciled, w.speed_bills, w.bills), "sim_date:d; households:i; mean_pct:n; max_pct:n; mean_abs:n; tariff_share_pct:n; kwh_shortfall_pct:n", f"(SELECT sim_date, count(*) AS households, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, CASE WHEN sum(abs(tariff_effect)) + sum(abs(data_effect)) > 0 THEN {oracle.ratio('sum(abs(tariff_effect)) * 100', '(sum(abs(tariff_effect)) + sum(abs(data_effect)))', 2, 100)} END AS tariff_share_pct FROM reconciled GROUP BY 1) JOIN gap_day USING (sim_date)", _SPLIT),
     "divergence_by_day": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(reconcile.mean("pct_divergence", 3).alias("mean_pct"), F.max("pct_divergence").alias("max_pct")), "sim_date:d; mean_pct:n; max_pct:n", f"(SELECT sim_date, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct FROM reconciled GROUP BY 1)"),
-    "effects_by_day": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(F.sum("tariff_effect").cast("decimal(12,2)").alias("tariff_effect"), F.sum("data_effect").cast("decimal(12,2)").alias("data_effect")), "sim_date:d; tariff_effect:n; data_effect:n", "(SELECT sim_date, sum(tariff_effect) AS tariff_effect, sum(data_effect) AS data_effect FROM reconciled GROUP BY 1)"),
+    "effects_by_day": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(F.sum("tariff_effect").cast("decimal(18,2)").alias("tariff_effect"), F.sum("data_effect").cast("decimal(18,2)").alias("data_effect")), "sim_date:d; tariff_effect:n; data_effect:n", "(SELECT sim_date, sum(tariff_effect) AS tariff_effect, sum(data_effect) AS data_effect FROM reconciled GROUP BY 1)"),
     "bill_sanity": Entry(lambda w: w.bills.groupBy("sim_date").agg(F.count_if(F.col("final_bill") < 0).alias("negative"), F.count_if(F.col("readings_count") == 0).alias("idle"), F.count_if(F.col("consumption_kwh").isNull()).alias("no_kwh"), F.count("*").alias("bills")), "sim_date:d; negative:i; idle:i; no_kwh:i=0; bills:i", "(SELECT sim_date, count(*) FILTER (WHERE final_bill < 0) AS negative, count(*) FILTER (WHERE readings_count = 0) AS idle, count(*) AS bills FROM bills GROUP BY 1)"),
     "bill_row_count": Entry(lambda w: w.bills.groupBy("sim_date").agg(F.count("*").alias("bills")).crossJoin(F.broadcast(w.roster.agg(F.count("*").alias("expected")))).withColumn("ok", F.col("bills") == F.col("expected")), "sim_date:d; bills:i; expected:i; ok=bills = expected", "(SELECT sim_date, count(*) AS bills, (SELECT count(*) FROM roster) AS expected FROM bills GROUP BY 1)"),
     "offset_gaps": Entry(lambda w: w.events.where("event_id % 301 <> 7").select((F.col("event_id") % 3).alias("partition"), F.floor(F.col("event_id") / 3).alias("offset")).groupBy("partition").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.count_distinct("offset").alias("seen")).withColumn("missing", F.col("hi") - F.col("lo") + 1 - F.col("seen")), "partition:i; lo:i; hi:i; seen:i; missing:i=hi - lo + 1 - seen", "(SELECT event_id % 3 AS partition, min(event_id // 3) AS lo, max(event_id // 3) AS hi, count(DISTINCT event_id // 3) AS seen FROM readings WHERE event_id % 301 <> 7 GROUP BY 1)"),

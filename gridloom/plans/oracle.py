@@ -55,7 +55,7 @@ RELATIONS = {
     "tariff_all": f"SELECT {_TARIFF} FROM roster CROSS JOIN days",
     "tariff": f"SELECT {_TARIFF} FROM roster CROSS JOIN open_days",
     "raw": """SELECT event_id, meter_id, CASE WHEN event_id % 100 = 1 THEN '' WHEN event_id % 200 = 5 THEN 'HH-9999' ELSE household_id END AS household_id,
-        CASE WHEN event_id % 500 = 7 THEN 'ZONE-Z' ELSE grid_zone END AS grid_zone, t AS event_ts, t + to_seconds(late) AS ingest_ts,
+        CASE WHEN event_id % 500 = 7 THEN 'ZONE-Z' ELSE grid_zone END AS grid_zone, t AS event_ts, t + to_seconds(late + CASE WHEN event_id % 40 = 11 THEN 2700 ELSE 0 END) AS ingest_ts,
         CASE WHEN event_id % 200 = 3 THEN CAST(-(consumption_kwh + 1) AS DECIMAL(12,4)) ELSE consumption_kwh END AS consumption_kwh, solar_generation_kwh
         FROM (SELECT *, CASE WHEN event_id % 500 = 9 THEN event_ts - INTERVAL 25 YEAR ELSE event_ts END AS t FROM readings) CROSS JOIN (SELECT unnest([0, 5]) AS late) WHERE late = 0 OR event_id % 50 = 0""",
     "marked": f"SELECT *, {_REASON} AS reason FROM raw",
@@ -64,7 +64,7 @@ RELATIONS = {
     "totals": f"SELECT household_id, CAST(event_ts AS DATE) AS sim_date, {_SUMS}, count(*) AS readings_count FROM batch_valid GROUP BY 1, 2",
     "every": "SELECT t.household_id, t.effective_date AS sim_date, coalesce(d.consumption_kwh, 0) AS consumption_kwh, coalesce(d.solar_kwh, 0) AS solar_kwh, coalesce(d.readings_count, 0) AS readings_count, t.* EXCLUDE (household_id) FROM tariff t LEFT JOIN totals d ON d.household_id = t.household_id AND d.sim_date = t.effective_date",
     "bills": f"SELECT *, effective_date AS tariff_effective_date, {bill('final_bill')} FROM every",
-    "speed_valid": f"SELECT * FROM (SELECT * FROM marked WHERE reason IS NULL {_FIRST}) WHERE event_id % 40 <> 11",
+    "speed_valid": f"SELECT * FROM (SELECT * FROM marked WHERE reason IS NULL {_FIRST}) WHERE ingest_ts <= event_ts + INTERVAL 30 MINUTE",
     "speed_totals": f"SELECT household_id, CAST(event_ts AS DATE) AS sim_date, {_SUMS}, count(*) AS readings_count FROM speed_valid GROUP BY 1, 2",
     "speed_bills": f"SELECT *, {bill('estimated_bill')} FROM (SELECT s.*, t.* EXCLUDE (household_id, effective_date), t.effective_date AS tariff_source_date FROM speed_totals s JOIN tariff_all t ON t.household_id = s.household_id AND t.effective_date = s.sim_date - 1)",
     "w": "SELECT grid_zone, time_bucket(INTERVAL '15 minutes', event_ts) AS window_start, CAST(sum(consumption_kwh) AS DECIMAL(12,4)) AS c, CAST(sum(solar_generation_kwh) AS DECIMAL(12,4)) AS s, count(DISTINCT meter_id) AS active_meters, max(event_ts) AS last_event_ts FROM speed_valid GROUP BY 1, 2",

@@ -11,6 +11,9 @@ from pyspark.sql.types import (
 
 KWH, MONEY, PERCENT, DIVERGENCE, RATIO = DecimalType(12, 4), DecimalType(12, 2), DecimalType(5, 2), DecimalType(6, 3), DecimalType(5, 4)
 
+#: Energy of zones, grids and days, which a household's type can't hold.
+TOTAL = DecimalType(18, 4)
+
 #: A meter reading as it comes from the log. Everything is nullable: decoding does not enforce more.
 READING = StructType([StructField(n, t) for n, t in (
     ("schema_version", StringType()), ("event_id", StringType()), ("trace_id", StringType()), ("meter_id", StringType()), ("household_id", StringType()), ("grid_zone", StringType()),
