@@ -6,6 +6,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -89,14 +90,18 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """These tables go, and with them the shuffle files of what has been written: the driver's collector
-        finds the finished plans, and Spark's cleaner deletes their files."""
+        """These tables go."""
         unstage(*tables)
         gone = {id(df) for df in tables}
         self.tables = [df for df in self.tables if id(df) not in gone]
-        if tables:
+
+    def release(self, spark: SparkSession) -> None:
+        """After a large shuffle has been read and its result written: the driver's collectors find the finished
+        plan, and Spark's cleaner, which takes a moment, deletes its files."""
+        for _ in range(2):
             gc.collect()
-            tables[0].sparkSession._jvm.System.gc()
+            spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def __enter__(self) -> Scratch:
         return self
@@ -139,6 +144,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return stage.keep(low.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Batches of at most so many rows for Python, where rows are large; of what is written within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_batch(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with rows as Python lists: run takes an iterator of {column: list} and yields such dicts.
 

@@ -242,6 +242,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         asked = by_batch(source, _chunks(buckets, True), _ASKED)
         totals = stage(by_batch(asked.repartition(buckets, "bucket"), _added, "chunk bigint, grams int, bucket int, b binary, t binary, vocabulary bigint"))
         stage.drop(wanted)
+        del asked
+        stage.release(spark)
         vocabulary = totals.agg(F.sum("vocabulary")).first()[0] or 0
         answers = totals.where("chunk IS NOT NULL").select("chunk", "grams", "bucket", "b", "t")
         own = rows.select("ids", "chunk", "words", "codes", "sizes", "target")
