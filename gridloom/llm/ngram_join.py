@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import Scratch, by_batch, collected_blocks, components, documents, packed, summed_blocks
+from gridloom.llm._common import Scratch, by_batch, collected_blocks, components, documents, packed, small_batches, summed_blocks
 
 #: Counters in each of the sketch's two rows, and in a block of them; sums are the same for any number of tasks.
 ROW, BLOCK = 1 << 21, 1 << 16
@@ -95,7 +95,7 @@ class Orders:
 
 
 def _profile(source: Iterator[dict]) -> Iterator[dict]:
-    """Rows of documents (doc_id, n, node) and, after them, blocks of this task's sketch."""
+    """Rows of documents (doc_id, hash, n, node) and, after them, blocks of this task's sketch."""
     sketch = np.zeros(2 * ROW, np.int64)
     pending, waiting = [], 0
 
@@ -117,12 +117,12 @@ def _profile(source: Iterator[dict]) -> Iterator[dict]:
             if waiting > ROW:
                 add()
                 waiting = 0
-        yield {"doc_id": ids, "n": sizes, "node": nodes, "block": [None] * len(ids), "counts": [None] * len(ids)}
+        yield {"doc_id": ids, "hash": batch["hash"], "n": sizes, "node": nodes, "block": [None] * len(ids), "counts": [None] * len(ids)}
     if pending:
         add()
     blocks = [k for k in range(2 * ROW // BLOCK) if sketch[k * BLOCK : (k + 1) * BLOCK].any()]
     none = [None] * len(blocks)
-    yield {"doc_id": none, "n": none, "node": none, "block": blocks, "counts": [packed(sketch[k * BLOCK : (k + 1) * BLOCK]) for k in blocks]}
+    yield {"doc_id": none, "hash": none, "n": none, "node": none, "block": blocks, "counts": [packed(sketch[k * BLOCK : (k + 1) * BLOCK]) for k in blocks]}
 
 
 _BLOB = "bucket int, token binary, top binary, reach binary, doc binary, node binary, n binary"
@@ -288,13 +288,20 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, stage: Scratch) ->
     """Verified pairs, staged: the filters of the other orders first, on prefixes alone, then whole sets of the rest."""
 
     def beside(rows: DataFrame, **columns: str) -> DataFrame:
+        # only rows of classes that are asked for move
+        asked = stage(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        own = sets.join(F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked, "node", "left_semi")
         for side in "ab":
-            rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(n.format(side)) for n, c in columns.items()]), side)
+            rows = rows.join(own.select(F.col("node").alias(side), *[F.col(c).alias(n.format(side)) for n, c in columns.items()]), side)
         return rows
 
-    both = stage(by_batch(beside(pairs, **{"{}2": "second", "{}3": "third"}), _sharing, _PAIR))
-    whole = beside(both, **{"{}set": "found"}).withColumnsRenamed({"aset": "x", "bset": "y"})
-    return stage(by_batch(whole, _reaching(percent), _PAIR))
+    with small_batches(pairs.sparkSession, 256):  # a set may be long
+        both = stage(by_batch(beside(pairs, **{"{}2": "second", "{}3": "third"}), _sharing, _PAIR))
+        whole = beside(both, **{"{}set": "found"}).withColumnsRenamed({"aset": "x", "bset": "y"})
+        out = stage(by_batch(whole, _reaching(percent), _PAIR))
+    stage.drop(both)
+    stage.release(pairs.sparkSession)
+    return out
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -318,21 +325,23 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _components(docs: DataFrame, percent: int, stage: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, node) of all documents, and (node, component_id) of all classes; both staged."""
     spark = docs.sparkSession
-    profile = stage(by_batch(docs, _profile, "doc_id bigint, n bigint, node bigint, block int, counts binary"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    profile = stage(by_batch(docs, _profile, "doc_id bigint, hash bigint, n bigint, node bigint, block int, counts binary"))
     rows = profile.where("block IS NULL").select("doc_id", "n", "node")
-    classes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    named = profile.where("block IS NULL AND node IS NOT NULL")
+    classes = stage(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("hash").alias("hash"), F.first("n").alias("n")))
     sketch = spark.sparkContext.broadcast(collected_blocks(summed_blocks(profile.where("block IS NOT NULL")), 2 * ROW))
     total = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARE))
     blobs = by_batch(docs.select("text"), _prefixes(sketch, buckets), _BLOB)
     groups = stage(by_batch(blobs.repartition(buckets, "bucket"), _meetings, _GROUP))
     # only classes that meet another one are looked at again, and their texts are read once
-    need = stage(groups.select(F.explode("nodes").alias("node")).distinct().join(classes, "node").select("doc_id", "node"))
+    need = stage(groups.select(F.explode("nodes").alias("node")).distinct().join(classes, "node").select("hash", "node"))
     wanted = F.broadcast(need) if need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else need
-    ids = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))  # a class may have no row with an id
-    texts = docs.alias("a").join(wanted.alias("b"), ids).select("b.node", "a.text")
+    texts = docs.join(wanted, "hash").select("node", "text")  # one of a class's texts, whatever its id
     sets = stage(by_batch(texts, _sets(sketch), "node bigint, found binary, second binary, third binary").dropDuplicates(["node"]))
     stage.drop(need)
+    stage.release(spark)
     pairs = stage(by_batch(groups, _with_smallest, _PAIR).distinct())
     edges = _verify(pairs, sets, percent, stage)
     named = components(edges)
