@@ -317,3 +317,64 @@ def test_lm_scoring_equals_counts_of_the_other_documents(spark, monkeypatch):
     got = {x.doc_id: x for x in lm_scoring.score(docs, spark.createDataFrame([(k,) for k in good], "doc_id long")).collect()}
     for k, (t, b) in enumerate(want):
         assert got[k].n_tokens == len(tokens[k]) and math.isclose(got[k].target_loss, t, rel_tol=1e-9) and math.isclose(got[k].background_loss, b, rel_tol=1e-9)
+
+
+def test_personal_data_query_equals_brute_force(spark, data):
+    import hashlib
+
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, text):
+        digits = re.sub("[^0-9]", "", text)
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in text.split(".")), "card": 12 <= len(digits) <= 19 and personal_data.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in personal_data.op9_personal_data(spark, data).collect()}
+    assert got.keys() == texts.keys() and sum(r.n_email for r in got.values())
+    for i, text in texts.items():
+        want = sorted(((m.start(), list(kinds).index(k), m.end(), k) for k, p in kinds.items() for m in re.finditer(p, text) if holds(k, m[0])))
+        said = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        r = got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in want) for k in kinds]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) - {""} <= set(r.spans.split(","))
+        assert len(r.scores.split(",")) == len(r.spans.split(","))
+
+
+def test_secrets_need_an_announcement():
+    said = lambda t: [k for k, *_ in personal_data.spans(t)]
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    assert said(f'api_key = "{key}"') == said(f'x = "{key}"') == ["secret"] and said(f"commit {key} of it") == [] == said("key 0123456789012345678901234567890123456789x")
+
+
+def test_fingerprints_equal_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    r = random.Random(41)
+    texts = ["", None, "one", "One  two", *[prose(r.randint(3, 80), r) for _ in range(12)], "long " * 20000 + "end"]
+    long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+
+    def fingerprint(text):
+        words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+        seeds = {k: xxhash.xxh64_intdigest(struct.pack("<i", k), 42) for k in (1, 2, 3, 4)}
+        out = 0
+        for word in (0, 1):
+            votes = np.zeros(64, np.int64)
+            for terms, weight in (([long(x, seeds[1 + word]) for x in words], doc_fingerprints.SINGLE), ([long(b, long(a, seeds[3 + word])) for a, b in zip(words, words[1:])], doc_fingerprints.PAIR)):
+                for h in terms:
+                    votes += weight * np.unpackbits(np.frombuffer(struct.pack("<Q", h), np.uint8), bitorder="little").astype(np.int64)
+            total = doc_fingerprints.SINGLE * len(words) + doc_fingerprints.PAIR * max(0, len(words) - 1)
+            out |= sum(1 << j for j in range(64) if 2 * votes[j] > total) << 64 * word
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    mask = (1 << 64) - 1
+    got = {x.k: x.fp0 & mask | (x.fp1 & mask) << 64 for x in doc_fingerprints.fingerprints(df, "k").collect()}
+    assert got == {k: fingerprint(t) for k, t in enumerate(texts)}
+
+
+def test_ledger_takes_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b c a b c", 1, "x", None)], "text string, __t int, __w string, n_words long")
+    row = quality_rules.ledger(df).first()
+    assert (row["__t"], row["__w"], row.n_words, row.n_repeat_words) == (1, "x", 6, 6)
