@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import clock, rules
 from gridloom.functions.tariff import netting, renewable_ratio, slabs
-from gridloom.operators import alerts, billing, ledger, reconcile, rollups, serving, simulate
+from gridloom.operators import alerts, billing, ledger, reconcile, rollups, serving, simulate, summaries
 from gridloom.plans import oracle
 from gridloom.plans.world import World, presentable
 from gridloom.sources import readings as log
@@ -40,7 +40,11 @@ class Entry:
 
 
 def scratch(w: World) -> str:
-    root = w.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = w.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not w.spark.sparkContext.master.startswith("local") or "cluster" in w.spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/replay-{uuid.uuid4().hex}"
 
 
@@ -97,16 +101,11 @@ def merge(w: World) -> DataFrame:
 
 
 def latencies(w: World) -> DataFrame:
-    rows = w.readings.select(((F.col("event_id") % 200) / 10.0 - 1).alias("s")).where("s >= 0")
-    return rows.agg(*[F.count_if(F.col("s") <= b).alias(f"le_{b}") for b in (1, 5, 10, 30)], F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"))
+    return summaries.latency_quantiles(w.readings.select(((F.col("event_id") % 200) / 10.0 - 1).alias("s")).where("s >= 0"))
 
 
 def report(w: World) -> DataFrame:
-    bills = w.bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(18,2)").alias("billed"))
-    zones = w.zone_days.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast("decimal(18,4)").alias("zone_kwh"))
-    rec = w.reconciled.groupBy("sim_date").agg(F.count("*").alias("reconciled"))
-    runs = w.runs.groupBy("sim_date").agg(F.count("*").alias("runs"), F.bool_or(F.col("status") == "superseded").alias("restated"))
-    return bills.join(zones, "sim_date", "left").join(rec, "sim_date", "left").join(runs, "sim_date", "left")
+    return summaries.daily_report(w.bills, w.zone_days, w.reconciled, w.runs)
 
 
 def day_check(w: World) -> DataFrame:
@@ -164,14 +163,14 @@ ENTRIES: dict[str, Entry] = {
     "tariff_blocks": Entry(lambda w: w.tariff.select("household_id", "effective_date", F.expr("stack(3, 'block_1', 0.0D, 60.0D, cast(block_1_rate AS double), 'block_2', 60.0D, 120.0D, cast(block_2_rate AS double), 'block_3', 120.0D, NULL, cast(block_3_rate AS double)) AS (name, lower_kwh, upper_kwh, rate)")), "household_id; effective_date:d; name; lower_kwh:n; upper_kwh:n; rate:n", "(SELECT household_id, effective_date, 'block_1' AS name, 0 AS lower_kwh, 60 AS upper_kwh, block_1_rate AS rate FROM tariff UNION ALL SELECT household_id, effective_date, 'block_2', 60, 120, block_2_rate FROM tariff UNION ALL SELECT household_id, effective_date, 'block_3', 120, NULL, block_3_rate FROM tariff)"),
     "energy_charge": Entry(energy, "event_id:i; kwh_1:n; charge_1:n; kwh_2:n; charge_2:n; kwh_3:n; charge_3:n", "(SELECT event_id, kwh_1, charge_1, kwh_2, charge_2, kwh_3, charge_3 FROM (SELECT event_id, " + oracle.bill("x") + " FROM (SELECT event_id, consumption_kwh, CAST(0 AS DECIMAL(12,4)) AS solar_kwh, false AS subsidy_flag, CAST(0 AS DECIMAL(5,2)) AS subsidy_pct, CAST(0 AS DECIMAL(12,2)) AS fixed_charge, CAST(0 AS DECIMAL(12,2)) AS export_rate, CAST(8.00 AS DECIMAL(12,2)) AS block_1_rate, CAST(16.50 AS DECIMAL(12,2)) AS block_2_rate, CAST(24.50 AS DECIMAL(12,2)) AS block_3_rate FROM readings)))"),
     "tier_breakdown": Entry(lambda w: billing.tier_rows(w.bills), "household_id; sim_date:d; name; up_to_kwh:n; rate:n; kwh:n; charge:n", "tiers", _TIERS),
-    "tier_utilisation": Entry(lambda w: billing.tier_rows(w.bills).where("up_to_kwh IS NOT NULL").withColumn("used_pct", F.round(F.col("kwh") / 60 * 100, 2).cast("decimal(7,2)")), "household_id; sim_date:d; name; used_pct:n=" + oracle.ratio("kwh * 100", "60", 2), "tiers WHERE up_to_kwh IS NOT NULL", _TIERS),
+    "tier_utilisation": Entry(lambda w: summaries.tier_utilisation(billing.tier_rows(w.bills), F.lit(60)), "household_id; sim_date:d; name; used_pct:n=" + oracle.ratio("kwh * 100", "60", 2), "tiers WHERE up_to_kwh IS NOT NULL", _TIERS),
     "daily_bills": Entry(lambda w: w.bills, _BILL + "final_bill:n; readings_count:i; tariff_effective_date:d", "bills"),
     "rounding": Entry(lambda w: w.readings.select("event_id", F.round("consumption_kwh", 2).cast("decimal(12,2)").alias("money"), F.round(F.col("consumption_kwh") * F.lit("0.165").cast("decimal(4,3)"), 2).cast("decimal(12,2)").alias("product")), "event_id:i; money:n=round(consumption_kwh, 2); product:n=round(consumption_kwh * CAST(0.165 AS DECIMAL(4,3)), 2)", "readings"),
     "trace_id_lookup": Entry(traced, "event_id:i; trace_id=CASE WHEN event_id % 3 = 0 THEN 'h-' ELSE 'p-' END || CAST(event_id AS VARCHAR)", "readings"),
     "sim_clock": Entry(lambda w: w.readings.select("event_id", clock.to_real(F.col("event_ts")).alias("real_ts"), F.to_date(clock.to_sim(clock.to_real(F.col("event_ts")))).alias("back_date"), F.round(clock.day_progress(F.col("event_ts")), 6).alias("progress"), F.round(clock.seconds_to_close(F.col("event_ts")), 3).alias("to_close")), "event_id:i; real_ts:t=TIMESTAMP '2024-06-01' + to_microseconds(us // 288); back_date:d=CAST(TIMESTAMP '2024-01-01' + to_microseconds((us // 288) * 288) AS DATE); progress:n=round(CAST(us % 86400000000 AS DOUBLE) / 86400000000.0, 6); to_close:n=round((86400000000 - us % 86400000000) / 288000000.0, 3)", "(SELECT event_id, epoch_us(event_ts) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM readings)"),
     "zone_history": Entry(lambda w: serving.zone_history(w.windows, "2024-01-10 00:00:00", "2024-01-10 12:00:00", "ZONE-B"), _WINDOW, "windows WHERE grid_zone = 'ZONE-B' AND window_start >= TIMESTAMP '2024-01-10' AND window_start < TIMESTAMP '2024-01-10 12:00:00'"),
     "all_zone_history": Entry(lambda w: serving.zone_history(w.windows, "2024-01-10 00:00:00", "2024-01-10 12:00:00"), _WINDOW, "windows WHERE window_start >= TIMESTAMP '2024-01-10' AND window_start < TIMESTAMP '2024-01-10 12:00:00'"),
-    "bill_lookup": Entry(lambda w: day(w.bills).where("household_id = 'HH-0003'"), _BILL + "final_bill:n", f"bills WHERE household_id = 'HH-0003' AND sim_date = DATE '{DAY}'"),
+    "bill_lookup": Entry(lambda w: summaries.bill_of(w.bills, "HH-0003", DAY), _BILL + "final_bill:n", f"bills WHERE household_id = 'HH-0003' AND sim_date = DATE '{DAY}'"),
     "zone_daily_slice": Entry(lambda w: day(w.zone_days).orderBy("grid_zone"), _ZONE_DAY, f"zone_days WHERE sim_date = DATE '{DAY}'"),
     "scalar_functions": Entry(scalars, "event_id:i; up=upper(meter_id); low=lower(grid_zone); padded=lpad(CAST(event_id AS VARCHAR), 9, '0'); y:i=year(event_ts); h:i=hour(event_ts); later:d=CAST(event_ts AS DATE) + 3; big:n=greatest(consumption_kwh, solar_generation_kwh); r1:n=round(consumption_kwh, 1); a:i=abs(event_id % 7 - 3); n:i=2; second=grid_zone; json_id=meter_id; zone_or_none=coalesce(nullif(grid_zone, 'ZONE-A'), 'none')", "readings"),
     # joins
@@ -195,28 +194,28 @@ ENTRIES: dict[str, Entry] = {
     "household_daily": Entry(lambda w: w.totals, "household_id; sim_date:d; consumption_kwh:n; solar_kwh:n; readings_count:i", "totals"),
     "zone_daily_rollup": Entry(lambda w: w.zone_days, _ZONE_DAY, "zone_days"),
     "peak_window": Entry(lambda w: rollups.peak_windows(rollups.zone_windows(w.batch_valid)), "grid_zone; sim_date:d; peak_window_start:t; peak_consumption_kwh:n", "peaks"),
-    "latest_ratio": Entry(lambda w: w.windows.groupBy("grid_zone").agg(F.max_by("renewable_ratio", "window_start").alias("renewable_ratio")), "grid_zone; renewable_ratio:n", "latest", _LATEST),
-    "billing_summary": Entry(lambda w: day(w.bills).groupBy().agg(F.count("*").alias("bills"), F.coalesce(F.sum("final_bill"), F.lit(0)).cast("decimal(18,2)").alias("billed"), F.coalesce(F.sum("export_kwh"), F.lit(0)).cast("decimal(12,4)").alias("exported")).where("bills > 0"), "bills:i; billed:n; exported:n", f"(SELECT count(*) AS bills, sum(final_bill) AS billed, sum(export_kwh) AS exported FROM bills WHERE sim_date = DATE '{DAY}') WHERE bills > 0"),
-    "rejected_recent": Entry(lambda w: w.marked.where((F.col("reason").isNotNull()) & (F.col("ingest_ts") >= at("2024-01-20 00:00:00"))).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason"), "reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND ingest_ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"),
-    "rejected_for_day": Entry(lambda w: day(late_letters(w).withColumn("sim_date", F.to_date(F.substring(F.get_json_object("raw_payload", "$.event_ts"), 1, 10)))).where("stage = 'speed'").groupBy("reason").agg(F.count("*").alias("n")), "reason; n:i", f"(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND CAST(event_ts AS DATE) = DATE '{DAY}' GROUP BY 1)"),
-    "reconciliation_summary": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(F.count("*").alias("n"), reconcile.mean("abs_divergence", 2).alias("mean_abs"), reconcile.mean("pct_divergence", 3).alias("mean_pct")), "sim_date:d; n:i; mean_abs:n; mean_pct:n", f"(SELECT sim_date, count(*) AS n, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct FROM reconciled GROUP BY 1)"),
+    "latest_ratio": Entry(lambda w: summaries.latest_ratio(w.windows), "grid_zone; renewable_ratio:n", "latest", _LATEST),
+    "billing_summary": Entry(lambda w: summaries.billing_summary(w.bills, DAY), "bills:i; billed:n; exported:n", f"(SELECT count(*) AS bills, sum(final_bill) AS billed, sum(export_kwh) AS exported FROM bills WHERE sim_date = DATE '{DAY}') WHERE bills > 0"),
+    "rejected_recent": Entry(lambda w: summaries.rejects_since(w.marked, at("2024-01-20 00:00:00")), "reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND ingest_ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"),
+    "rejected_for_day": Entry(lambda w: summaries.rejects_of_day(late_letters(w), DAY), "reason; n:i", f"(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND CAST(event_ts AS DATE) = DATE '{DAY}' GROUP BY 1)"),
+    "reconciliation_summary": Entry(lambda w: summaries.reconciliation_means(w.reconciled), "sim_date:d; n:i; mean_abs:n; mean_pct:n", f"(SELECT sim_date, count(*) AS n, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct FROM reconciled GROUP BY 1)"),
     "divergence_summary": Entry(lambda w: reconcile.divergence_summary(w.reconciled, w.speed_bills, w.bills), "sim_date:d; households:i; mean_pct:n; max_pct:n; mean_abs:n; tariff_share_pct:n; kwh_shortfall_pct:n", f"(SELECT sim_date, count(*) AS households, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, CASE WHEN sum(abs(tariff_effect)) + sum(abs(data_effect)) > 0 THEN {oracle.ratio('sum(abs(tariff_effect)) * 100', '(sum(abs(tariff_effect)) + sum(abs(data_effect)))', 2, 100)} END AS tariff_share_pct FROM reconciled GROUP BY 1) JOIN gap_day USING (sim_date)", _SPLIT),
-    "divergence_by_day": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(reconcile.mean("pct_divergence", 3).alias("mean_pct"), F.max("pct_divergence").alias("max_pct")), "sim_date:d; mean_pct:n; max_pct:n", f"(SELECT sim_date, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct FROM reconciled GROUP BY 1)"),
-    "effects_by_day": Entry(lambda w: w.reconciled.groupBy("sim_date").agg(F.sum("tariff_effect").cast("decimal(18,2)").alias("tariff_effect"), F.sum("data_effect").cast("decimal(18,2)").alias("data_effect")), "sim_date:d; tariff_effect:n; data_effect:n", "(SELECT sim_date, sum(tariff_effect) AS tariff_effect, sum(data_effect) AS data_effect FROM reconciled GROUP BY 1)"),
-    "bill_sanity": Entry(lambda w: w.bills.groupBy("sim_date").agg(F.count_if(F.col("final_bill") < 0).alias("negative"), F.count_if(F.col("readings_count") == 0).alias("idle"), F.count_if(F.col("consumption_kwh").isNull()).alias("no_kwh"), F.count("*").alias("bills")), "sim_date:d; negative:i; idle:i; no_kwh:i=0; bills:i", "(SELECT sim_date, count(*) FILTER (WHERE final_bill < 0) AS negative, count(*) FILTER (WHERE readings_count = 0) AS idle, count(*) AS bills FROM bills GROUP BY 1)"),
-    "bill_row_count": Entry(lambda w: w.bills.groupBy("sim_date").agg(F.count("*").alias("bills")).crossJoin(F.broadcast(w.roster.agg(F.count("*").alias("expected")))).withColumn("ok", F.col("bills") == F.col("expected")), "sim_date:d; bills:i; expected:i; ok=bills = expected", "(SELECT sim_date, count(*) AS bills, (SELECT count(*) FROM roster) AS expected FROM bills GROUP BY 1)"),
-    "offset_gaps": Entry(lambda w: w.events.where("event_id % 301 <> 7").select((F.col("event_id") % 3).alias("partition"), F.floor(F.col("event_id") / 3).alias("offset")).groupBy("partition").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.count_distinct("offset").alias("seen")).withColumn("missing", F.col("hi") - F.col("lo") + 1 - F.col("seen")), "partition:i; lo:i; hi:i; seen:i; missing:i=hi - lo + 1 - seen", "(SELECT event_id % 3 AS partition, min(event_id // 3) AS lo, max(event_id // 3) AS hi, count(DISTINCT event_id // 3) AS seen FROM readings WHERE event_id % 301 <> 7 GROUP BY 1)"),
+    "divergence_by_day": Entry(lambda w: summaries.divergence_by_day(w.reconciled), "sim_date:d; mean_pct:n; max_pct:n", f"(SELECT sim_date, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct FROM reconciled GROUP BY 1)"),
+    "effects_by_day": Entry(lambda w: summaries.effects_by_day(w.reconciled), "sim_date:d; tariff_effect:n; data_effect:n", "(SELECT sim_date, sum(tariff_effect) AS tariff_effect, sum(data_effect) AS data_effect FROM reconciled GROUP BY 1)"),
+    "bill_sanity": Entry(lambda w: summaries.bill_sanity(w.bills), "sim_date:d; negative:i; idle:i; no_kwh:i=0; bills:i", "(SELECT sim_date, count(*) FILTER (WHERE final_bill < 0) AS negative, count(*) FILTER (WHERE readings_count = 0) AS idle, count(*) AS bills FROM bills GROUP BY 1)"),
+    "bill_row_count": Entry(lambda w: summaries.bill_row_count(w.bills, w.roster), "sim_date:d; bills:i; expected:i; ok=bills = expected", "(SELECT sim_date, count(*) AS bills, (SELECT count(*) FROM roster) AS expected FROM bills GROUP BY 1)"),
+    "offset_gaps": Entry(lambda w: summaries.offset_gaps(w.events.where("event_id % 301 <> 7").select((F.col("event_id") % 3).alias("partition"), F.floor(F.col("event_id") / 3).alias("offset"))), "partition:i; lo:i; hi:i; seen:i; missing:i=hi - lo + 1 - seen", "(SELECT event_id % 3 AS partition, min(event_id // 3) AS lo, max(event_id // 3) AS hi, count(DISTINCT event_id // 3) AS seen FROM readings WHERE event_id % 301 <> 7 GROUP BY 1)"),
     "cross_check": Entry(lambda w: rollups.cross_check(w.zone_days, w.totals), "sim_date:d; zone_kwh:n; household_kwh:n; gap_kwh:n; within=gap_kwh <= 0.01", "(SELECT sim_date, z AS zone_kwh, h AS household_kwh, abs(z - h) AS gap_kwh FROM (SELECT sim_date, sum(total_consumption_kwh) AS z FROM zone_days GROUP BY 1) JOIN (SELECT sim_date, sum(consumption_kwh) AS h FROM totals GROUP BY 1) USING (sim_date))"),
     "grid_totals": Entry(lambda w: rollups.grid_totals(w.windows), "window_start:t; consumption_kwh:n; solar_kwh:n; zones:i; renewable_ratio:n", f"(SELECT window_start, sum(total_consumption_kwh) AS consumption_kwh, sum(total_solar_kwh) AS solar_kwh, count(*) AS zones, {oracle._RATIO.format(c='sum(total_consumption_kwh)', s='sum(total_solar_kwh)')} AS renewable_ratio FROM windows GROUP BY 1)"),
-    "stale_tariff_check": Entry(lambda w: w.speed_bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.count_if(F.col("tariff_source_date") == F.date_sub("sim_date", 1)).alias("at_yesterdays")), "sim_date:d; bills:i; at_yesterdays:i", "(SELECT sim_date, count(*) AS bills, count(*) FILTER (WHERE tariff_source_date = sim_date - 1) AS at_yesterdays FROM speed_bills GROUP BY 1)"),
+    "stale_tariff_check": Entry(lambda w: summaries.tariff_age(w.speed_bills), "sim_date:d; bills:i; at_yesterdays:i", "(SELECT sim_date, count(*) AS bills, count(*) FILTER (WHERE tariff_source_date = sim_date - 1) AS at_yesterdays FROM speed_bills GROUP BY 1)"),
     "day_check": Entry(day_check, "bills:i; estimates:i; reconciled:i; broken:i", f"(SELECT (SELECT count(*) FROM bills WHERE sim_date = DATE '{DAY}') AS bills, (SELECT count(*) FROM speed_bills WHERE sim_date = DATE '{DAY}') AS estimates, (SELECT count(*) FROM reconciled WHERE sim_date = DATE '{DAY}') AS reconciled, (SELECT count(*) FROM reconciled WHERE sim_date = DATE '{DAY}' AND tariff_effect + data_effect <> speed_estimate - batch_final) AS broken)"),
-    "newest_window": Entry(lambda w: w.windows.agg(F.max("window_start").alias("newest"), F.count("*").alias("n")), "newest:t; n:i", "(SELECT max(window_start) AS newest, count(*) AS n FROM windows)"),
-    "newest_billed_day": Entry(lambda w: ledger.finalised_days(w.runs).agg(F.max("sim_date").alias("sim_date")), "sim_date:d", "(SELECT max(sim_date) AS sim_date FROM finalised)"),
-    "ledger_status_counts": Entry(lambda w: w.runs.groupBy("status").agg(F.count("*").alias("n")), "status; n:i", "(SELECT status, count(*) AS n FROM runs GROUP BY 1)"),
-    "reconciled_days": Entry(lambda w: w.reconciled.select("sim_date").distinct().orderBy(F.desc("sim_date")), "sim_date:d", "(SELECT DISTINCT sim_date FROM reconciled)"),
-    "divergence_histogram": Entry(lambda w: w.reconciled.groupBy(F.least(F.floor(F.col("pct_divergence").cast("double") / 5), F.lit(20)).alias("bucket")).agg(F.count("*").alias("n")), "bucket:i; n:i", "(SELECT least(floor(pct_divergence / 5), 20) AS bucket, count(*) AS n FROM reconciled GROUP BY 1)"),
-    "speed_lag": Entry(lambda w: w.windows.agg(F.max("window_end").alias("e")).select(((F.unix_micros(at("2024-02-01 00:00:00")) - F.unix_micros("e")) / 1_000_000).alias("lag_sim_s"), F.round((F.unix_micros(at("2024-02-01 00:00:00")) - F.unix_micros("e")) / 288_000_000, 6).alias("lag_real_s")), "lag_sim_s:n=us / 1000000.0; lag_real_s:n=round(us / 288000000.0, 6)", "(SELECT epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(window_end)) AS us FROM windows)"),
-    "clock_anchor": Entry(lambda w: w.windows.agg(F.min(F.unix_micros("updated_at") - F.floor((F.unix_micros("window_start") - F.unix_micros(at("2024-01-01 00:00:00"))) / 288)).alias("us")).select(F.timestamp_micros("us").alias("anchor")), "anchor:t=make_timestamp(us)", "(SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows)"),
+    "newest_window": Entry(lambda w: summaries.newest_window(w.windows), "newest:t; n:i", "(SELECT max(window_start) AS newest, count(*) AS n FROM windows)"),
+    "newest_billed_day": Entry(lambda w: summaries.newest_billed_day(w.runs), "sim_date:d", "(SELECT max(sim_date) AS sim_date FROM finalised)"),
+    "ledger_status_counts": Entry(lambda w: summaries.status_counts(w.runs), "status; n:i", "(SELECT status, count(*) AS n FROM runs GROUP BY 1)"),
+    "reconciled_days": Entry(lambda w: summaries.reconciled_days(w.reconciled), "sim_date:d", "(SELECT DISTINCT sim_date FROM reconciled)"),
+    "divergence_histogram": Entry(lambda w: summaries.divergence_histogram(w.reconciled), "bucket:i; n:i", "(SELECT least(floor(pct_divergence / 5), 20) AS bucket, count(*) AS n FROM reconciled GROUP BY 1)"),
+    "speed_lag": Entry(lambda w: summaries.speed_lag(w.windows, at("2024-02-01 00:00:00")), "lag_sim_s:n=us / 1000000.0; lag_real_s:n=round(us / 288000000.0, 6)", "(SELECT epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(window_end)) AS us FROM windows)"),
+    "clock_anchor": Entry(lambda w: summaries.clock_anchor(w.windows), "anchor:t=make_timestamp(us)", "(SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows)"),
     "zone_data_age": Entry(lambda w: alerts.zone_data_age(w.windows, at(NOW)), "grid_zone; age_seconds:n=" + _AGE.format(now=NOW), "latest", _LATEST),
     "last_billing_success": Entry(lambda w: alerts.last_billing_success(w.runs, at(FALLBACK)), "last_success:t", f"(SELECT coalesce(max(finished_at), TIMESTAMP '{FALLBACK}') AS last_success FROM runs WHERE status IN ('success', 'superseded'))"),
     "latency_histogram": Entry(latencies, "le_1:i; le_5:i; le_10:i; le_30:i; p50; p95", "(SELECT count(*) FILTER (WHERE s <= 1) AS le_1, count(*) FILTER (WHERE s <= 5) AS le_5, count(*) FILTER (WHERE s <= 10) AS le_10, count(*) FILTER (WHERE s <= 30) AS le_30, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95 FROM (SELECT CAST((event_id % 200) / 10.0 - 1 AS DOUBLE) AS s FROM readings) WHERE s >= 0)"),
