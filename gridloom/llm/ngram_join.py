@@ -8,10 +8,9 @@ A document is its set of five-word shingles; two are linked when 100 * |A and B|
 2. A second pass emits each class's prefix under the first order: of n shingles the first n // 4 + 1, for
    linked sets share one there. Prefixes travel in packed blocks by shingle hash; a task sorts its share
    and finds the classes that meet on a shingle at places from which they can still reach the threshold.
-3. Classes that meet are paired with the smallest one of their shingle. Prefixes under two more orders are kept
-   beside the sets of all classes that meet any; pairs that do not share a prefix shingle under each of these
-   too are gone before sets are fetched, and what is left is verified on whole sets.
-   Then classes that met but are not yet connected are paired with each other and tried likewise. So
+3. Classes that meet are paired with the smallest one of their shingle. Pairs that do not share a prefix
+   shingle under each of two more orders too are gone before texts are fetched, and what is left is verified on
+   whole sets. Then classes that met but are not yet connected are paired with each other and tried likewise. So
    connected components are exact, yet a group of any size needs about as many pairs as it has members.
 4. Components come from alternating stars over the verified links (gridloom.llm._common.components).
 """
@@ -242,19 +241,18 @@ def _with_smallest(source: Iterator[dict]) -> Iterator[dict]:
         yield {"a": [a for a, _ in new], "b": [b for _, b in new]}
 
 
-def _sets(sketch):
-    """A class's set, its size, and its prefixes under the other two orders as sorted 32-bit halves, where the
-    document is the one that was asked for."""
+def _prefixed(sketch):
+    """A class's text, and the prefixes of its set under the other two orders as sorted 32-bit halves."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
         orders = Orders(sketch.value)
         for batch in source:
-            out = {"node": [], "found": [], "second": [], "third": []}
+            out = {"node": [], "text": [], "second": [], "third": []}
             for node, text in zip(batch["node"], batch["text"]):
                 found = shingles(text)
                 if set_hash(found) == node:
                     second, third = (np.unique(orders.prefix(found, k).astype("<u4")).tobytes() for k in (1, 2))
-                    for name, value in zip(out, (node, found.tobytes(), second, third)):
+                    for name, value in zip(out, (node, text, second, third)):
                         out[name].append(value)
             yield out
 
@@ -277,29 +275,40 @@ def _reaching(percent: int):
     """The pairs whose sets reach the threshold."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
+        kept: dict[str, np.ndarray] = {}
+
+        def found(text: str) -> np.ndarray:
+            if text not in kept:
+                if len(kept) >= 64:
+                    kept.clear()
+                kept[text] = shingles(text)
+            return kept[text]
+
         for batch in source:
-            same = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch["x"], batch["y"])]
+            same = [linked(found(x), found(y), percent) for x, y in zip(batch["x"], batch["y"])]
             yield {c: [v for v, keep in zip(batch[c], same) if keep] for c in ("a", "b")}
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, stage: Scratch) -> DataFrame:
-    """Verified pairs, staged: the filters of the other orders first, on prefixes alone, then whole sets of the rest."""
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, percent: int, stage: Scratch) -> DataFrame:
+    """Verified pairs, staged: the filters of the other orders first, on prefixes alone, then texts of the rest.
+    Only texts of classes that are in a pair are read again."""
+    need = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("hash", "node"))
+    wanted = F.broadcast(need) if need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else need
+    texts = docs.join(wanted, "hash").select("node", "text")  # one of a class's texts, whatever its id
+    with small_batches(pairs.sparkSession, 256):  # a text may be long
+        own = stage(by_batch(texts, _prefixed(sketch), "node bigint, text string, second binary, third binary").dropDuplicates(["node"]))
 
-    def beside(rows: DataFrame, **columns: str) -> DataFrame:
-        # only rows of classes that are asked for move
-        asked = stage(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        own = sets.join(F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked, "node", "left_semi")
-        for side in "ab":
-            rows = rows.join(own.select(F.col("node").alias(side), *[F.col(c).alias(n.format(side)) for n, c in columns.items()]), side)
-        return rows
+        def beside(rows: DataFrame, **columns: str) -> DataFrame:
+            for side in "ab":
+                rows = rows.join(own.select(F.col("node").alias(side), *[F.col(c).alias(n.format(side)) for n, c in columns.items()]), side)
+            return rows
 
-    with small_batches(pairs.sparkSession, 256):  # a set may be long
         both = stage(by_batch(beside(pairs, **{"{}2": "second", "{}3": "third"}), _sharing, _PAIR))
-        whole = beside(both, **{"{}set": "found"}).withColumnsRenamed({"aset": "x", "bset": "y"})
+        whole = beside(both, **{"{}text": "text"}).withColumnsRenamed({"atext": "x", "btext": "y"})
         out = stage(by_batch(whole, _reaching(percent), _PAIR))
-    stage.drop(both)
+    stage.drop(need, own, both)
     stage.release(pairs.sparkSession)
     return out
 
@@ -335,15 +344,9 @@ def _components(docs: DataFrame, percent: int, stage: Scratch) -> tuple[DataFram
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARE))
     blobs = by_batch(docs.select("text"), _prefixes(sketch, buckets), _BLOB)
     groups = stage(by_batch(blobs.repartition(buckets, "bucket"), _meetings, _GROUP))
-    # only classes that meet another one are looked at again, and their texts are read once
-    need = stage(groups.select(F.explode("nodes").alias("node")).distinct().join(classes, "node").select("hash", "node"))
-    wanted = F.broadcast(need) if need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else need
-    texts = docs.join(wanted, "hash").select("node", "text")  # one of a class's texts, whatever its id
-    sets = stage(by_batch(texts, _sets(sketch), "node bigint, found binary, second binary, third binary").dropDuplicates(["node"]))
-    stage.drop(need)
     stage.release(spark)
     pairs = stage(by_batch(groups, _with_smallest, _PAIR).distinct())
-    edges = _verify(pairs, sets, percent, stage)
+    edges = _verify(pairs, classes, docs, sketch, percent, stage)
     named = components(edges)
     # groups of classes that are not yet connected: first with the hubs of their shingles, then, where
     # different components still meet, with each other
@@ -372,7 +375,7 @@ def _components(docs: DataFrame, percent: int, stage: Scratch) -> tuple[DataFram
             meet = meet.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         more = stage(meet.distinct().join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            edges = edges.unionByName(_verify(more, sets, percent, stage))
+            edges = edges.unionByName(_verify(more, classes, docs, sketch, percent, stage))
             pairs = pairs.unionByName(more)
             stage.drop(named)
             named = components(edges)
