@@ -186,7 +186,7 @@ def search(indexed: DataFrame, items: list[tuple[int, dict[bytes, int]]], k: int
         words, places = np.frombuffer(words, "<u4").astype(np.int64), np.frombuffer(places, "<u2").astype(np.int64)
         w = np.array([weight.get(t, 0) for t in terms], np.int64)
         kept = np.repeat(w > 0, words)
-        bits = np.frombuffer(slices, "<u8").reshape(n_bits, -1)[:, kept]
+        bits = np.frombuffer(slices, "<u8").reshape(n_bits, len(places))[:, kept]
         names, words, places = [t for t, x in zip(terms, w) if x > 0], words[w > 0], places[kept]
         bits = times(bits, np.repeat(w[w > 0], words))
         ends = np.cumsum(words)
