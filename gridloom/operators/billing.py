@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.tariff import bill
@@ -22,6 +22,25 @@ def dedup_earliest(raw: DataFrame) -> DataFrame:
     return raw.groupBy("meter_id", "event_ts").agg(F.min_by(whole, order).alias("first")).select("first.*")
 
 
+def layered_totals(marked: DataFrame, late: str) -> DataFrame:
+    """Household days of both layers from one pass over marked readings (reason is null for valid ones): batch_ columns
+    of readings deduplicated first and validated then, speed_ columns of readings validated first, deduplicated then,
+    and in time (they arrived within the interval late)."""
+    order, row = F.struct("ingest_ts", "event_id"), F.struct("household_id", "event_ts", "ingest_ts", "consumption_kwh", "solar_generation_kwh", "reason")
+    one = marked.groupBy("meter_id", "event_ts").agg(F.min_by(row, order).alias("b"), F.min_by(row, F.when(F.col("reason").isNull(), order)).alias("s"))
+    in_time = F.col("s.ingest_ts") <= F.col("s.event_ts") + F.expr(f"INTERVAL {late}")
+    sides = F.array(F.when(F.col("b.reason").isNull(), F.struct(F.lit("batch").alias("layer"), "b.*")), F.when(F.col("s.reason").isNull() & in_time, F.struct(F.lit("speed").alias("layer"), "s.*")))
+    rows = one.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    parts = []
+    for layer in ("batch", "speed"):
+        mine = F.col("layer") == layer
+        for name, kwh in (("consumption_kwh", "consumption_kwh"), ("solar_kwh", "solar_generation_kwh")):
+            total = F.sum(F.when(mine, (F.col(kwh) * 10000).cast("long")).otherwise(F.lit(0).cast("long")))
+            parts.append((total.cast("decimal(38,0)") / F.lit(10000).cast("decimal(5,0)")).cast(KWH).alias(f"{layer}_{name}"))
+        parts.append(F.count_if(mine).alias(f"{layer}_readings"))
+    return rows.groupBy("household_id", F.to_date("event_ts").alias("sim_date")).agg(*parts)
+
+
 def duplicates_removed(raw: DataFrame) -> DataFrame:
     """Readings less distinct (meter, time) pairs by household; pairs with a null count as removed."""
     return raw.groupBy("household_id").agg(F.count("*").alias("readings"), (F.count("*") - F.count_distinct("meter_id", "event_ts")).alias("duplicates_removed"))
@@ -63,16 +82,28 @@ def missing_tariff(totals: DataFrame, tariff: DataFrame) -> DataFrame:
     return totals.join(tariff_effective(tariff, totals.select("sim_date").distinct()), ["household_id", "sim_date"], "left_anti").select("household_id", "sim_date")
 
 
-class MissingTariffError(LookupError):
-    """Totals without a tariff."""
+def as_of(rows: DataFrame, tariff: DataFrame, *lags: int) -> DataFrame:
+    """rows (household_id, sim_date, ...) with a struct tariff_<lag> for each lag: the tariff in force that many days
+    before sim_date, the latest that began by then (null if there is none), and rows_in_force, how many there are of
+    its date.
 
+    Rows and tariffs of a household are put in one order of days and the last tariff is looked up from there: one
+    shuffle by household for all lags, and work in proportion to rows and tariffs, however sparse these are."""
+    terms = F.struct(*[c for c in tariff.columns if c != "household_id"])
+    dated = tariff.groupBy("household_id", "effective_date").agg(F.min(terms).alias("terms"), F.count("*").alias("n"))
+    held = F.struct("terms.*", F.col("n").alias("rows_in_force"))
+    known = dated.select("household_id", F.unix_date("effective_date").alias("day"), held.alias("tariff"), F.lit(None).cast(rows.schema).alias("row"))
+    asked = rows.select("household_id", F.unix_date("sim_date").alias("day"), F.lit(None).cast(known.schema["tariff"].dataType).alias("tariff"), F.struct(*rows.columns).alias("row"))
+    order = Window.partitionBy("household_id").orderBy("day")
+    found = {f"tariff_{lag}": F.last("tariff", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -lag)) for lag in lags}
+    return known.unionByName(asked).select("row", *[c.alias(n) for n, c in found.items()]).where("row IS NOT NULL").select("row.*", *found)
 
-def require_tariff(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    """totals with the tariff in force; raises, naming up to ten households, if one has none."""
-    absent = [r["household_id"] for r in missing_tariff(totals, tariff).select("household_id").distinct().limit(10).collect()]
-    if absent:
-        raise MissingTariffError(", ".join(sorted(absent)))
-    return billable(totals, tariff, totals.select("sim_date").distinct()).where("readings_count > 0")
+
+def fault(held: str, where: Column | None = None) -> Column:
+    """Null, or an error naming the household and day: with no tariff in the struct held, or with two in force."""
+    place = F.concat(F.col("household_id"), F.lit(" on "), F.col("sim_date").cast("string"))
+    absent = F.col(held).isNull() if where is None else F.col(held).isNull() & where
+    return F.when(absent, F.raise_error(F.concat(F.lit("no tariff for "), place))).when(F.col(f"{held}.rows_in_force") > 1, F.raise_error(F.concat(F.lit("two tariffs for "), place))).cast("string")
 
 
 def billable(totals: DataFrame, tariff: DataFrame, days: DataFrame) -> DataFrame:
@@ -107,9 +138,12 @@ def daily_bills(totals: DataFrame, tariff: DataFrame, days: DataFrame | None = N
 
 
 def provisional_bills(totals: DataFrame, tariff: DataFrame) -> DataFrame:
-    """Estimates at the tariff of the day before; totals without one give none."""
-    before = tariff.select(F.date_add("effective_date", 1).alias("sim_date"), *[c for c in tariff.columns if c != "effective_date"], F.col("effective_date").alias("tariff_source_date"))
-    return price(totals.join(before, ["household_id", "sim_date"]), "estimated_bill")
+    """Estimates at the tariff in force on the day before (tariff_source_date), whenever it began; totals without one
+    give none, two of one date fail the query."""
+    held = as_of(totals, tariff, 1).where("tariff_1 IS NOT NULL").where(fault("tariff_1").isNull())
+    terms = [c for c in tariff.columns if c not in ("household_id", "effective_date")]
+    joined = held.select(*totals.columns, *[f"tariff_1.{c}" for c in terms], F.date_sub("sim_date", 1).alias("tariff_source_date"))
+    return price(joined, "estimated_bill")
 
 
 def tier_rows(bills: DataFrame) -> DataFrame:

@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.tariff import bill, pct_divergence
+from gridloom.operators.billing import as_of, fault
 from gridloom.types import MONEY
 
 _KEY = ["household_id", "sim_date"]
 
 
-def reconciliation(speed: DataFrame, batch: DataFrame, tariff: DataFrame) -> DataFrame:
-    """Matched household days with S (estimate), B (final bill), C (speed energy at the day's own tariff):
-    tariff_effect = S - C, data_effect = C - B; the percentage is of B's gross charges."""
-    s = speed.select(*_KEY, "consumption_kwh", "solar_kwh", F.col("estimated_bill").alias("speed_estimate"))
-    b = batch.select(*_KEY, F.col("final_bill").alias("batch_final"), F.col("energy_charge").alias("b_energy"), F.col("fixed_charge").alias("b_fixed"))
-    joined = s.join(b, _KEY).join(tariff.withColumnRenamed("effective_date", "sim_date"), _KEY)
-    c = bill(F.col("consumption_kwh"), F.col("solar_kwh"))["total"]
-    out = joined.select(*_KEY, "speed_estimate", "batch_final", c.alias("at_own_tariff"), "b_energy", "b_fixed")
+def _effects(paired: DataFrame) -> DataFrame:
+    """From S, B and C (speed_estimate, batch_final, at_own_tariff) the gap, its share of B's gross charges, and its
+    parts: tariff_effect = S - C, data_effect = C - B."""
     gap = F.abs(F.col("speed_estimate") - F.col("batch_final")).cast(MONEY)
-    return out.select(*_KEY, "speed_estimate", "batch_final", gap.alias("abs_divergence"), pct_divergence(gap, F.col("b_energy"), F.col("b_fixed")).alias("pct_divergence"), (F.col("speed_estimate") - F.col("at_own_tariff")).cast(MONEY).alias("tariff_effect"), (F.col("at_own_tariff") - F.col("batch_final")).cast(MONEY).alias("data_effect"))
+    return paired.select(
+        *_KEY, "speed_estimate", "batch_final", gap.alias("abs_divergence"), pct_divergence(gap, F.col("b_energy"), F.col("b_fixed")).alias("pct_divergence"),
+        (F.col("speed_estimate") - F.col("at_own_tariff")).cast(MONEY).alias("tariff_effect"), (F.col("at_own_tariff") - F.col("batch_final")).cast(MONEY).alias("data_effect"),
+        "speed_kwh", "batch_kwh",
+    )
+
+
+def reconciliation(speed: DataFrame, batch: DataFrame, tariff: DataFrame) -> DataFrame:
+    """Matched household days with S (estimate), B (final bill) and C (speed energy at the tariff in force on the day):
+    tariff_effect = S - C, data_effect = C - B; the percentage is of B's gross charges. A matched household without a
+    tariff in force that day, or with two, fails the query: a guess would put an invented number into the effects."""
+    s = speed.select(*_KEY, F.col("consumption_kwh").alias("speed_kwh"), "solar_kwh", F.col("estimated_bill").alias("speed_estimate"))
+    b = batch.select(*_KEY, F.col("final_bill").alias("batch_final"), F.col("energy_charge").alias("b_energy"), F.col("fixed_charge").alias("b_fixed"), F.col("consumption_kwh").alias("batch_kwh"))
+    held = as_of(s.join(b, _KEY), tariff, 0).where(fault("tariff_0").isNull())
+    return _effects(held.withColumn("at_own_tariff", bill(F.col("speed_kwh"), F.col("solar_kwh"), "tariff_0.")["total"]))
+
+
+def reconcile_layers(layers: DataFrame, tariff: DataFrame) -> DataFrame:
+    """The same from the household days of both layers (billing.layered_totals) in one pass: the tariffs of the day
+    and of the day before are looked up together and all three bills come from one row. Days without an estimate
+    (no reading in time, or no tariff the day before) or without a bill (no tariff) are left out; a day that the
+    batch has readings of and that has no tariff fails the query."""
+    held = as_of(layers, tariff, 0, 1).where(fault("tariff_0", F.col("batch_readings") > 0).isNull())
+    both = held.where("speed_readings > 0 AND tariff_0 IS NOT NULL AND tariff_1 IS NOT NULL").where(fault("tariff_1").isNull())
+    speed, batch = ((F.col(f"{layer}_consumption_kwh"), F.col(f"{layer}_solar_kwh")) for layer in ("speed", "batch"))
+    estimate, final, own = bill(*speed, "tariff_1."), bill(*batch, "tariff_0."), bill(*speed, "tariff_0.")
+    return _effects(both.select(*_KEY, estimate["total"].alias("speed_estimate"), final["total"].alias("batch_final"), own["total"].alias("at_own_tariff"), final["energy_charge"].alias("b_energy"), final["fixed_charge"].alias("b_fixed"), speed[0].alias("speed_kwh"), batch[0].alias("batch_kwh")))
 
 
 def unmatched(speed: DataFrame, batch: DataFrame) -> DataFrame:
@@ -34,17 +56,21 @@ def mean(name: str, places: int):
     return F.round(F.sum(F.col(name)) / F.count(name), places)
 
 
-def divergence_summary(rows: DataFrame, speed: DataFrame, batch: DataFrame) -> DataFrame:
-    """One row for each day: means and maximum of the divergence, share of the tariff in all effects, energy
-    that the speed view lacks in percent of the batch's."""
+def shortfall(speed: Column, batch: Column) -> Column:
+    """Energy that the estimates lack in percent of the batch's, from sums."""
+    return F.when(batch > 0, F.round(100 * (batch - speed) / batch, 3)).alias("kwh_shortfall_pct")
+
+
+def divergence_summary(rows: DataFrame) -> DataFrame:
+    """One row for each day: means and maximum of the divergence, share of the tariff in all effects, energy that the
+    speed view lacks in percent of the batch's. One aggregation of reconciled rows."""
     size = lambda c: F.sum(F.abs(F.col(c)))
-    out = rows.groupBy("sim_date").agg(F.count("*").alias("households"), mean("pct_divergence", 3).alias("mean_pct"), F.max("pct_divergence").alias("max_pct"), mean("abs_divergence", 2).alias("mean_abs"), size("tariff_effect").alias("t"), size("data_effect").alias("d"))
+    parts = [F.count("*").alias("households"), mean("pct_divergence", 3).alias("mean_pct"), F.max("pct_divergence").alias("max_pct"), mean("abs_divergence", 2).alias("mean_abs")]
+    out = rows.groupBy("sim_date").agg(*parts, size("tariff_effect").alias("t"), size("data_effect").alias("d"), F.sum("speed_kwh").alias("s"), F.sum("batch_kwh").alias("b"))
     share = F.when(F.col("t") + F.col("d") > 0, F.round(100 * F.col("t") / (F.col("t") + F.col("d")), 2))
-    return out.withColumn("tariff_share_pct", share).drop("t", "d").join(kwh_shortfall(speed, batch), "sim_date")
+    return out.withColumns({"tariff_share_pct": share, "kwh_shortfall_pct": shortfall(F.col("s"), F.col("b"))}).drop("t", "d", "s", "b")
 
 
-def kwh_shortfall(speed: DataFrame, batch: DataFrame) -> DataFrame:
-    """Per day, over household days on both sides: energy that the estimate lacks, in percent."""
-    j = batch.select(*_KEY, F.col("consumption_kwh").alias("b")).join(speed.select(*_KEY, F.col("consumption_kwh").alias("s")), _KEY)
-    out = j.groupBy("sim_date").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
-    return out.select("sim_date", F.when(F.col("b") > 0, F.round(100 * (F.col("b") - F.col("s")) / F.col("b"), 3)).alias("kwh_shortfall_pct"))
+def kwh_shortfall(rows: DataFrame) -> DataFrame:
+    """Per day, over the household days on both sides: energy that the estimate lacks, in percent."""
+    return rows.groupBy("sim_date").agg(F.sum("batch_kwh").alias("b"), F.sum("speed_kwh").alias("s")).select("sim_date", shortfall(F.col("s"), F.col("b")))

@@ -17,6 +17,7 @@ from gridloom.plans import oracle
 from gridloom.plans.world import World, presentable
 from gridloom.sources import readings as log
 from gridloom.sources import sinks
+from gridloom.sources.tables import Table
 from gridloom.streaming import speed
 from gridloom.types import READING
 
@@ -70,6 +71,18 @@ _SIDES = {"sides": "SELECT coalesce(s.household_id, b.household_id) AS household
 _MERGED = {"merged": "SELECT coalesce(b.household_id, s.household_id) AS household_id, coalesce(b.sim_date, s.sim_date) AS sim_date, coalesce(b.final_bill, s.estimated_bill) AS total, b.final_bill IS NULL AS provisional, CASE WHEN b.final_bill IS NOT NULL THEN b.tariff_effective_date ELSE s.tariff_source_date END AS tariff_date, b.readings_count FROM (SELECT * FROM bills WHERE sim_date IN (SELECT sim_date FROM finalised)) b FULL JOIN speed_bills s ON s.household_id = b.household_id AND s.sim_date = b.sim_date"}
 
 
+_HELD = "(SELECT k.household_id, k.sim_date, t.* EXCLUDE (household_id) FROM {rows} k JOIN sparse t ON t.household_id = k.household_id AND t.effective_date <= k.sim_date - {lag} QUALIFY row_number() OVER (PARTITION BY k.household_id, k.sim_date ORDER BY t.effective_date DESC) = 1)"
+_SPARSE = {
+    "sparse": "SELECT * FROM tariff_all WHERE date_diff('day', (SELECT min(sim_date) FROM days), effective_date) % 4 = 0",
+    "sparse_speed": f"SELECT household_id, sim_date, consumption_kwh, solar_kwh, {oracle.bill('estimated_bill')} FROM (SELECT s.*, h.* EXCLUDE (household_id, sim_date) FROM speed_totals s JOIN {_HELD.format(rows='speed_totals', lag=1)} h USING (household_id, sim_date))",
+    "sparse_own": f"SELECT household_id, sim_date, {oracle.bill('own_total')} FROM (SELECT s.household_id, s.sim_date, s.consumption_kwh, s.solar_kwh, h.* EXCLUDE (household_id, sim_date) FROM speed_totals s JOIN {_HELD.format(rows='speed_totals', lag=0)} h USING (household_id, sim_date))",
+    "sparse_final": f"SELECT household_id, sim_date, fixed_charge, {oracle.bill('final_bill')} FROM (SELECT e.household_id, e.sim_date, e.consumption_kwh, e.solar_kwh, h.* EXCLUDE (household_id, sim_date) FROM every e JOIN {_HELD.format(rows='every', lag=0)} h USING (household_id, sim_date))",
+    "sparse_reconciled": f"""SELECT household_id, sim_date, s.estimated_bill AS speed_estimate, b.final_bill AS batch_final, abs(s.estimated_bill - b.final_bill) AS abs_divergence,
+        CASE WHEN b.energy_charge + b.fixed_charge = 0 THEN 0.0 ELSE least({oracle.ratio('abs(s.estimated_bill - b.final_bill) * 100', '(b.energy_charge + b.fixed_charge)', 3, 100)}, 999.999) END AS pct_divergence,
+        s.estimated_bill - o.own_total AS tariff_effect, o.own_total - b.final_bill AS data_effect FROM sparse_speed s JOIN sparse_own o USING (household_id, sim_date) JOIN sparse_final b USING (household_id, sim_date)""",
+}
+
+
 def mean_sql(name: str, places: int, scale: int) -> str:
     return f"(2 * CAST(sum(CAST(round({name} * {scale}) AS BIGINT)) AS HUGEINT) * {10**places} + count(*) * {scale}) // (2 * count(*) * {scale}) / {10**places}.0"
 
@@ -95,9 +108,28 @@ def energy(w: World) -> DataFrame:
     return w.readings.select("event_id", *[c.alias(f"{n}_{k}") for k, pair in enumerate(parts, 1) for n, c in zip(("kwh", "charge"), pair)])
 
 
+#: The two batches of upsert_merge: all readings before this time, and all from then on.
+MERGED_AT = "2024-01-16"
+
+
 def merge(w: World) -> DataFrame:
-    side = lambda where: w.readings.where(where).groupBy("meter_id").agg(F.count("*").alias("n"), F.max("event_ts").alias("newest"))
-    return sinks.upsert(side("event_id % 2 = 0"), side("event_id % 2 = 1 AND event_id % 3 = 0"), ["meter_id"])
+    """The last reading of each meter and day part, written by two batches into a keyed table."""
+    table = Table(w.spark, scratch(w), ["meter_id", "half"], F.col("half"))
+    halves = w.readings.withColumn("half", F.when(F.hour("event_ts") < 12, "am").otherwise("pm"))
+    for number, where in enumerate((F.col("event_ts") < MERGED_AT, F.col("event_ts") >= MERGED_AT)):
+        table.upsert(halves.where(where).groupBy("meter_id", "half").agg(F.count("*").alias("n"), F.max("event_ts").alias("newest")), "merge", number)
+    return table.read()
+
+
+def sparse(w: World) -> DataFrame:
+    """The tariff of every fourth day only, the day before the first reading included."""
+    return w.tariff_all.where(F.datediff("effective_date", F.lit(w.span[0])) % 4 == -1) if w.span else w.tariff_all
+
+
+def sparse_reconciled(w: World) -> DataFrame:
+    """Estimates, final bills and reconciliation where a tariff holds for four days."""
+    bills = billing.daily_bills(w.totals, sparse(w), w.open_days.select("sim_date"))
+    return reconcile.reconciliation(billing.provisional_bills(w.speed_totals, sparse(w)), bills, sparse(w))
 
 
 def latencies(w: World) -> DataFrame:
@@ -141,7 +173,12 @@ ENTRIES: dict[str, Entry] = {
     "parse_readings": Entry(parse, "kafka_offset:i; event_id; meter_id; event_ts:t; consumption_kwh:n", "(SELECT event_id AS kafka_offset, CASE WHEN ok THEN CAST(event_id AS VARCHAR) END AS event_id, CASE WHEN ok THEN meter_id END AS meter_id, CASE WHEN ok THEN event_ts END AS event_ts, CASE WHEN ok THEN consumption_kwh END AS consumption_kwh FROM (SELECT *, event_id % 97 <> 0 AS ok FROM readings))"),
     "read_day": Entry(lambda w: day(log.with_partitions(w.raw)), _READING + "; ingest_ts:t", f"raw WHERE CAST(event_ts AS DATE) = DATE '{DAY}'"),
     "archive_partitions": Entry(archived, "sim_date:d; hour:i; readings:i", "(SELECT CAST(event_ts AS DATE) AS sim_date, hour(event_ts) AS hour, count(*) AS readings FROM readings GROUP BY 1, 2)"),
-    "upsert_merge": Entry(merge, "meter_id; n:i; newest:t", "(SELECT meter_id, count(*) AS n, max(event_ts) AS newest FROM readings WHERE event_id % 2 = 1 AND event_id % 3 = 0 GROUP BY 1 UNION ALL SELECT meter_id, count(*), max(event_ts) FROM readings WHERE event_id % 2 = 0 AND meter_id NOT IN (SELECT meter_id FROM readings WHERE event_id % 2 = 1 AND event_id % 3 = 0) GROUP BY 1)"),
+    "upsert_merge": Entry(
+        merge,
+        "meter_id; half; n:i; newest:t",
+        "(SELECT meter_id, half, count(*) AS n, max(event_ts) AS newest FROM (SELECT *, CASE WHEN hour(event_ts) < 12 THEN 'am' ELSE 'pm' END AS half,"
+        f" event_ts >= TIMESTAMP '{MERGED_AT}' AS again FROM readings) GROUP BY 1, 2, again QUALIFY row_number() OVER (PARTITION BY meter_id, half ORDER BY again DESC) = 1)",
+    ),
     "dead_letter_records": Entry(lambda w: late_letters(w).select("stage", "reason", F.get_json_object("raw_payload", "$.event_id").cast("long").alias("event_id")), "stage='speed'; reason; event_id:i", "marked WHERE reason IS NOT NULL"),
     "restated_bills": Entry(lambda w: ledger.current(w.history, w.runs), "run_id; " + _BILL + "final_bill:n", "history WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'success')"),
     "speed_window_retention": Entry(lambda w: rollups.retained(w.windows, F.lit("2024-01-30").cast("date")), _WINDOW, "windows WHERE window_start >= DATE '2024-01-16'"),
@@ -181,9 +218,10 @@ ENTRIES: dict[str, Entry] = {
     "tariff_effective": Entry(lambda w: billing.tariff_effective(w.tariff_all.where("dayofmonth(effective_date) % 4 = 1"), w.open_days.select("sim_date")), "sim_date:d; " + _TARIFF, "(SELECT d.sim_date, t.* FROM open_days d JOIN tariff_all t ON t.effective_date <= d.sim_date AND day(t.effective_date) % 4 = 1 QUALIFY row_number() OVER (PARTITION BY household_id, d.sim_date ORDER BY effective_date DESC) = 1)"),
     "tariff_ties": Entry(lambda w: billing.tariff_ties(w.tariff.unionByName(w.tariff.where("billing_tier = 'TIER_1'")), w.open_days.select("sim_date")), "household_id; sim_date:d=effective_date; effective_date:d; rows_in_force:i=2", "tariff WHERE billing_tier = 'TIER_1'"),
     "reconciliation": Entry(lambda w: w.reconciled, _REC, "reconciled"),
+    "reconciliation_sparse_tariff": Entry(sparse_reconciled, _REC, "sparse_reconciled", _SPARSE),
     "reconciliation_unmatched": Entry(lambda w: reconcile.unmatched(w.speed_bills, w.bills), "household_id; sim_date:d; side", "sides", _SIDES),
     "bill_history_audit": Entry(lambda w: w.history.join(w.runs.select("run_id", "status"), "run_id").groupBy("run_id", "sim_date", "status").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(18,2)").alias("billed")), "run_id; sim_date:d; status; bills:i; billed:n", "(SELECT h.run_id, h.sim_date, r.status, count(*) AS bills, sum(final_bill) AS billed FROM history h JOIN runs r ON r.run_id = h.run_id GROUP BY 1, 2, 3)"),
-    "kwh_shortfall": Entry(lambda w: reconcile.kwh_shortfall(w.speed_bills, w.bills), "sim_date:d; kwh_shortfall_pct:n", "gap_day", _SPLIT),
+    "kwh_shortfall": Entry(lambda w: reconcile.kwh_shortfall(w.reconciled), "sim_date:d; kwh_shortfall_pct:n", "gap_day", _SPLIT),
     "windows_on_real_axis": Entry(lambda w: w.windows.select("grid_zone", "window_start", clock.to_real(F.col("window_start")).alias("real_start"), clock.to_real(F.col("window_end")).alias("real_end")), "grid_zone; window_start:t; real_start:t=TIMESTAMP '2024-06-01' + to_microseconds((epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288); real_end:t=TIMESTAMP '2024-06-01' + to_microseconds((epoch_us(window_end) - epoch_us(TIMESTAMP '2024-01-01')) // 288)", "windows"),
     "finalised_days": Entry(lambda w: ledger.finalised_days(w.runs), "sim_date:d", "finalised"),
     "merged_bills": Entry(lambda w: serving.merged_bills(w.speed_bills, w.bills, ledger.finalised_days(w.runs)), "household_id; sim_date:d; total:n; provisional; tariff_date:d; readings_count:i", "merged", _MERGED),
@@ -199,7 +237,7 @@ ENTRIES: dict[str, Entry] = {
     "rejected_recent": Entry(lambda w: summaries.rejects_since(w.marked, at("2024-01-20 00:00:00")), "reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND ingest_ts >= TIMESTAMP '2024-01-20' GROUP BY 1)"),
     "rejected_for_day": Entry(lambda w: summaries.rejects_of_day(late_letters(w), DAY), "reason; n:i", f"(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL AND CAST(event_ts AS DATE) = DATE '{DAY}' GROUP BY 1)"),
     "reconciliation_summary": Entry(lambda w: summaries.reconciliation_means(w.reconciled), "sim_date:d; n:i; mean_abs:n; mean_pct:n", f"(SELECT sim_date, count(*) AS n, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct FROM reconciled GROUP BY 1)"),
-    "divergence_summary": Entry(lambda w: reconcile.divergence_summary(w.reconciled, w.speed_bills, w.bills), "sim_date:d; households:i; mean_pct:n; max_pct:n; mean_abs:n; tariff_share_pct:n; kwh_shortfall_pct:n", f"(SELECT sim_date, count(*) AS households, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, CASE WHEN sum(abs(tariff_effect)) + sum(abs(data_effect)) > 0 THEN {oracle.ratio('sum(abs(tariff_effect)) * 100', '(sum(abs(tariff_effect)) + sum(abs(data_effect)))', 2, 100)} END AS tariff_share_pct FROM reconciled GROUP BY 1) JOIN gap_day USING (sim_date)", _SPLIT),
+    "divergence_summary": Entry(lambda w: reconcile.divergence_summary(w.reconciled), "sim_date:d; households:i; mean_pct:n; max_pct:n; mean_abs:n; tariff_share_pct:n; kwh_shortfall_pct:n", f"(SELECT sim_date, count(*) AS households, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct, {mean_sql('abs_divergence', 2, 100)} AS mean_abs, CASE WHEN sum(abs(tariff_effect)) + sum(abs(data_effect)) > 0 THEN {oracle.ratio('sum(abs(tariff_effect)) * 100', '(sum(abs(tariff_effect)) + sum(abs(data_effect)))', 2, 100)} END AS tariff_share_pct FROM reconciled GROUP BY 1) JOIN gap_day USING (sim_date)", _SPLIT),
     "divergence_by_day": Entry(lambda w: summaries.divergence_by_day(w.reconciled), "sim_date:d; mean_pct:n; max_pct:n", f"(SELECT sim_date, {mean_sql('pct_divergence', 3, 1000)} AS mean_pct, max(pct_divergence) AS max_pct FROM reconciled GROUP BY 1)"),
     "effects_by_day": Entry(lambda w: summaries.effects_by_day(w.reconciled), "sim_date:d; tariff_effect:n; data_effect:n", "(SELECT sim_date, sum(tariff_effect) AS tariff_effect, sum(data_effect) AS data_effect FROM reconciled GROUP BY 1)"),
     "bill_sanity": Entry(lambda w: summaries.bill_sanity(w.bills), "sim_date:d; negative:i; idle:i; no_kwh:i=0; bills:i", "(SELECT sim_date, count(*) FILTER (WHERE final_bill < 0) AS negative, count(*) FILTER (WHERE readings_count = 0) AS idle, count(*) AS bills FROM bills GROUP BY 1)"),

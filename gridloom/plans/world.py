@@ -111,7 +111,12 @@ class World:
 
     @cached_property
     def reconciled(self) -> DataFrame:
-        return reconcile.reconciliation(self.speed_bills, self.bills, self.tariff)
+        return reconcile.reconcile_layers(self.layers, self.tariff_all)
+
+    @cached_property
+    def layers(self) -> DataFrame:
+        """Household days of both layers, from one pass over the readings."""
+        return billing.layered_totals(self.marked, SETTINGS.watermark)
 
     @cached_property
     def ledger_events(self) -> DataFrame:

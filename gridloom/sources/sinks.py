@@ -1,45 +1,12 @@
-"""Sinks: keyed merges, days replaced whole, dead letters, published runs. All writes stay distributed."""
+"""Sinks: days replaced whole, dead letters, archived tariffs, compaction. All writes stay distributed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """old with the rows of new in place of those with their keys. Of rows of new that share a key the last
-    in order stays (any one without an order)."""
-    ranked = Window.partitionBy(*keys).orderBy((order if order is not None else F.lit(0)).desc())
-    latest = new.withColumn("__n", F.row_number().over(ranked)).where("__n = 1").drop("__n")
-    return old.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
-
-
-def upsert_path(path: str, new: DataFrame, keys: list[str], order: Column | None = None) -> str:
-    """Merge new into the Parquet table at path: a complete new version is written beside it, then a pointer
-    file names it, so readers see the old version or the new one."""
-    spark = new.sparkSession
-    version = current_version(spark, path)
-    old = spark.read.parquet(f"{path}/v={version}") if version >= 0 else new.limit(0)
-    out = f"{path}/v={version + 1}"
-    upsert(old, new, keys, order).write.parquet(out)
-    spark.createDataFrame([(version + 1,)], "version int").coalesce(1).write.parquet(f"{path}/_committed/{version + 1:09d}")
-    _delete(spark, f"{path}/v={version - 1}")  # readers of the version before may still be at it
-    return out
-
-
-def _delete(spark, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def current_version(spark, path: str) -> int:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_committed")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return -1
-    done = [s.getPath() for s in fs.listStatus(where) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((int(p.getName()) for p in done), default=-1)
+from gridloom.sources import files
+from gridloom.sources.readings import Layout
 
 
 def replace_day(df: DataFrame, path: str, day: str, column: str = "sim_date") -> None:
@@ -60,16 +27,44 @@ def dead_letter_records(letters: DataFrame) -> DataFrame:
     return letters.select(F.col("trace_id").alias("key"), F.to_json(F.struct(*letters.columns)).alias("value"))
 
 
-def archive_tariff(tariff: DataFrame, path: str) -> None:
-    """Tariffs by the day they begin; days that are archived again are replaced, others stay."""
-    tariff.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("effective_date").parquet(path)
+def archive_tariff(tariff: DataFrame, root: str, day: str, run_id: str) -> str:
+    """The tariff that a run billed a day with, as it was: a folder of its own for each day and run, which no other
+    run touches, decimals kept. A bill can be computed again from it when the landing files are gone or changed."""
+    path = Layout(root).archive(day, run_id)
+    tariff.write.mode("overwrite").parquet(path)
+    return path
+
+
+def archived_tariff(spark: SparkSession, root: str, day: str, run_id: str) -> DataFrame:
+    """The tariff that archive_tariff kept for this day and run; an error if that run kept none."""
+    return spark.read.parquet(Layout(root).archive(day, run_id))
+
+
+def archived_tariffs(spark: SparkSession, root: str) -> DataFrame:
+    """All archived tariffs with the day and the run that billed with them."""
+    path = f"{Layout(root).root}/archive/tariff"
+    return spark.read.parquet(path).withColumn("sim_date", F.col("sim_date").cast("date")).withColumn("run_id", F.col("run_id").cast("string"))
+
+
+def recover_day(spark: SparkSession, archive: str, day: str) -> None:
+    """After a compaction that broke off between its two renames: the day's old files are put back."""
+    held, live = f"{archive}/_replaced/sim_date={day}", f"{archive}/sim_date={day}"
+    if files.exists(spark, held):
+        if files.exists(spark, live):
+            files.delete(spark, held)
+        else:
+            files.move(spark, held, live)
 
 
-def compact_day(spark, archive: str, day: str, target_rows: int = 1_000_000) -> None:
-    """Rewrite a closed day's small files into few, hour by hour, in place: the copy is complete before the
-    day's folder is written anew from it."""
-    copy = f"{archive}/_compacting/sim_date={day}"
-    df = spark.read.parquet(f"{archive}/sim_date={day}")
-    df.repartition(max(1, -(-df.count() // target_rows)), "hour").write.partitionBy("hour").mode("overwrite").parquet(copy)
-    spark.read.parquet(copy).repartition("hour").write.partitionBy("hour").mode("overwrite").parquet(f"{archive}/sim_date={day}")
-    _delete(spark, copy)
+def compact_day(spark: SparkSession, archive: str, day: str, target_rows: int = 1_000_000) -> None:
+    """Rewrite a closed day's small files into few, hour by hour. The new files are complete before the day's folder
+    is exchanged by two renames; recover_day puts the old ones back if only the first one happened."""
+    recover_day(spark, archive, day)
+    copy, live, held = (f"{archive}/{where}sim_date={day}" for where in ("_compacting/", "", "_replaced/"))
+    df = spark.read.parquet(live)
+    per_hour = df.groupBy("hour").agg(F.ceil(F.count("*") / target_rows).alias("parts"))  # at most 24 rows
+    spread = df.join(F.broadcast(per_hour), "hour").withColumn("part", F.floor(F.rand(7) * F.col("parts")))
+    spread.repartition("hour", "part").drop("parts", "part").write.option("maxRecordsPerFile", target_rows).partitionBy("hour").mode("overwrite").parquet(copy)
+    files.move(spark, live, held)
+    files.move(spark, copy, live)
+    files.delete(spark, held)

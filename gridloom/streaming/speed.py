@@ -13,7 +13,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from gridloom.functions import rules
 from gridloom.operators import billing, rollups
 from gridloom.sources.readings import with_partitions
-from gridloom.sources.sinks import dead_letters, upsert_path
+from gridloom.sources.sinks import dead_letters
+from gridloom.sources.tables import Table
 from gridloom.types import SETTINGS, Settings
 
 def deduplicated(valid: DataFrame, s: Settings = SETTINGS) -> DataFrame:
