@@ -10,13 +10,16 @@ from gridloom.operators.billing import exact_sum
 from gridloom.types import KWH, SETTINGS, TOTAL, Settings
 
 
-def zone_windows(valid: DataFrame, s: Settings = SETTINGS, streaming: bool = False) -> DataFrame:
-    """Load, sunshine, their ratio and distinct meters by zone and window. A stream can't count distinct
-    values, so there the few meters of a zone and window are gathered in a set."""
+def zone_windows(valid: DataFrame, s: Settings = SETTINGS, streaming: bool = False, record_ts: str | None = None) -> DataFrame:
+    """Load, sunshine, their ratio and distinct meters by zone and window, and the newest of the records' own times if
+    their column is named. A stream can't count distinct values, so there the few meters of a zone and window are
+    gathered in a set."""
     meters = F.size(F.collect_set("meter_id")).cast("long") if streaming else F.count_distinct("meter_id")
-    out = valid.groupBy(F.window("event_ts", s.window).alias("w"), "grid_zone").agg(exact_sum("consumption_kwh").alias("total_consumption_kwh"), exact_sum("solar_generation_kwh").alias("total_solar_kwh"), meters.alias("active_meters"), F.max("event_ts").alias("last_event_ts"))
+    parts = [exact_sum("consumption_kwh").alias("total_consumption_kwh"), exact_sum("solar_generation_kwh").alias("total_solar_kwh"), meters.alias("active_meters"), F.max("event_ts").alias("last_event_ts")]
+    newest = [] if record_ts is None else [F.max(record_ts).alias("newest_record_ts")]
+    out = valid.groupBy(F.window("event_ts", s.window).alias("w"), "grid_zone").agg(*parts, *newest)
     ratio = renewable_ratio(F.col("total_solar_kwh"), F.col("total_consumption_kwh"))
-    return out.select("grid_zone", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_consumption_kwh", "total_solar_kwh", ratio.alias("renewable_ratio"), "active_meters", "last_event_ts")
+    return out.select("grid_zone", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_consumption_kwh", "total_solar_kwh", ratio.alias("renewable_ratio"), "active_meters", "last_event_ts", *[c for c in out.columns if c == "newest_record_ts"])
 
 
 def household_running(valid: DataFrame) -> DataFrame:

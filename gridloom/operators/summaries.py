@@ -118,11 +118,6 @@ def clock_anchor(windows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return windows.agg(F.min(F.unix_micros("updated_at") - F.floor(since / s.time_scale)).alias("us")).select(F.timestamp_micros("us").alias("anchor"))
 
 
-def latency_quantiles(seconds: DataFrame, bounds: tuple[int, ...] = (1, 5, 10, 30)) -> DataFrame:
-    """Of latencies (s) how many are within each bound, their median and their 95th percentile."""
-    return seconds.agg(*[F.count_if(F.col("s") <= b).alias(f"le_{b}") for b in bounds], F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"))
-
-
 def tier_utilisation(tiers: DataFrame, width: Column) -> DataFrame:
     """How much of each bounded block is used, in percent of its width."""
     bounded = tiers.where("up_to_kwh IS NOT NULL")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import clock, rules
+from gridloom.functions import clock, latency, rules
 from gridloom.functions.tariff import netting, renewable_ratio, slabs
 from gridloom.operators import alerts, billing, ledger, reconcile, rollups, serving, simulate, summaries
 from gridloom.plans import oracle
@@ -19,7 +19,7 @@ from gridloom.sources import readings as log
 from gridloom.sources import sinks
 from gridloom.sources.tables import Table
 from gridloom.streaming import speed
-from gridloom.types import READING
+from gridloom.types import SETTINGS
 
 DAY, NOW, FALLBACK = "2024-01-10", "2024-06-01 03:00:00", "2024-05-01 00:00:00"
 
@@ -83,6 +83,33 @@ _SPARSE = {
 }
 
 
+_LATENCY = "; ".join(f"le_{k}:i" for k in range(len(latency.BOUNDS)))
+
+
+def quantile_sql(q: float) -> str:
+    """The quantile of the counts le_0, le_1, ..., n by straight lines within the buckets."""
+    edges = [0.0, *map(float, latency.BOUNDS)]
+    cases = []
+    for k in range(len(latency.BOUNDS)):
+        below = f"le_{k - 1}" if k else "0"
+        cases.append(f"WHEN le_{k} >= {q} * n THEN CAST({edges[k]} AS DOUBLE) + CAST({edges[k + 1] - edges[k]} AS DOUBLE) * (CAST({q} AS DOUBLE) * n - {below}) / (le_{k} - {below})")
+    return f"CASE WHEN n > 0 THEN CASE {' '.join(cases)} ELSE {edges[-1]} END END"
+
+
+_LATENCIES = {
+    "waits": "SELECT (epoch_us(told) - epoch_us(TIMESTAMP '2024-06-01') - (epoch_us(event_ts) - epoch_us(TIMESTAMP '2024-01-01')) // 288) / 1000000.0 AS s FROM (SELECT event_ts, TIMESTAMP '2024-06-01 00:00:00' + to_seconds(CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', time_bucket(INTERVAL '15 minutes', event_ts) + INTERVAL 15 MINUTE) // 288 AS BIGINT)) AS told FROM speed_valid)",
+    "le": "SELECT " + ", ".join(f"count(*) FILTER (WHERE s <= {b}) AS le_{k}" for k, b in enumerate(latency.BOUNDS)) + ", count(*) AS n FROM waits WHERE s >= 0",
+    "latencies": "SELECT *, " + ", ".join(f"{quantile_sql(q)} AS p{round(100 * q)}" for q in (0.5, 0.95, 0.99)) + " FROM le",
+}
+_ARRIVED = {
+    "came": "SELECT *, date_diff('day', (SELECT CAST(min(event_ts) AS DATE) FROM readings), CAST(event_ts AS DATE)) // 5 + CASE WHEN event_id % 40 = 11 THEN 1 ELSE 0 END AS batch FROM marked WHERE reason IS NULL",
+    "ends": "SELECT batch, max(event_ts) AS newest FROM came GROUP BY 1",
+    "marks": "SELECT a.batch, max(b.newest) - INTERVAL 30 MINUTE AS mark FROM (SELECT DISTINCT batch FROM came) a LEFT JOIN ends b ON b.batch < a.batch GROUP BY 1",
+    "arrived": "SELECT came.*, coalesce(event_ts <= mark, false) AS late FROM came JOIN marks USING (batch)",
+    "kept": "SELECT * FROM arrived WHERE NOT late QUALIFY row_number() OVER (PARTITION BY meter_id, event_ts ORDER BY batch, event_id) = 1",
+}
+
+
 def mean_sql(name: str, places: int, scale: int) -> str:
     return f"(2 * CAST(sum(CAST(round({name} * {scale}) AS BIGINT)) AS HUGEINT) * {10**places} + count(*) * {scale}) // (2 * count(*) * {scale}) / {10**places}.0"
 
@@ -133,7 +160,11 @@ def sparse_reconciled(w: World) -> DataFrame:
 
 
 def latencies(w: World) -> DataFrame:
-    return summaries.latency_quantiles(w.readings.select(((F.col("event_id") % 200) / 10.0 - 1).alias("s")).where("s >= 0"))
+    """From each reading's instant, on the real clock, until its window is told; one second of each day's clock is set
+    wrong, so some lie ahead."""
+    told = clock.to_real(F.window("event_ts", SETTINGS.window)["end"])
+    told = F.timestamp_micros(F.floor(F.unix_micros(told) / 1_000_000) * 1_000_000)
+    return latency.histogram(w.speed_valid.select(latency.since(clock.to_real(F.col("event_ts")), told).alias("seconds")))
 
 
 def report(w: World) -> DataFrame:
@@ -163,9 +194,15 @@ def curve(w: World) -> DataFrame:
 
 
 def watermark_gap(w: World) -> DataFrame:
-    a = w.batch_valid.agg(F.sum("consumption_kwh").cast("decimal(18,4)").alias("batch_kwh"))
-    b = w.speed_valid.agg(F.sum("consumption_kwh").cast("decimal(18,4)").alias("speed_kwh"))
-    return a.crossJoin(b).withColumn("gap_pct", F.round(100 * (F.col("batch_kwh") - F.col("speed_kwh")) / F.col("batch_kwh"), 3).cast("decimal(9,3)"))
+    """Readings replayed in micro-batches of five days, those of an outage with the batch after their own: what the
+    stream's deduplication drops behind its watermark, and the energy it therefore lacks against the batch."""
+    first = F.lit(w.span[0] if w.span else "2024-01-01").cast("date")
+    known = w.marked.where("reason IS NULL").select(*[c for c in w.readings.columns])
+    batch = F.floor(F.datediff(F.to_date("event_ts"), first) / 5) + F.when(F.col("event_id") % 40 == 11, 1).otherwise(0)
+    kept, late = speed.replay(w.spark, known.withColumn("arrival", batch), w.roster, scratch(w), "dedup", "arrival")
+    total = lambda df, name: df.agg(F.sum("consumption_kwh").cast("decimal(18,4)").alias(name))
+    out = total(w.batch_valid, "batch_kwh").crossJoin(total(kept, "speed_kwh")).withColumn("late_rows", F.lit(late).cast("long"))
+    return out.withColumn("gap_pct", F.round(100 * (F.col("batch_kwh") - F.col("speed_kwh")) / F.col("batch_kwh"), 3).cast("decimal(9,3)"))
 
 
 ENTRIES: dict[str, Entry] = {
@@ -256,9 +293,9 @@ ENTRIES: dict[str, Entry] = {
     "clock_anchor": Entry(lambda w: summaries.clock_anchor(w.windows), "anchor:t=make_timestamp(us)", "(SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows)"),
     "zone_data_age": Entry(lambda w: alerts.zone_data_age(w.windows, at(NOW)), "grid_zone; age_seconds:n=" + _AGE.format(now=NOW), "latest", _LATEST),
     "last_billing_success": Entry(lambda w: alerts.last_billing_success(w.runs, at(FALLBACK)), "last_success:t", f"(SELECT coalesce(max(finished_at), TIMESTAMP '{FALLBACK}') AS last_success FROM runs WHERE status IN ('success', 'superseded'))"),
-    "latency_histogram": Entry(latencies, "le_1:i; le_5:i; le_10:i; le_30:i; p50; p95", "(SELECT count(*) FILTER (WHERE s <= 1) AS le_1, count(*) FILTER (WHERE s <= 5) AS le_5, count(*) FILTER (WHERE s <= 10) AS le_10, count(*) FILTER (WHERE s <= 30) AS le_30, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95 FROM (SELECT CAST((event_id % 200) / 10.0 - 1 AS DOUBLE) AS s FROM readings) WHERE s >= 0)"),
+    "latency_histogram": Entry(latencies, _LATENCY + "; n:i; p50:n; p95:n; p99:n", "latencies", _LATENCIES),
     "reject_rate": Entry(lambda w: alerts.reject_rates(w.marked), "window_start:t; consumed:i; rejected:i; rate", "rates", _RATES),
-    "watermark_gap": Entry(watermark_gap, "batch_kwh:n; speed_kwh:n; gap_pct:n=" + oracle.ratio("(batch_kwh - speed_kwh) * 100", "batch_kwh", 3), "(SELECT (SELECT sum(consumption_kwh) FROM batch_valid) AS batch_kwh, (SELECT sum(consumption_kwh) FROM speed_valid) AS speed_kwh)"),
+    "watermark_gap": Entry(watermark_gap, "batch_kwh:n; speed_kwh:n; late_rows:i; gap_pct:n=" + oracle.ratio("(batch_kwh - speed_kwh) * 100", "batch_kwh", 3), "(SELECT (SELECT sum(consumption_kwh) FROM batch_valid) AS batch_kwh, (SELECT sum(consumption_kwh) FROM kept) AS speed_kwh, (SELECT count(*) FROM arrived WHERE late) AS late_rows)", _ARRIVED),
     # windows and order
     "dedup_earliest": Entry(lambda w: billing.dedup_earliest(w.raw), _READING + "; ingest_ts:t", "deduped"),
     "latest_zone_load": Entry(lambda w: rollups.latest_by_zone(w.windows), _WINDOW, "latest", _LATEST),
@@ -276,10 +313,10 @@ ENTRIES: dict[str, Entry] = {
     "alerts_active": Entry(lambda w: alerts.active(alerts.meter_data_stale(w.windows, at(_STALE_NOW)), alerts.low_renewable(w.windows)), "grid_zone; alert", "(SELECT grid_zone, 'MeterDataStale' AS alert FROM stale UNION ALL SELECT DISTINCT grid_zone, 'LowRenewable' FROM low WHERE grid_zone NOT IN (SELECT grid_zone FROM stale))", {**_LATEST, **_STALE, **_LOW}),
     "daily_report": Entry(report, "sim_date:d; bills:i; billed:n; zone_kwh:n; reconciled:i; runs:i; restated", "(SELECT b.*, z.zone_kwh, r.reconciled, l.runs, l.restated FROM (SELECT sim_date, count(*) AS bills, sum(final_bill) AS billed FROM bills GROUP BY 1) b LEFT JOIN (SELECT sim_date, sum(total_consumption_kwh) AS zone_kwh FROM zone_days GROUP BY 1) z USING (sim_date) LEFT JOIN (SELECT sim_date, count(*) AS reconciled FROM reconciled GROUP BY 1) r USING (sim_date) LEFT JOIN (SELECT sim_date, count(*) AS runs, bool_or(status = 'superseded') AS restated FROM runs GROUP BY 1) l USING (sim_date))"),
     # streams, replayed over the readings without faults, all at once so that none is late
-    "stream_zone_windows": Entry(lambda w: speed.replay(w.spark, w.readings, w.roster, scratch(w), "windows"), _WINDOW, f"(SELECT grid_zone, window_start, window_start + INTERVAL 15 MINUTE AS window_end, c AS total_consumption_kwh, s AS total_solar_kwh, {oracle._RATIO.format(c='c', s='s')} AS renewable_ratio, active_meters FROM (SELECT grid_zone, time_bucket(INTERVAL '15 minutes', event_ts) AS window_start, sum(consumption_kwh) AS c, sum(solar_generation_kwh) AS s, count(DISTINCT meter_id) AS active_meters FROM readings GROUP BY 1, 2))"),
-    "stream_household_running": Entry(lambda w: speed.replay(w.spark, w.readings, w.roster, scratch(w), "running"), "household_id; sim_date:d; consumption_kwh:n; solar_kwh:n", "(SELECT household_id, CAST(event_ts AS DATE) AS sim_date, sum(consumption_kwh) AS consumption_kwh, sum(solar_generation_kwh) AS solar_kwh FROM readings GROUP BY 1, 2)"),
-    "stream_dedup": Entry(lambda w: speed.replay(w.spark, w.readings.unionByName(w.readings.where("event_id % 50 = 0")), w.roster, scratch(w), "dedup"), _READING, "readings"),
-    "stream_rejects": Entry(lambda w: speed.replay(w.spark, w.raw, w.roster, scratch(w), "rejects").groupBy("stage", "reason").agg(F.count("*").alias("n")), "stage='speed'; reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY 1)"),
+    "stream_zone_windows": Entry(lambda w: speed.replay(w.spark, w.readings, w.roster, scratch(w), "windows")[0], _WINDOW, f"(SELECT grid_zone, window_start, window_start + INTERVAL 15 MINUTE AS window_end, c AS total_consumption_kwh, s AS total_solar_kwh, {oracle._RATIO.format(c='c', s='s')} AS renewable_ratio, active_meters FROM (SELECT grid_zone, time_bucket(INTERVAL '15 minutes', event_ts) AS window_start, sum(consumption_kwh) AS c, sum(solar_generation_kwh) AS s, count(DISTINCT meter_id) AS active_meters FROM readings GROUP BY 1, 2))"),
+    "stream_household_running": Entry(lambda w: speed.replay(w.spark, w.readings, w.roster, scratch(w), "running")[0], "household_id; sim_date:d; consumption_kwh:n; solar_kwh:n", "(SELECT household_id, CAST(event_ts AS DATE) AS sim_date, sum(consumption_kwh) AS consumption_kwh, sum(solar_generation_kwh) AS solar_kwh FROM readings GROUP BY 1, 2)"),
+    "stream_dedup": Entry(lambda w: speed.replay(w.spark, w.readings.unionByName(w.readings.where("event_id % 50 = 0")), w.roster, scratch(w), "dedup")[0], _READING, "readings"),
+    "stream_rejects": Entry(lambda w: speed.replay(w.spark, w.raw, w.roster, scratch(w), "rejects")[0].groupBy("stage", "reason").agg(F.count("*").alias("n")), "stage='speed'; reason; n:i", "(SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY 1)"),
 }
 
 

@@ -94,15 +94,15 @@ class Table:
         made = [name for name in files.names(self.spark, f"{self.path}/{out}") if name.startswith(f"{_BUCKET}=")]
         return {name.partition("=")[2]: f"{out}/{name}" for name in made}
 
-    def upsert(self, new: DataFrame, writer: str | None = None, batch: int | None = None) -> Manifest:
-        """Merge new by key. A named writer's batch counts once: run again, it changes nothing.
+    def upsert(self, new: DataFrame, writer: str | None = None, batch: int | None = None) -> bool:
+        """Merge new by key, and tell whether it did: a named writer's batch counts once, run again it changes nothing.
 
         new is computed once and written by bucket; buckets that the table doesn't have yet are taken as they lie,
         the others are merged with the table's. Rows of untouched buckets are neither read nor written.
         """
         base = self.manifest()
         if writer is not None and base.writers.get(writer, -1) >= batch:
-            return base
+            return False
         fresh = self._write(latest(new, self.keys, self.order))
         while True:
             if base.schema is not None and sorted(f["name"] for f in base.schema["fields"]) != sorted(new.columns):
@@ -118,12 +118,12 @@ class Table:
             if self._commit(base, after):
                 for name in met:
                     files.delete(self.spark, f"{self.path}/{fresh[name]}")
-                return replace(after, version=base.version + 1)
+                return True
             for folder in merged.values():
                 files.delete(self.spark, f"{self.path}/{folder}")
             base = self.manifest()
             if writer is not None and base.writers.get(writer, -1) >= batch:
-                return base
+                return False
 
     def retire(self, kept: Callable[[str], bool]) -> int:
         """Drop whole buckets by name: a new manifest, no row is read. How many went."""

@@ -1,4 +1,4 @@
-"""The speed layer: watermark, stateful deduplication, windows, and sinks by micro-batch."""
+"""The speed layer: watermark, stateful deduplication, windows, lag and late rows, replays of recorded readings."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from gridloom.functions import rules
-from gridloom.operators import billing, rollups
+from gridloom.operators import rollups
 from gridloom.sources.readings import with_partitions
-from gridloom.sources.sinks import dead_letters
-from gridloom.sources.tables import Table
+from gridloom.streaming import sinks
 from gridloom.types import SETTINGS, Settings
 
+
 def deduplicated(valid: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Each (meter_id, event_ts) once; rows behind the watermark of the batch before are dropped."""
     return valid.withWatermark("event_ts", s.watermark).dropDuplicates(["meter_id", "event_ts"])
@@ -24,7 +24,8 @@ def deduplicated(valid: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 def zone_stream(readings: DataFrame, roster: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Validated, then deduplicated, then by zone and window: the order of the stream."""
-    return rollups.zone_windows(deduplicated(rules.split(readings, roster, s)[0], s), s, streaming=True)
+    records = "kafka_timestamp" if "kafka_timestamp" in readings.columns else None
+    return rollups.zone_windows(deduplicated(rules.split(readings, roster, s)[0], s), s, streaming=True, record_ts=records)
 
 
 def household_stream(readings: DataFrame, roster: DataFrame, s: Settings = SETTINGS) -> DataFrame:
@@ -36,33 +37,6 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": s.trigger})).foreachBatch(sink).start()
 
 
-def upsert_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A view table, revised in place by key. A batch that is run again writes the same rows again."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_path(path, batch, keys)
-
-    return write
-
-
-def bill_sink(path: str, tariff: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Provisional bills of a batch's household days, at the tariff of the day before; none, no bill."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_path(path, billing.provisional_bills(batch, tariff), ["household_id", "sim_date"])
-
-    return write
-
-
-def reject_sink(path: str, roster: DataFrame, stage: str = "speed") -> Callable[[DataFrame, int], None]:
-    """Dead letters of a batch, in a folder of its number: a batch that is run again replaces it."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        dead_letters(rules.split(batch, roster)[1], stage).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
 def archive(readings: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append readings to Parquet by sim_date and hour. The file sink commits a batch's files once."""
     writer = with_partitions(readings).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -110,23 +84,65 @@ class LagListener(StreamingQueryListener):
         return out
 
 
-def replay(spark: SparkSession, readings: DataFrame, roster: DataFrame, root: str, kind: str) -> DataFrame:
-    """readings as a file stream, run until all is read; the rows that the query of this kind leaves behind:
-    windows, running, dedup or rejects."""
-    path = f"{root}/source"
-    readings.write.mode("overwrite").parquet(path)
-    stream = spark.readStream.schema(readings.schema).parquet(path)
-    made = {"windows": zone_stream, "running": household_stream, "dedup": lambda r, h: deduplicated(rules.split(r, h)[0]), "rejects": lambda r, h: r}[kind](stream, roster)
-    out = f"{root}/out"
+class ProgressListener(StreamingQueryListener):
+    """Rows that the state operators of each query dropped behind the watermark, by batch, and their input."""
+
+    def __init__(self):
+        self.dropped: dict[tuple[str, int], int] = {}
+        self.rows: dict[tuple[str, int], int] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        progress = event.progress
+        key = (str(progress.id), progress.batchId)  # the id stays over restarts, so a batch run again counts once
+        self.rows[key] = max(self.rows.get(key, 0), progress.numInputRows)
+        self.dropped[key] = max(self.dropped.get(key, 0), late_rows(progress))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def late_rows(progress) -> int:
+    """Rows that a batch dropped behind the watermark."""
+    return sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+
+
+STREAMS = {
+    "windows": zone_stream,
+    "running": household_stream,
+    "dedup": lambda readings, roster: deduplicated(rules.split(readings, roster)[0]),
+    "rejects": lambda readings, roster: readings,
+}
+
+
+def replay(spark: SparkSession, readings: DataFrame, roster: DataFrame, root: str, kind: str, arrival: str | None = None) -> tuple[DataFrame, int]:
+    """readings as a file stream, run until all is read: the rows that the query of this kind leaves behind (windows,
+    running, dedup or rejects), and how many readings it dropped as too late. With arrival, a column of whole numbers,
+    readings come in that order, one micro-batch for each number, with a restart of the query in between."""
+    source, out, late = f"{root}/source", f"{root}/out", 0
+    order = [None] if arrival is None else sorted(r[0] for r in readings.select(arrival).distinct().collect())
+    schema = readings.drop(*[arrival] if arrival else []).schema
+    for number in order:
+        now = readings if number is None else readings.where(F.col(arrival) == number).drop(arrival)
+        now.write.parquet(f"{source}/arrived={number}")
+        made = STREAMS[kind](spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source), roster)
+        if kind == "rejects":
+            sink = sinks.validation_sink(out, roster, sinks.file_topic(f"{root}/topic"))
+        else:
+            sink = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")
+        query = start(made, sink, f"{root}/checkpoint", f"replay_{kind}", "append" if kind in ("dedup", "rejects") else "update", {"availableNow": True})
+        query.awaitTermination()
+        late += sum(late_rows(progress) for progress in query.recentProgress)
     if kind == "rejects":
-        sink = reject_sink(out, roster)
-    else:
-        sink = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")
-    query = start(made, sink, f"{root}/checkpoint", f"replay_{kind}", "append" if kind in ("dedup", "rejects") else "update", {"availableNow": True})
-    query.awaitTermination()
+        return sinks.rejects(spark, out), late
     rows = spark.read.parquet(out)
-    if kind in ("dedup", "rejects"):
-        return rows
+    if kind == "dedup":
+        return rows, late
     keys = ["grid_zone", "window_start"] if kind == "windows" else ["household_id", "sim_date"]
     rest = [c for c in rows.columns if c not in (*keys, "batch", "part")]
-    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("m")).select(*keys, *[f"m.{c}" for c in rest])
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("m")).select(*keys, *[f"m.{c}" for c in rest]), late

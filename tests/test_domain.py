@@ -1,6 +1,7 @@
 """Single operators on small frames with results worked out by hand."""
 
 import datetime as dt
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import rules
 from gridloom.functions.tariff import bill, blocks, pct_divergence, renewable_ratio, slabs
-from gridloom.operators import billing, ledger, rollups, serving
+from gridloom.operators import billing, ledger, reconcile, rollups, serving
 from gridloom.sources import readings as log
 from gridloom.sources import sinks
+from gridloom.sources.tables import Table
+from gridloom.streaming import sinks as streams
 from gridloom.streaming import speed
 from gridloom.streaming.speed import lag_by_partition
 from gridloom.types import Settings
@@ -82,11 +85,54 @@ def test_dedup_takes_the_earliest_even_if_it_is_invalid_later(spark):
     assert sorted(r.event_id for r in billing.dedup_earliest(df).collect()) == [2, 4]
 
 
-def test_missing_tariff_is_named(spark):
-    totals = spark.createDataFrame([("HH-1", dt.date(2024, 1, 1)), ("HH-2", dt.date(2024, 1, 1))], "household_id string, sim_date date")
-    tariff = spark.createDataFrame([("HH-1", dt.date(2024, 1, 1), *rate())], "household_id string, effective_date date, " + RATES)
-    with pytest.raises(billing.MissingTariffError, match="HH-2"):
-        billing.require_tariff(totals, tariff)
+def estimates(spark, totals, tariffs):
+    """Estimates, final bills and reconciliation of (household, day, kWh) under (household, day, fixed charge)."""
+    day = lambda d: dt.date(2024, 1, d)
+    rows = spark.createDataFrame([(h, day(d), D(k), D(0), 1) for h, d, k in totals], "household_id string, sim_date date, consumption_kwh decimal(12,4), solar_kwh decimal(12,4), readings_count long")
+    held = spark.createDataFrame([(h, day(d), *rate(fixed)) for h, d, fixed in tariffs], "household_id string, effective_date date, " + RATES)
+    return rows, held, billing.provisional_bills(rows, held)
+
+
+def test_one_tariff_holds_for_estimates_and_reconciliation(spark):
+    """A tariff of 2 January, a reading on the 3rd and later: bill, estimate and reconciliation, not nothing."""
+    rows, held, speed_bills = estimates(spark, [("a", 3, "10"), ("a", 4, "10"), ("a", 6, "10")], [("a", 2, "1.00"), ("a", 5, "2.00")])
+    got = {r.sim_date.day: (r.speed_estimate, r.batch_final, r.tariff_effect, r.data_effect) for r in reconcile.reconciliation(speed_bills, billing.daily_bills(rows, held), held).collect()}
+    assert got == {3: (D("81.00"), D("81.00"), 0, 0), 4: (D("81.00"), D("81.00"), 0, 0), 6: (D("82.00"), D("82.00"), 0, 0)}
+    rows, held, speed_bills = estimates(spark, [("a", 5, "10")], [("a", 2, "1.00"), ("a", 5, "2.00")])
+    got = reconcile.reconciliation(speed_bills, billing.daily_bills(rows, held), held).first()
+    assert (got.speed_estimate, got.batch_final, got.tariff_effect, got.data_effect, got.abs_divergence) == (D("81.00"), D("82.00"), D("-1.00"), D("0.00"), D("1.00"))
+
+
+def test_reconciliation_without_a_tariff_is_loud(spark):
+    rows, held, speed_bills = estimates(spark, [("a", 3, "10")], [("a", 2, "1.00")])
+    bills = billing.daily_bills(rows, held)
+    with pytest.raises(Exception, match="no tariff for a on 2024-01-03"):
+        reconcile.reconciliation(speed_bills, bills, held.where("household_id = 'b'")).collect()
+    twice = held.unionByName(held.withColumn("fixed_charge", F.lit(D("5.00")).cast("decimal(12,2)")))
+    with pytest.raises(Exception, match="two tariffs for a on 2024-01-03"):
+        reconcile.reconciliation(speed_bills, bills, twice).collect()
+    with pytest.raises(Exception, match="two tariffs for a on 2024-01-03"):
+        billing.provisional_bills(rows, twice).collect()
+    assert not billing.provisional_bills(rows, held.where("household_id = 'b'")).count()
+
+
+def test_layers_reconcile_as_their_bills_do(spark):
+    """One pass over the readings gives what the two layers' own relations give, with copies, late and bad readings."""
+    r = random.Random(3)
+    at = lambda: dt.datetime(2024, 1, r.randint(1, 6), r.randint(0, 23), 30 * r.randint(0, 1))
+    raw = []
+    for k in range(400):
+        t = at()
+        raw.append((k, r.choice("mn"), r.choice(["a", "a", "b", ""]), "ZONE-A", t, D(r.randint(-1, 30)), D(r.randint(0, 9)), t + dt.timedelta(minutes=r.choice([0, 1, 5, 45]))))
+    schema = "event_id long, meter_id string, household_id string, grid_zone string, event_ts timestamp, consumption_kwh decimal(12,4), solar_generation_kwh decimal(12,4), ingest_ts timestamp"
+    marked = rules.with_reason(spark.createDataFrame(raw, schema), spark.createDataFrame([("a",), ("b",)], "household_id string"))
+    held = spark.createDataFrame([(h, dt.date(2023, 12, 28) + dt.timedelta(days=d), *rate(f"{d}.00", h == "b", f"{8 + d}.00")) for h in "ab" for d in (0, 5, 7, 8)], "household_id string, effective_date date, " + RATES)
+    batch = billing.household_daily(rules.accepted(rules.with_reason(billing.dedup_earliest(marked.drop("reason")), spark.createDataFrame([("a",), ("b",)], "household_id string"))))
+    fast = billing.household_daily(billing.dedup_earliest(rules.accepted(marked)).where("ingest_ts <= event_ts + INTERVAL 30 MINUTES"))
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in range(1, 7)], "sim_date date")
+    want = reconcile.reconciliation(billing.provisional_bills(fast, held), billing.daily_bills(batch, held, days), held)
+    got = reconcile.reconcile_layers(billing.layered_totals(marked, "30 minutes"), held)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
 
 
 def priced(spark, totals, tariffs):
@@ -117,16 +163,6 @@ def test_zone_export_nets_by_household_day(spark):
     assert got.peak_window_start == at(1)
 
 
-def test_upsert_versions_and_replaced_days(spark, tmp_path):
-    path = str(tmp_path / "view")
-    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
-    sinks.upsert_path(path, frame([("a", 1), ("b", 1)]), ["k"])
-    out = sinks.upsert_path(path, frame([("b", 2), ("c", 2)]), ["k"])
-    assert {(r.k, r.v) for r in spark.read.parquet(out).collect()} == {("a", 1), ("b", 2), ("c", 2)}
-    with pytest.raises(ValueError):
-        sinks.replace_day(spark.createDataFrame([(dt.date(2024, 1, 2),)], "sim_date date"), path, "2024-01-01")
-
-
 def test_ledger_serves_the_successful_run(spark):
     t = dt.datetime(2024, 1, 1)
     events = [("r1", 0, "running"), ("r1", 1, "success"), ("r1", 3, "superseded"), ("r2", 2, "running"), ("r2", 4, "success"), ("r3", 5, "running"), ("r3", 6, "failed")]
@@ -188,12 +224,12 @@ def test_late_rows_restarts_and_rewritten_batches(spark, tmp_path):
     schema = "meter_id string, household_id string, grid_zone string, event_ts timestamp, consumption_kwh decimal(12,4), solar_generation_kwh decimal(12,4)"
     put = lambda n, rows: spark.createDataFrame([("m", "HH-0001", "ZONE-A", at, D(k), D(0)) for at, k in rows], schema).write.parquet(f"{tmp_path}/in/{n}")
     roster = spark.createDataFrame([("HH-0001",)], "household_id string")
-    view = f"{tmp_path}/view"
+    table = Table(spark, f"{tmp_path}/view", ["grid_zone", "window_start"])
 
     def run():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        speed.start(speed.zone_stream(stream, roster), speed.upsert_sink(view, ["grid_zone", "window_start"]), f"{tmp_path}/check", "late", trigger={"availableNow": True}).awaitTermination()
-        return {r.window_start: r.total_consumption_kwh for r in spark.read.parquet(f"{view}/v={sinks.current_version(spark, view)}").collect()}
+        speed.start(speed.zone_stream(stream, roster), streams.view_sink(table), f"{tmp_path}/check", "late", trigger={"availableNow": True}).awaitTermination()
+        return {r.window_start: r.total_consumption_kwh for r in table.read().collect()}
 
     put(1, [(t(1), 1), (t(1), 1), (t(1, 5), 2)])
     assert run() == {t(1): D(3)}
