@@ -15,17 +15,30 @@ _NAMES = ("meter_id", "household_id", "grid_zone")
 _VALUES = ("event_ts", "consumption_kwh", "solar_generation_kwh")
 
 
+#: Every reason a reading can be rejected for, and what it means; reports and accounts know these and no others.
+REASONS = {
+    "null_field": "a required field is missing or empty",
+    "negative_kwh": "energy below zero",
+    "unknown_household": "the household is not on the roster",
+    "unknown_zone": "the zone is not one of the grid's",
+    "event_ts_out_of_range": "the time lies outside the simulated calendar",
+}
+
+
 def rules(known: Column, s: Settings = SETTINGS) -> dict[str, Column]:
     """Reason to predicate, in the order in which they apply. known tells whether the household is on the roster."""
     filled = [F.nullif(F.col(name).cast("string"), F.lit("")) for name in _NAMES] + [F.col(name) for name in _VALUES]
     within = F.col("event_ts").between(*[F.lit(t).cast("timestamp") for t in (s.earliest, s.latest)])
-    return {
+    found = {
         "null_field": reduce(or_, [c.isNull() for c in filled]),
         "negative_kwh": F.least("consumption_kwh", "solar_generation_kwh") < 0,
         "unknown_household": ~known,
         "unknown_zone": ~F.col("grid_zone").isin(*s.zones),
         "event_ts_out_of_range": ~within,
     }
+    if found.keys() != REASONS.keys():
+        raise RuntimeError(f"rules and REASONS differ in {', '.join(sorted(found.keys() ^ REASONS.keys()))}")
+    return found
 
 
 def with_reason(readings: DataFrame, roster: DataFrame, s: Settings = SETTINGS) -> DataFrame:

@@ -61,3 +61,12 @@ def active(stale: DataFrame, low: DataFrame) -> DataFrame:
     """Alerts by zone: stale data inhibits the alert on low renewables of the same zone."""
     kept = low.select("grid_zone").distinct().join(stale, "grid_zone", "left_anti")
     return stale.select("grid_zone", F.lit("MeterDataStale").alias("alert")).unionByName(kept.select("grid_zone", F.lit("LowRenewable").alias("alert")))
+
+
+def firing(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The alerts that are active, from an alert manager's JSON lists: name, severity, summary, since. Resolved and
+    suppressed ones, which such lists go on naming for a while, are left out; so is text that is no list."""
+    kind = "array<struct<status: struct<state: string>, labels: map<string, string>, annotations: map<string, string>, startsAt: timestamp>>"
+    one = payloads.select(F.explode(F.from_json(column, kind)).alias("a")).where("a.status.state = 'active'")
+    named = lambda part, key, other: F.coalesce(F.try_element_at(f"a.{part}", F.lit(key)), F.lit(other)).alias(key if key != "alertname" else "name")
+    return one.select(named("labels", "alertname", "unknown"), named("labels", "severity", "unknown"), named("annotations", "summary", ""), F.col("a.startsAt").alias("since"))

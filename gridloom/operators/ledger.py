@@ -100,7 +100,7 @@ def _of_days(df: DataFrame, name: str, days: list) -> DataFrame:
     return df.withColumn("sim_date", F.when(known, F.col("sim_date")).otherwise(F.raise_error(text).cast("date")))
 
 
-def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, DataFrame], counted: str, rows_in: dict | None = None) -> None:
+def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, DataFrame], counted: str, rows_in: dict | None = None, layer: str = "batch") -> None:
     """Write runs' tables (runs: sim_date to run_id) and make them the current ones in one step: readers (published)
     see the rows of the runs whose success the ledger tells, so all tables and days change together, and runs that
     fail, for whatever reason, change none. A table with rows of another day fails them all.
@@ -109,7 +109,7 @@ def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, Dat
     """
     days, rows_in = list(runs), rows_in or {}
     label = F.create_map(*[F.lit(x) for day, run_id in runs.items() for x in (str(day), run_id)])[F.col("sim_date").cast("string")]
-    ledger.change(lambda _: [(run_id, day, "batch", "running", None, None) for day, run_id in runs.items()])
+    ledger.change(lambda _: [(run_id, day, layer, "running", None, None) for day, run_id in runs.items()])
     try:
         for name, df in tables.items():
             out = _of_days(df, name, days).withColumn("run_id", label)
@@ -119,9 +119,9 @@ def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, Dat
         if written:
             made = {str(r["sim_date"]): r["n"] for r in ledger.spark.read.parquet(*written).groupBy("sim_date").agg(F.count("*").alias("n")).collect()}
     except BaseException:  # an interrupt, too, must not leave runs that never end
-        ledger.change(lambda _: [(run_id, day, "batch", "failed", rows_in.get(day), None) for day, run_id in runs.items()])
+        ledger.change(lambda _: [(run_id, day, layer, "failed", rows_in.get(day), None) for day, run_id in runs.items()])
         raise
-    ledger.succeed_all([(run_id, day, rows_in.get(day), made.get(str(day), 0)) for day, run_id in runs.items()])
+    ledger.succeed_all([(run_id, day, rows_in.get(day), made.get(str(day), 0)) for day, run_id in runs.items()], layer)
 
 
 def publish_day(ledger: RunLedger, root: str, run_id: str, day, tables: dict[str, DataFrame], rows_in: int, counted: str) -> None:

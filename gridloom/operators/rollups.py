@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.tariff import netting, renewable_ratio
 from gridloom.operators.billing import exact_sum
+from gridloom.operators.ledger import RunLedger, publish_days
+from gridloom.sources.tables import Table
 from gridloom.types import KWH, SETTINGS, TOTAL, Settings
 
 
@@ -72,6 +76,21 @@ def retained(windows: DataFrame, as_of, s: Settings = SETTINGS) -> DataFrame:
     return windows.where(F.col("window_start") >= F.date_sub(as_of, s.window_retention_days))
 
 
+def window_table(spark: SparkSession, path: str) -> Table:
+    """The speed layer's windows, in buckets by day."""
+    return Table(spark, path, ["grid_zone", "window_start"], F.to_date("window_start"))
+
+
+def publish_rollup(ledger: RunLedger, root: str, runs: dict, zone_days: DataFrame, windows: Table, s: Settings = SETTINGS) -> int:
+    """The authoritative zone rows of days (runs: sim_date to run_id) become the current ones in one step, and windows
+    older than the retention before the newest of these days go: whole buckets, by a new manifest, no row read. How
+    many went. A run that fails publishes and retires nothing; one that breaks off in between leaves old windows for
+    the next one to retire."""
+    publish_days(ledger, root, runs, {"zone_days": zone_days}, "zone_days", layer="rollup")
+    oldest = (max(runs) - timedelta(days=s.window_retention_days)).isoformat()
+    return windows.retire(lambda day: day >= oldest)
+
+
 def grid_totals(windows: DataFrame) -> DataFrame:
     """All zones together by window, and each window's share of sunshine."""
     out = windows.groupBy("window_start").agg(F.sum("total_consumption_kwh").cast(TOTAL).alias("consumption_kwh"), F.sum("total_solar_kwh").cast(TOTAL).alias("solar_kwh"), F.count("*").alias("zones"))

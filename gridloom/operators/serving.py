@@ -48,12 +48,27 @@ def history_minutes(minutes: int, s: Settings = SETTINGS) -> int:
     return minutes
 
 
-def render_report(sim_date: str, summary: dict, zones: list[dict], restated: bool) -> str:
-    """The day's report as Markdown; absent values are dashes."""
-    show = lambda v: "—" if v is None else str(v)
-    lines = [f"# Report for {sim_date}" + (" (restated)" if restated else ""), "", "| measure | value |", "|---|---|"]
-    lines += [f"| {k} | {show(v)} |" for k, v in summary.items()]
-    if zones:
-        lines += ["", "| " + " | ".join(zones[0]) + " |", "|" + "---|" * len(zones[0])]
-        lines += ["| " + " | ".join(show(v) for v in z.values()) + " |" for z in zones]
+def _table(rows: list[dict]) -> list[str]:
+    show = lambda v: "—" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
+    return ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *["| " + " | ".join(map(show, r.values())) + " |" for r in rows]]
+
+
+def render_report(sim_date: str, summary: dict, zones: list[dict], rejects: list[dict], runs: list[dict]) -> str:
+    """The day's report as Markdown, from its row of daily_report and the day's zone rows, rejects by reason and runs:
+    a few rows each. Parts that are not there say so; absent values are dashes."""
+    state = "final" if summary.get("finalised") else "provisional: no billing run has closed this day"
+    lines = [f"# Report for {sim_date}", "", f"State: {state}."]
+    if summary.get("restated"):
+        lines += ["", "This day was restated: the figures are those of the run that counts, earlier runs are listed below."]
+    money = {"bills": "Bills", "billed": "Billed", "kwh": "Energy (kWh)", "readings": "Readings"}
+    gap = {"reconciled": "Households compared", "mean_abs": "Mean gap", "mean_pct": "Mean gap (%)"}
+    sections = [
+        ("Zones", zones if summary.get("has_rollup", bool(zones)) else [], "No zone rows for this day yet."),
+        ("Bills", [{label: summary.get(k) for k, label in money.items()}] if summary.get("has_bills") else [], "No final bills for this day yet."),
+        ("Rejected readings", rejects, "None."),
+        ("Estimates against bills", [{label: summary.get(k) for k, label in gap.items()}] if summary.get("has_reconciliation") else [], "Not reconciled yet."),
+        ("Runs", runs, "None recorded."),
+    ]
+    for title, rows, without in sections:
+        lines += ["", f"## {title}", "", *(_table(rows) if rows else [without])]
     return "\n".join(lines) + "\n"

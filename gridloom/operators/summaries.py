@@ -124,15 +124,29 @@ def tier_utilisation(tiers: DataFrame, width: Column) -> DataFrame:
     return bounded.withColumn("used_pct", F.round(F.col("kwh") / width * 100, 2).cast("decimal(7,2)"))
 
 
-def daily_report(bills: DataFrame, zone_days: DataFrame, reconciled: DataFrame, runs: DataFrame) -> DataFrame:
-    """A row for each billed day: what the report shows, with nulls for parts that are not there."""
+def daily_report(bills: DataFrame, zone_days: DataFrame, reconciled: DataFrame, runs: DataFrame, marked: DataFrame) -> DataFrame:
+    """A row for each day that has a run, bills or zone rows: what the report shows, with nulls for parts that are not
+    there, and flags that tell which are. Each part is aggregated by day by itself; the few rows of all parts meet in
+    one aggregation, not in joins."""
+    day = F.to_date("event_ts").alias("sim_date")
     parts = [
-        bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast(AMOUNT).alias("billed")),
-        zone_days.groupBy("sim_date").agg(F.sum("total_consumption_kwh").cast(TOTAL).alias("zone_kwh")),
-        reconciled.groupBy("sim_date").agg(F.count("*").alias("reconciled")),
-        runs.groupBy("sim_date").agg(F.count("*").alias("runs"), F.bool_or(F.col("status") == "superseded").alias("restated")),
+        bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast(AMOUNT).alias("billed"), F.sum("consumption_kwh").cast(TOTAL).alias("kwh"), F.sum("readings_count").alias("readings")),
+        zone_days.groupBy("sim_date").agg(F.count("*").alias("zones"), F.sum("total_consumption_kwh").cast(TOTAL).alias("zone_kwh")),
+        reconciled.groupBy("sim_date").agg(F.count("*").alias("reconciled"), reconcile.mean("abs_divergence", 2).alias("mean_abs"), reconcile.mean("pct_divergence", 3).alias("mean_pct")),
+        runs.groupBy("sim_date").agg(F.count("*").alias("runs"), F.bool_or(F.col("status") == "superseded").alias("restated"), F.bool_or((F.col("status") == "success") & (F.col("layer") == "batch")).alias("finalised")),
+        marked.where("reason IS NOT NULL").groupBy(day).agg(F.count("*").alias("rejected")),
     ]
-    out = parts[0]
+    every = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "sim_date", "left")
-    return out
+        every = every.unionByName(part, allowMissingColumns=True)
+    out = every.groupBy("sim_date").agg(*[F.max(c).alias(c) for c in every.columns if c != "sim_date"]).where("coalesce(runs, bills, zones) IS NOT NULL")
+    flags = {"has_bills": "bills", "has_rollup": "zones", "has_reconciliation": "reconciled"}
+    out = out.withColumns({name: F.col(part).isNotNull() for name, part in flags.items()})
+    return out.withColumns({"finalised": F.coalesce("finalised", F.lit(False)), "restated": F.coalesce("restated", F.lit(False)), "rejected": F.coalesce("rejected", F.lit(0))})
+
+
+def on_real_axis(windows: DataFrame, anchor: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """windows with their ends on the real clock, from a one-row table of its anchor (clock_anchor)."""
+    since = lambda name: F.floor((F.unix_micros(name) - F.unix_micros(F.lit(s.epoch).cast("timestamp"))) / s.time_scale)
+    both = windows.crossJoin(F.broadcast(anchor.limit(1)))
+    return both.withColumns({f"real_{end}": F.timestamp_micros(F.unix_micros("anchor") + since(f"window_{end}")) for end in ("start", "end")}).drop("anchor")

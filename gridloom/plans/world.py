@@ -16,9 +16,13 @@ from gridloom.types import KWH, SETTINGS
 class World:
     """Relations of one data folder. events is the stream of readings: a user is a household with one meter."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, day: str | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.day = spark, sf_dir, day
+
+    def on(self, day: str) -> World:
+        """The same for one day: its readings, tariffs and days only, so that what is asked of a day costs a day."""
+        return World(self.spark, self.dir, day)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -56,11 +60,12 @@ class World:
     def open_days(self) -> DataFrame:
         if self.span is None:
             return self.spark.createDataFrame([], "d int, sim_date date")
-        return self.spark.range(1).select(F.posexplode(F.sequence(*map(F.lit, self.span))).alias("d", "sim_date"))
+        every = self.spark.range(1).select(F.posexplode(F.sequence(*map(F.lit, self.span))).alias("d", "sim_date"))
+        return every if self.day is None else every.where(F.col("sim_date") == F.lit(self.day).cast("date"))
 
     @cached_property
     def tariff_all(self) -> DataFrame:
-        return simulate.tariff(self.roster, self.days)
+        return simulate.tariff(self.roster, self.days if self.day is None else self.days.where(F.col("sim_date").between(F.date_sub(F.lit(self.day), 1), F.lit(self.day))))
 
     @cached_property
     def tariff(self) -> DataFrame:
@@ -68,7 +73,8 @@ class World:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return simulate.with_faults(self.readings)
+        every = simulate.with_faults(self.readings)
+        return every if self.day is None else every.where(F.to_date("event_ts") == F.lit(self.day).cast("date"))
 
     @cached_property
     def marked(self) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import tomllib
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 from decimal import Decimal
 
 from pyspark.sql.types import (
-    ArrayType, BinaryType, BooleanType, DateType, DecimalType, DoubleType, StringType, StructField, StructType, TimestampType,
+    BooleanType, DateType, DecimalType, DoubleType, StringType, StructField, StructType, TimestampType,
 )
 
-KWH, MONEY, PERCENT, DIVERGENCE, RATIO = DecimalType(12, 4), DecimalType(12, 2), DecimalType(5, 2), DecimalType(6, 3), DecimalType(5, 4)
+KWH, MONEY, PERCENT, DIVERGENCE = DecimalType(12, 4), DecimalType(12, 2), DecimalType(5, 2), DecimalType(6, 3)
 
 #: Energy of zones, grids and days, which a household's type can't hold.
 TOTAL = DecimalType(18, 4)
@@ -19,7 +22,6 @@ READING = StructType([StructField(n, t) for n, t in (
     ("schema_version", StringType()), ("event_id", StringType()), ("trace_id", StringType()), ("meter_id", StringType()), ("household_id", StringType()), ("grid_zone", StringType()),
     ("event_ts", TimestampType()), ("consumption_kwh", KWH), ("solar_generation_kwh", KWH), ("voltage", DoubleType()), ("producer_id", StringType()),
 )])
-HEADERS = ArrayType(StructType([StructField("key", StringType()), StructField("value", BinaryType())]))
 TARIFF = StructType([StructField(n, t, False) for n, t in (
     ("household_id", StringType()), ("effective_date", DateType()), ("billing_tier", StringType()), ("subsidy_flag", BooleanType()), ("subsidy_pct", PERCENT),
     ("fixed_charge", MONEY), ("block_1_rate", MONEY), ("block_2_rate", MONEY), ("block_3_rate", MONEY), ("export_rate", MONEY),
@@ -68,5 +70,48 @@ class Settings:
         if self.time_scale <= 0:
             raise ValueError("time_scale must be positive")
 
+    @classmethod
+    def layered(cls, *layers: Mapping, environ: Mapping[str, str] | None = None, prefix: str = "GRIDLOOM_") -> Settings:
+        """Settings from layers of names and values, such as the tables of TOML files, the later over the earlier, and
+        over them the variables of environ that begin with prefix (values as in TOML, or plain text). A name that is no
+        setting is an error, and values are checked like any."""
+        known = {f.name: f for f in fields(cls)}
+        values = {name: value for layer in layers for name, value in layer.items()}
+        for key, text in (environ or {}).items():
+            if key.startswith(prefix):
+                try:
+                    values[key.removeprefix(prefix).lower()] = tomllib.loads(f"x = {text}")["x"]
+                except tomllib.TOMLDecodeError:
+                    values[key.removeprefix(prefix).lower()] = text
+        if strange := sorted(values.keys() - known.keys()):
+            raise ValueError(f"no such settings: {', '.join(strange)}")
+        made = cls()
+        for name, value in values.items():
+            now = getattr(made, name)
+            if isinstance(now, tuple) and isinstance(value, list):
+                values[name] = tuple(type(now[0])(x) for x in value)
+            elif isinstance(now, float) and type(value) is int:
+                values[name] = float(value)
+            elif type(value) is not type(now):
+                raise ValueError(f"{name} must be like {now!r}, not {value!r}")
+        return cls(**values)
+
+    @classmethod
+    def load(cls, *paths: str, environ: Mapping[str, str] | None = None) -> Settings:
+        """The same from TOML files, the later over the earlier."""
+        layers = []
+        for path in paths:
+            with open(path, "rb") as file:
+                layers.append(tomllib.load(file))
+        return cls.layered(*layers, environ=environ)
+
 
 SETTINGS = Settings()
+
+#: The row types that other systems rely on, by the name of the file in contracts/ that records each.
+CONTRACTS = {"reading": READING, "tariff": TARIFF, "weather": WEATHER}
+
+
+def contract_text(name: str) -> str:
+    """A contract as it is recorded: a test holds the file against the type, so that no field changes unseen."""
+    return json.dumps(CONTRACTS[name].jsonValue(), indent=1) + "\n"

@@ -180,7 +180,6 @@ def test_lag_and_arguments():
     assert lag_by_partition(None, "{}") == lag_by_partition("None", '{"t": {"0": 9}}') == lag_by_partition('{"t": {"0": 9}}', "None") == {}
     with pytest.raises(ValueError):
         serving.history_minutes(0)
-    assert "restated" in serving.render_report("2024-01-01", {"bills": None}, [], True)
 
 
 def test_tariff_csv_is_strict(spark, tmp_path):
