@@ -22,23 +22,27 @@ def dedup_earliest(raw: DataFrame) -> DataFrame:
     return raw.groupBy("meter_id", "event_ts").agg(F.min_by(whole, order).alias("first")).select("first.*")
 
 
-def layered_totals(marked: DataFrame, late: str) -> DataFrame:
+def layered_totals(marked: DataFrame, late: str, also: DataFrame | None = None) -> DataFrame:
     """Household days of both layers from one pass over marked readings (reason is null for valid ones): batch_ columns
     of readings deduplicated first and validated then, speed_ columns of readings validated first, deduplicated then,
-    and in time (they arrived within the interval late)."""
+    and in time (they arrived within the interval late). Household days of also (household_id, sim_date) that no
+    reading is of have zeros."""
     order, row = F.struct("ingest_ts", "event_id"), F.struct("household_id", "event_ts", "ingest_ts", "consumption_kwh", "solar_generation_kwh", "reason")
     one = marked.groupBy("meter_id", "event_ts").agg(F.min_by(row, order).alias("b"), F.min_by(row, F.when(F.col("reason").isNull(), order)).alias("s"))
     in_time = F.col("s.ingest_ts") <= F.col("s.event_ts") + F.expr(f"INTERVAL {late}")
     sides = F.array(F.when(F.col("b.reason").isNull(), F.struct(F.lit("batch").alias("layer"), "b.*")), F.when(F.col("s.reason").isNull() & in_time, F.struct(F.lit("speed").alias("layer"), "s.*")))
-    rows = one.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    rows = one.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("r")).select("r.*", F.to_date("r.event_ts").alias("sim_date"))
+    rows = rows.select("household_id", "sim_date", "layer", "consumption_kwh", "solar_generation_kwh")
+    if also is not None:
+        rows = rows.unionByName(also.select("household_id", "sim_date"), allowMissingColumns=True)
     parts = []
     for layer in ("batch", "speed"):
-        mine = F.col("layer") == layer
+        mine = F.coalesce(F.col("layer") == layer, F.lit(False))
         for name, kwh in (("consumption_kwh", "consumption_kwh"), ("solar_kwh", "solar_generation_kwh")):
             total = F.sum(F.when(mine, (F.col(kwh) * 10000).cast("long")).otherwise(F.lit(0).cast("long")))
             parts.append((total.cast("decimal(38,0)") / F.lit(10000).cast("decimal(5,0)")).cast(KWH).alias(f"{layer}_{name}"))
         parts.append(F.count_if(mine).alias(f"{layer}_readings"))
-    return rows.groupBy("household_id", F.to_date("event_ts").alias("sim_date")).agg(*parts)
+    return rows.groupBy("household_id", "sim_date").agg(*parts)
 
 
 def duplicates_removed(raw: DataFrame) -> DataFrame:

@@ -33,22 +33,34 @@ def reconciliation(speed: DataFrame, batch: DataFrame, tariff: DataFrame) -> Dat
     return _effects(held.withColumn("at_own_tariff", bill(F.col("speed_kwh"), F.col("solar_kwh"), "tariff_0.")["total"]))
 
 
-def reconcile_layers(layers: DataFrame, tariff: DataFrame) -> DataFrame:
-    """The same from the household days of both layers (billing.layered_totals) in one pass: the tariffs of the day
-    and of the day before are looked up together and all three bills come from one row. Days without an estimate
-    (no reading in time, or no tariff the day before) or without a bill (no tariff) are left out; a day that the
-    batch has readings of and that has no tariff fails the query."""
+def priced_layers(layers: DataFrame, tariff: DataFrame) -> DataFrame:
+    """Both layers' bills of household days (billing.layered_totals) in one row and one pass: the tariffs of the day
+    and of the day before are looked up together. bill is null without a tariff on the day, estimate without a reading
+    in time or a tariff the day before, own (the estimate's energy at the day's own tariff) if either is. A day that
+    the batch has readings of and that has no tariff, or two, fails the query."""
     held = as_of(layers, tariff, 0, 1).where(fault("tariff_0", F.col("batch_readings") > 0).isNull())
-    both = held.where("speed_readings > 0 AND tariff_0 IS NOT NULL AND tariff_1 IS NOT NULL").where(fault("tariff_1").isNull())
     speed, batch = ((F.col(f"{layer}_consumption_kwh"), F.col(f"{layer}_solar_kwh")) for layer in ("speed", "batch"))
-    estimate, final, own = bill(*speed, "tariff_1."), bill(*batch, "tariff_0."), bill(*speed, "tariff_0.")
-    return _effects(both.select(*_KEY, estimate["total"].alias("speed_estimate"), final["total"].alias("batch_final"), own["total"].alias("at_own_tariff"), final["energy_charge"].alias("b_energy"), final["fixed_charge"].alias("b_fixed"), speed[0].alias("speed_kwh"), batch[0].alias("batch_kwh")))
-
-
-def unmatched(speed: DataFrame, batch: DataFrame) -> DataFrame:
-    """Household days on one side only."""
-    a, b = speed.select(*_KEY), batch.select(*_KEY)
-    return a.exceptAll(b).withColumn("side", F.lit("speed_only")).unionByName(b.exceptAll(a).withColumn("side", F.lit("batch_only")))
+    told = (F.col("speed_readings") > 0) & F.col("tariff_1").isNotNull()
+    held = held.where(F.when(told, fault("tariff_1")).isNull())
+    final = bill(*batch, "tariff_0.")
+    names = ("total", "energy_charge", "fixed_charge")
+    return held.select(
+        *_KEY, F.when(F.col("tariff_0").isNotNull(), F.struct(*[final[n].alias(n) for n in names], F.col("tariff_0.effective_date").alias("tariff_date"))).alias("bill"),
+        F.when(told, bill(*speed, "tariff_1.")["total"]).alias("estimate"), F.when(told & F.col("tariff_0").isNotNull(), bill(*speed, "tariff_0.")["total"]).alias("own"),
+        speed[0].alias("speed_kwh"), batch[0].alias("batch_kwh"), F.col("batch_readings").alias("readings_count"),
+    ).where("bill IS NOT NULL OR estimate IS NOT NULL")
+
+
+def reconciled_layers(priced: DataFrame) -> DataFrame:
+    """The reconciliation of those household days of priced_layers that have both bills."""
+    both = priced.where("bill IS NOT NULL AND estimate IS NOT NULL")
+    return _effects(both.select(*_KEY, F.col("estimate").alias("speed_estimate"), F.col("bill.total").alias("batch_final"), F.col("own").alias("at_own_tariff"), F.col("bill.energy_charge").alias("b_energy"), F.col("bill.fixed_charge").alias("b_fixed"), "speed_kwh", "batch_kwh"))
+
+
+def unmatched(priced: DataFrame) -> DataFrame:
+    """Household days that only one layer has a bill of."""
+    one = priced.where(F.col("bill").isNull() | F.col("estimate").isNull())
+    return one.select(*_KEY, F.when(F.col("bill").isNull(), "speed_only").otherwise("batch_only").alias("side"))
 
 
 def mean(name: str, places: int):

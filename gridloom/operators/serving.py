@@ -10,21 +10,23 @@ from gridloom.types import MONEY, SETTINGS, Settings
 _KEY = ["household_id", "sim_date"]
 
 
-def merged_bills(speed: DataFrame, batch: DataFrame, finalised: DataFrame) -> DataFrame:
-    """The batch's bill where the day is finalised and has one, else the estimate (provisional), else nothing."""
-    b = batch.join(finalised, "sim_date", "left_semi").select(*_KEY, F.col("final_bill").alias("b"), F.col("tariff_effective_date").alias("bt"), F.col("readings_count").alias("readings_count"))
-    s = speed.select(*_KEY, F.col("estimated_bill").alias("s"), F.col("tariff_source_date").alias("st"))
-    return b.join(s, _KEY, "full").select(*_KEY, F.coalesce("b", "s").alias("total"), F.col("b").isNull().alias("provisional"), F.when(F.col("b").isNotNull(), F.col("bt")).otherwise(F.col("st")).alias("tariff_date"), "readings_count")
-
-
-def bill_delta(speed: DataFrame, batch: DataFrame, rows: DataFrame) -> DataFrame:
-    """Estimate, bill, their difference and its percentage of gross charges, with the effects where reconciled."""
-    s = speed.select(*_KEY, F.col("estimated_bill").alias("speed_estimate"))
-    b = batch.select(*_KEY, F.col("final_bill").alias("batch_final"), (F.col("energy_charge") + F.col("fixed_charge")).cast(MONEY).alias("gross"))
-    out = s.join(b, _KEY, "full").join(rows.select(*_KEY, "tariff_effect", "data_effect"), _KEY, "left")
-    out = out.withColumn("delta", (F.col("speed_estimate") - F.col("batch_final")).cast(MONEY))
-    pct = F.when(F.col("delta").isNull(), None).when(F.col("gross") == 0, F.lit(0)).otherwise(F.round(100 * F.abs("delta") / F.col("gross"), 3))
-    return out.withColumn("pct", pct.cast("decimal(12,3)")).drop("gross")
+def merged_bills(priced: DataFrame, finalised: DataFrame) -> DataFrame:
+    """Of household days priced by both layers (reconcile.priced_layers) the batch's bill where the day is finalised
+    and has one, else the estimate (provisional), else nothing."""
+    closed = finalised.select("sim_date", F.lit(True).alias("closed")).distinct()
+    final = F.col("closed").isNotNull() & F.col("bill").isNotNull()
+    out = priced.join(closed, "sim_date", "left").where(final | F.col("estimate").isNotNull())
+    date = F.when(final, F.col("bill.tariff_date")).otherwise(F.date_sub("sim_date", 1))
+    return out.select(*_KEY, F.when(final, F.col("bill.total")).otherwise(F.col("estimate")).alias("total"), (~final).alias("provisional"), date.alias("tariff_date"), F.when(final, F.col("readings_count")).alias("readings_count"))
+
+
+def bill_delta(priced: DataFrame) -> DataFrame:
+    """Estimate, bill, their difference and its percentage of gross charges, with the effects where there are both."""
+    s, b = F.col("estimate"), F.col("bill.total")
+    delta, gross = (s - b).cast(MONEY), F.col("bill.energy_charge") + F.col("bill.fixed_charge")
+    pct = F.when(delta.isNull(), None).when(gross == 0, F.lit(0)).otherwise(F.round(100 * F.abs(delta) / gross, 3)).cast("decimal(12,3)")
+    effects = (s - F.col("own")).cast(MONEY).alias("tariff_effect"), (F.col("own") - b).cast(MONEY).alias("data_effect")
+    return priced.select(*_KEY, s.alias("speed_estimate"), b.alias("batch_final"), delta.alias("delta"), pct.alias("pct"), *effects)
 
 
 def waterfall(bills: DataFrame) -> DataFrame:

@@ -206,12 +206,10 @@ def report(w: World) -> DataFrame:
 def day_check(w: World) -> DataFrame:
     """Rows of a day in each table, and of these the pairs whose effects don't add up to their gap."""
     w = w.on(DAY)
-    broken = F.col("tariff_effect") + F.col("data_effect") != F.col("speed_estimate") - F.col("batch_final")
-    none = lambda name: F.lit(0).cast("long").alias(name)
-    bills = w.bills.agg(F.count("*").alias("bills"), none("estimates"), none("reconciled"), none("broken"))
-    estimates = w.speed_bills.agg(none("bills"), F.count("*").alias("estimates"), none("reconciled"), none("broken"))
-    pairs = w.reconciled.agg(none("bills"), none("estimates"), F.count("*").alias("reconciled"), F.count_if(broken).alias("broken"))
-    return bills.union(estimates).union(pairs).agg(*[F.max(c).alias(c) for c in bills.columns])
+    effects = F.col("estimate") - F.col("own") + (F.col("own") - F.col("bill.total"))
+    both = F.col("bill").isNotNull() & F.col("estimate").isNotNull()
+    broken = both & (effects != F.col("estimate") - F.col("bill.total"))
+    return w.priced.agg(F.count("bill").alias("bills"), F.count("estimate").alias("estimates"), F.count_if(both).alias("reconciled"), F.count_if(broken).alias("broken"))
 
 
 def late_letters(w: World) -> DataFrame:
@@ -296,7 +294,7 @@ ENTRIES: dict[str, Entry] = {
     "tariff_ties": Entry(lambda w: billing.tariff_ties(w.tariff.unionByName(w.tariff.where("billing_tier = 'TIER_1'")), w.open_days.select("sim_date")), "household_id; sim_date:d=effective_date; effective_date:d; rows_in_force:i=2", "tariff WHERE billing_tier = 'TIER_1'"),
     "reconciliation": Entry(lambda w: w.reconciled, _REC, "reconciled"),
     "reconciliation_sparse_tariff": Entry(sparse_reconciled, _REC, "sparse_reconciled", _SPARSE),
-    "reconciliation_unmatched": Entry(lambda w: reconcile.unmatched(w.speed_bills, w.bills), "household_id; sim_date:d; side", "sides", _SIDES),
+    "reconciliation_unmatched": Entry(lambda w: reconcile.unmatched(w.priced), "household_id; sim_date:d; side", "sides", _SIDES),
     "bill_history_audit": Entry(lambda w: w.history.join(w.runs.select("run_id", "status"), "run_id").groupBy("run_id", "sim_date", "status").agg(F.count("*").alias("bills"), F.sum("final_bill").cast("decimal(18,2)").alias("billed")), "run_id; sim_date:d; status; bills:i; billed:n", "(SELECT h.run_id, h.sim_date, r.status, count(*) AS bills, sum(final_bill) AS billed FROM history h JOIN runs r ON r.run_id = h.run_id GROUP BY 1, 2, 3)"),
     "kwh_shortfall": Entry(lambda w: reconcile.kwh_shortfall(w.reconciled), "sim_date:d; kwh_shortfall_pct:n", "gap_day", _SPLIT),
     "windows_on_real_axis": Entry(
@@ -306,8 +304,8 @@ ENTRIES: dict[str, Entry] = {
         {"anchor": "SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows"},
     ),
     "finalised_days": Entry(lambda w: ledger.finalised_days(w.runs), "sim_date:d", "finalised"),
-    "merged_bills": Entry(lambda w: serving.merged_bills(w.speed_bills, w.bills, ledger.finalised_days(w.runs)), "household_id; sim_date:d; total:n; provisional; tariff_date:d; readings_count:i", "merged", _MERGED),
-    "bill_delta": Entry(lambda w: serving.bill_delta(w.speed_bills, w.bills, w.reconciled), "household_id; sim_date:d; speed_estimate:n; batch_final:n; delta:n; pct:n; tariff_effect:n; data_effect:n", "(SELECT b.household_id, b.sim_date, s.estimated_bill AS speed_estimate, b.final_bill AS batch_final, s.estimated_bill - b.final_bill AS delta, CASE WHEN s.estimated_bill IS NOT NULL THEN CASE WHEN b.energy_charge + b.fixed_charge = 0 THEN 0 ELSE " + oracle.ratio("abs(s.estimated_bill - b.final_bill) * 100", "(b.energy_charge + b.fixed_charge)", 3, 100) + " END END AS pct, r.tariff_effect, r.data_effect FROM bills b LEFT JOIN speed_bills s ON s.household_id = b.household_id AND s.sim_date = b.sim_date LEFT JOIN reconciled r ON r.household_id = b.household_id AND r.sim_date = b.sim_date)"),
+    "merged_bills": Entry(lambda w: serving.merged_bills(w.priced, ledger.finalised_days(w.runs)), "household_id; sim_date:d; total:n; provisional; tariff_date:d; readings_count:i", "merged", _MERGED),
+    "bill_delta": Entry(lambda w: serving.bill_delta(w.priced), "household_id; sim_date:d; speed_estimate:n; batch_final:n; delta:n; pct:n; tariff_effect:n; data_effect:n", "(SELECT b.household_id, b.sim_date, s.estimated_bill AS speed_estimate, b.final_bill AS batch_final, s.estimated_bill - b.final_bill AS delta, CASE WHEN s.estimated_bill IS NOT NULL THEN CASE WHEN b.energy_charge + b.fixed_charge = 0 THEN 0 ELSE " + oracle.ratio("abs(s.estimated_bill - b.final_bill) * 100", "(b.energy_charge + b.fixed_charge)", 3, 100) + " END END AS pct, r.tariff_effect, r.data_effect FROM bills b LEFT JOIN speed_bills s ON s.household_id = b.household_id AND s.sim_date = b.sim_date LEFT JOIN reconciled r ON r.household_id = b.household_id AND r.sim_date = b.sim_date)"),
     # aggregations
     "zone_windows": Entry(lambda w: w.windows, _WINDOW, "windows"),
     "household_running": Entry(lambda w: rollups.household_running(w.speed_valid), "household_id; sim_date:d; consumption_kwh:n; solar_kwh:n", "speed_totals"),

@@ -117,12 +117,14 @@ class World:
 
     @cached_property
     def reconciled(self) -> DataFrame:
-        return reconcile.reconcile_layers(self.layers, self.tariff_all)
+        return reconcile.reconciled_layers(self.priced)
 
     @cached_property
-    def layers(self) -> DataFrame:
-        """Household days of both layers, from one pass over the readings."""
-        return billing.layered_totals(self.marked, SETTINGS.watermark)
+    def priced(self) -> DataFrame:
+        """Both layers' bills of every household and day, from one pass over the readings."""
+        every = self.roster.select("household_id").crossJoin(F.broadcast(self.open_days.select("sim_date")))  # days of the calendar
+        layers = billing.layered_totals(self.marked, SETTINGS.watermark, every)
+        return reconcile.priced_layers(layers, self.tariff_all)
 
     @cached_property
     def ledger_events(self) -> DataFrame:

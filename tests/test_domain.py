@@ -131,8 +131,17 @@ def test_layers_reconcile_as_their_bills_do(spark):
     fast = billing.household_daily(billing.dedup_earliest(rules.accepted(marked)).where("ingest_ts <= event_ts + INTERVAL 30 MINUTES"))
     days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in range(1, 7)], "sim_date date")
     want = reconcile.reconciliation(billing.provisional_bills(fast, held), billing.daily_bills(batch, held, days), held)
-    got = reconcile.reconcile_layers(billing.layered_totals(marked, "30 minutes"), held)
+    every = spark.createDataFrame([("a",), ("b",)], "household_id string").crossJoin(days)
+    priced = reconcile.priced_layers(billing.layered_totals(marked, "30 minutes", every), held)
+    got = reconcile.reconciled_layers(priced)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    bills = {(r.household_id, r.sim_date): r.final_bill for r in billing.daily_bills(batch, held, days).collect()}
+    guesses = {(r.household_id, r.sim_date): r.estimated_bill for r in billing.provisional_bills(fast, held).collect()}
+    closed = spark.createDataFrame([(dt.date(2024, 1, 2),), (dt.date(2024, 1, 5),)], "sim_date date")
+    merged = {(r.household_id, r.sim_date): (r.total, r.provisional) for r in serving.merged_bills(priced, closed).collect()}
+    assert merged == {k: (bills[k], False) if k[1].day in (2, 5) else (guesses[k], True) for k in bills if k[1].day in (2, 5) or k in guesses}
+    alone = {(r.household_id, r.sim_date) for r in reconcile.unmatched(priced).where("side = 'batch_only'").collect()}
+    assert alone == bills.keys() - guesses.keys()
 
 
 def priced(spark, totals, tariffs):
