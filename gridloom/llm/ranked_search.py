@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import Scratch, by_batch, documents, small_batches
 
 #: A chunk ends with so many documents, or so many postings: the bound of what a task holds.
-CHUNK_DOCS, CHUNK_POSTINGS = 1 << 14, 1 << 19
+CHUNK_DOCS, CHUNK_POSTINGS = 1 << 14, 1 << 17
 #: Queries are sent to the tasks in blocks of at most about so many, and of so many characters.
 BLOCK_ITEMS, BLOCK_CHARS = 1024, 1 << 22
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -96,7 +97,7 @@ def index(rows: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
                 at, tf = np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(tf, "<u4").astype(np.int64)
                 m = 50 + 50 * np.frombuffer(sizes, "<u4").astype(np.int64)[at] * n_docs // max(1, n_terms)
                 words, places, bits = sliced(1_000_000_000 * tf // (1000 * tf + 20 * m), at, np.array(df, np.int64))
-                row = {"ids": ids, "terms": terms, "words": words.astype("<u4").tobytes(), "places": places.astype("<u2").tobytes(), "n_bits": len(bits), "slices": bits.astype("<u8").tobytes()}
+                row = {"ids": ids, "terms": terms, "words": words.astype("<u4").tobytes(), "places": places.astype("<u2").tobytes(), "n_bits": len(bits), "slices": zlib.compress(bits.astype("<u8").tobytes(), 1)}
                 yield {k: [v] for k, v in row.items()}
 
     return by_batch(rows, run, f"ids {kind}, terms array<binary>, words binary, places binary, n_bits int, slices binary")
@@ -186,7 +187,7 @@ def search(indexed: DataFrame, items: list[tuple[int, dict[bytes, int]]], k: int
         words, places = np.frombuffer(words, "<u4").astype(np.int64), np.frombuffer(places, "<u2").astype(np.int64)
         w = np.array([weight.get(t, 0) for t in terms], np.int64)
         kept = np.repeat(w > 0, words)
-        bits = np.frombuffer(slices, "<u8").reshape(n_bits, len(places))[:, kept]
+        bits = np.frombuffer(zlib.decompress(slices), "<u8").reshape(n_bits, len(places))[:, kept]
         names, words, places = [t for t, x in zip(terms, w) if x > 0], words[w > 0], places[kept]
         bits = times(bits, np.repeat(w[w > 0], words))
         ends = np.cumsum(words)
