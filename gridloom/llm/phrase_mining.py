@@ -11,6 +11,7 @@ are held by a task.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -23,15 +24,16 @@ from gridloom.llm._common import Scratch, by_batch, documents, small_batches
 
 #: Words in a chunk of one language's text, and the most that a task holds of all languages.
 CHUNK, HELD = 1 << 20, 1 << 22
-#: Tables of names of at most so many rows are broadcast, larger ones are joined by a shuffle.
+#: Tables of names of at most so many rows are sent to the tasks; larger ones meet what the chunks ask in a join.
 BROADCAST_ROWS = 1 << 20
 #: Rows that a task hands on at a time.
 _ROWS = 1 << 16
 _PARTS = re.compile(rb"[.,;:!?\x0a-\x0d]|[^\x20\x09.,;:!?\x0a-\x0d]+")
 _ENDS = frozenset(bytes([x]) for x in b".,;:!?\x0a\x0b\x0c\x0d")
-#: What a task returns: rows with part 0 are chunks (places and refs of phrases), rows with part 1 phrases that a
-#: chunk asks about: by word at first, later by the pair (a, b); ref is the phrase's number in the chunk.
-_OUT = "part int, chunk bigint, lang string, places binary, refs binary, ref int, word string, a bigint, b bigint, n bigint"
+#: Chunks of text: for each place a number of the chunk's list of words, -1 for a mark that ends a piece.
+_TEXT = "chunk bigint, lang string, refs binary, words binary, n bigint"
+#: Chunks of phrases: places where a phrase with a name begins, and the names.
+_NAMED = "chunk bigint, lang string, places binary, ids binary"
 
 
 def parts_of(text: bytes | None) -> list[bytes]:
@@ -39,32 +41,33 @@ def parts_of(text: bytes | None) -> list[bytes]:
     return _PARTS.findall((text or b"").lower())
 
 
-def _rows(part: int, chunk: int, lang: str, **columns) -> Iterator[dict]:
-    """Rows of a chunk, some at a time, with nulls in the columns that are not given."""
+def _pack(numbers: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(numbers.astype(kind).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def _rows(**columns) -> Iterator[dict]:
+    """Columns as rows, some at a time."""
     n = len(next(iter(columns.values())))
     for k in range(0, n, _ROWS):
-        some = {c: v[k : k + _ROWS] for c, v in columns.items()}
-        size = min(_ROWS, n - k)
-        fixed = {"part": [part] * size, "chunk": [chunk] * size, "lang": [lang] * size}
-        yield fixed | {c: some.get(c, [None] * size) for c in ("places", "refs", "ref", "word", "a", "b", "n")}
+        yield {c: v[k : k + _ROWS] for c, v in columns.items()}
 
 
-def words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Chunks of the texts by language, and the words of each with their occurrences."""
+def chunked(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The texts as chunks of words by language, n words each."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
         first = TaskContext.get().partitionId() << 32
         held: dict[str, tuple[dict[bytes, int], array]] = {}
         total, made = 0, 0
 
-        def chunk(lang: str) -> Iterator[dict]:
+        def chunk(lang: str) -> dict:
             known, refs = held.pop(lang)
             refs = np.frombuffer(refs, np.int32)
-            at = np.flatnonzero(refs >= 0)
-            # a mark keeps its place, so that words around it are not adjacent
-            yield from _rows(0, first + made, lang, places=[at.astype("<u4").tobytes()], refs=[refs[at].astype("<u4").tobytes()])
-            n = np.bincount(refs[at], minlength=len(known))
-            yield from _rows(1, first + made, lang, ref=list(range(len(known))), word=[w.decode(errors="replace") for w in known], n=n.tolist())
+            return {"chunk": [first + made], "lang": [lang], "refs": [_pack(refs, "<i4")], "words": [zlib.compress(b" ".join(known), 1)], "n": [int((refs >= 0).sum())]}
 
         for batch in source:
             for lang, text in zip(batch["lang"], batch["text"]):
@@ -76,44 +79,56 @@ def words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Da
                 if len(refs) >= CHUNK or total >= HELD:
                     most = max(held, key=lambda x: len(held[x][1]))
                     total -= len(held[most][1])
-                    yield from chunk(most)
+                    yield chunk(most)
                     made += 1
         for lang in list(held):
-            yield from chunk(lang)
+            yield chunk(lang)
             made += 1
 
     source = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("binary").alias("text"))
-    return by_batch(source, run, _OUT)
+    return by_batch(source, run, _TEXT)
+
+
+def _known(words: bytes) -> list[bytes]:
+    data = zlib.decompress(words)
+    return data.split(b" ") if data else []
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """Each chunk's words: chunk, ref (the word's number in the chunk), lang, word, n."""
+
+    def run(source: Iterator[dict]) -> Iterator[dict]:
+        for batch in source:
+            for chunk, lang, refs, words in zip(*(batch[k] for k in ("chunk", "lang", "refs", "words"))):
+                refs, known = _unpack(refs, "<i4"), _known(words)
+                if known:
+                    n = np.bincount(refs[refs >= 0], minlength=len(known))
+                    size = len(known)
+                    yield from _rows(chunk=[chunk] * size, ref=np.arange(size, dtype=np.int32), lang=[lang] * size, word=[w.decode(errors="replace") for w in known], n=n)
+
+    return by_batch(chunks, run, "chunk bigint, ref int, lang string, word string, n bigint")
+
+
+def _pairs(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Adjacent phrases: where they are (indices of places), the number of each one's pair, and of each distinct pair
+    both names and its count."""
+    at = np.flatnonzero(places[1:] == places[:-1] + 1)
+    names, number = np.unique(ids, return_inverse=True)
+    keys, pair, n = np.unique(number[at] * np.int64(max(1, len(names))) + number[at + 1], return_inverse=True, return_counts=True)
+    return at, pair, names[keys // max(1, len(names))], names[keys % max(1, len(names))], n
 
 
-def pairs(named: DataFrame) -> DataFrame:
-    """From chunks with the names of their phrases (ref, id) the chunks of phrases one word longer, and the pairs of
-    names these ask about. Places without a name, and chunks without a pair, go."""
+def pair_counts(named: DataFrame) -> DataFrame:
+    """Each chunk's pairs of adjacent phrases, by their names: chunk, a, b, n."""
 
     def run(source: Iterator[dict]) -> Iterator[dict]:
         for batch in source:
-            for chunk, lang, places, refs, given in zip(*(batch[k] for k in ("chunk", "lang", "places", "refs", "given"))):
-                ref, name = np.frombuffer(given, "<i8").reshape(-1, 2).T
-                order = np.argsort(name)
-                number = np.full(max(int(ref.max()) + 1, 1), -1, np.int64)
-                number[ref[order]] = np.arange(len(order))  # names of the chunk as small numbers
-                name, refs, places = name[order], np.frombuffer(refs, "<u4"), np.frombuffer(places, "<u4")
-                inside = refs < len(number)
-                refs, places = refs[inside], places[inside]
-                mine = number[refs]
-                mine, places = mine[mine >= 0], places[mine >= 0]
-                next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-                keys, pair, n = np.unique(mine[next_to] * len(name) + mine[next_to + 1], return_inverse=True, return_counts=True)
-                if len(keys):
-                    yield from _rows(0, chunk, lang, places=[places[next_to].astype("<u4").tobytes()], refs=[pair.astype("<u4").tobytes()])
-                    yield from _rows(1, chunk, lang, ref=np.arange(len(keys)), a=name[keys // len(name)], b=name[keys % len(name)], n=n)
-
-    return by_batch(named, run, _OUT)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A staged table to be broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+            for chunk, places, ids in zip(batch["chunk"], batch["places"], batch["ids"]):
+                _, _, a, b, n = _pairs(_unpack(places, "<u4"), _unpack(ids, "<i8"))
+                if len(a):
+                    yield from _rows(chunk=np.full(len(a), chunk), a=a, b=b, n=n)
+
+    return by_batch(named, run, "chunk bigint, a bigint, b bigint, n bigint")
 
 
 def names(asked: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -121,24 +136,95 @@ def names(asked: DataFrame, keys: list[str], least: int) -> DataFrame:
     return asked.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
-def answered(chunks: DataFrame, asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks with the names of those of their phrases that have one, as packed pairs (ref, id)."""
-    found = asked.join(small(known).select(*keys, "id"), keys).select("chunk", "ref", "id")
+def _look_up(sorted_a: np.ndarray, sorted_b: np.ndarray, id_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The ids of pairs (a, b) in a table in the order of (a, b); -1 for those that it does not have."""
+    out = np.full(len(a), -1, np.int64)
+    if not len(id_) or not len(a):
+        return out
+    heads, starts = np.unique(sorted_a, return_index=True)
+    seconds = np.unique(np.r_[sorted_b, b])
+    wide = np.int64(len(seconds))
+    code = lambda x, y: np.searchsorted(heads, x) * wide + np.searchsorted(seconds, y)
+    table, wanted = code(sorted_a, sorted_b), code(a, b)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    same = (table[at] == wanted) & (heads[np.minimum(np.searchsorted(heads, a), len(heads) - 1)] == a)
+    out[same] = id_[at[same]]
+    return out
+
+
+def _given(asked: DataFrame, known: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """For each chunk the names that it asks for, packed: numbers (carried..., id)."""
+    found = asked.join(known.select(*keys, "id"), keys).select("chunk", *carried, "id")
 
     def pack(source: Iterator[dict]) -> Iterator[dict]:
         chunk, held = None, array("q")
         for batch in source:
-            for c, ref, i in zip(batch["chunk"], batch["ref"], batch["id"]):
+            for c, *row in zip(batch["chunk"], *(batch[k] for k in carried), batch["id"]):
                 if c != chunk and held:
-                    yield {"chunk": [chunk], "given": [held.tobytes()]}
+                    yield {"chunk": [chunk], "given": [zlib.compress(held.tobytes(), 1)]}
                     held = array("q")
                 chunk = c
-                held.extend((ref, i))
+                held.extend(row)
         if held:
-            yield {"chunk": [chunk], "given": [held.tobytes()]}
+            yield {"chunk": [chunk], "given": [zlib.compress(held.tobytes(), 1)]}
+
+    return by_batch(found.repartition("chunk").sortWithinPartitions("chunk", *carried), pack, "chunk bigint, given binary")
+
+
+def _told(rows: DataFrame, asked: DataFrame, known: DataFrame, keys: list[str], carried: list[str]):
+    """rows with the names they need: beside each chunk those it asks for, or, if there are few enough of them in all,
+    all of them as a broadcast value."""
+    if known.count() > BROADCAST_ROWS:
+        return rows.join(_given(asked, known, keys, carried), "chunk"), None
+    table = known.select(*keys, "id").orderBy(*keys).toArrow()  # at most BROADCAST_ROWS
+    if keys == ["a", "b"]:
+        value = tuple(table.column(c).to_numpy() for c in (*keys, "id"))
+    else:
+        value = {}
+        for lang, word, i in zip(*(table.column(c).to_pylist() for c in (*keys, "id"))):
+            value.setdefault(lang, {})[word] = i
+    return rows.withColumn("given", F.lit(None).cast("binary")), rows.sparkSession.sparkContext.broadcast(value)
+
+
+def named_words(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """Chunks of text as chunks of named words; words without a name leave their places empty."""
+    rows, sent = _told(chunks, word_counts(chunks), known, ["lang", "word"], ["ref"])
+
+    def run(source: Iterator[dict]) -> Iterator[dict]:
+        for batch in source:
+            for chunk, lang, refs, words, given in zip(*(batch[k] for k in ("chunk", "lang", "refs", "words", "given"))):
+                refs, known = _unpack(refs, "<i4"), _known(words)
+                name = np.full(len(known) + 1, -1, np.int64)  # the last for marks
+                if sent is None:
+                    ref, ids = _unpack(given, "<i8").reshape(-1, 2).T
+                    name[ref] = ids
+                else:
+                    of = sent.value.get(lang, {})
+                    name[: len(known)] = [of.get(w.decode(errors="replace"), -1) for w in known]
+                ids = name[refs]
+                at = np.flatnonzero(ids >= 0)
+                if len(at):
+                    yield {"chunk": [chunk], "lang": [lang], "places": [_pack(at, "<u4")], "ids": [_pack(ids[at], "<i8")]}
+
+    return by_batch(rows.select("chunk", "lang", "refs", "words", "given"), run, _NAMED)
+
+
+def named_pairs(named: DataFrame, known: DataFrame) -> DataFrame:
+    """Chunks of named phrases as chunks of named phrases one word longer."""
+    rows, sent = _told(named, pair_counts(named), known, ["a", "b"], ["a", "b"])
+
+    def run(source: Iterator[dict]) -> Iterator[dict]:
+        for batch in source:
+            for chunk, lang, places, ids, given in zip(*(batch[k] for k in ("chunk", "lang", "places", "ids", "given"))):
+                table = sent.value if sent is not None else tuple(_unpack(given, "<i8").reshape(-1, 3).T)
+                places = _unpack(places, "<u4")
+                where, pair, a, b, _ = _pairs(places, _unpack(ids, "<i8"))
+                name = _look_up(*table, a, b)[pair]
+                where, name = where[name >= 0], name[name >= 0]
+                if len(where):
+                    yield {"chunk": [chunk], "lang": [lang], "places": [_pack(places[where], "<u4")], "ids": [_pack(name, "<i8")]}
 
-    given = by_batch(found.repartition("chunk").sortWithinPartitions("chunk"), pack, "chunk bigint, given binary")
-    return chunks.join(given, "chunk")
+    return by_batch(rows.select("chunk", "lang", "places", "ids", "given"), run, _NAMED)
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -158,19 +244,17 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 20
     empty tables and other columns are no special cases. A text is read whole and never cut.
     """
     with Scratch() as stage:
-        n_of, levels, chunks, keys = None, [], None, ["lang", "word"]
-        for size in range(1, longest + 1):
-            made = stage(words(docs, lang_col, text_col) if size == 1 else pairs(chunks))
-            asked = made.where("part = 1")
-            if size == 1:
-                n_of = stage(asked.groupBy("lang").agg(F.sum("n").alias("n")))
-            levels.append(stage(names(asked, keys, least)))
-            if size == longest or not levels[-1].head(1):
-                break
-            with small_batches(docs.sparkSession, 10_000):
-                named = stage(answered(made.where("part = 0").select("chunk", "lang", "places", "refs"), asked, levels[-1], keys))
-            stage.drop(made, *([chunks] if chunks is not None else []))
-            chunks, keys = named, ["a", "b"]
+        with small_batches(docs.sparkSession, 1000):
+            text = stage(chunked(docs, lang_col, text_col))
+        n_of = stage(text.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
+        levels, now = [stage(names(word_counts(text), ["lang", "word"], least))], text
+        while len(levels) < longest and levels[-1].head(1):
+            if len(levels) == 1:
+                now = named_words(text, levels[0])  # not written: its chunks are as large as the text's
+            else:
+                before, now = now, stage(named_pairs(now, levels[-1]))
+                stage.drop(text if len(levels) == 2 else before)
+            levels.append(stage(names(pair_counts(now), ["a", "b"], least)))
         return stage.keep(_ranked(levels, n_of, first, share))
 
 

@@ -55,9 +55,10 @@ def expected_phrases(rows, least, first, share=100):
     return sorted((lang, rank, p.decode(), -a, l, r, m, -s) for lang, x in out.items() for rank, (s, a, p, l, r, m) in enumerate(sorted(x)[:first], 1))
 
 
-@pytest.mark.parametrize("least, first, share", [(5, 2000, 100), (3, 25, 60), (100, 2000, 100)])
-def test_phrases_equal_brute_force(spark, docs, monkeypatch, least, first, share):
+@pytest.mark.parametrize("least, first, share, sent", [(5, 2000, 100, 1 << 20), (3, 25, 60, 0), (100, 2000, 100, 0)])
+def test_phrases_equal_brute_force(spark, docs, monkeypatch, least, first, share, sent):
     monkeypatch.setattr(phrase_mining, "CHUNK", 500)  # several chunks of a language
+    monkeypatch.setattr(phrase_mining, "BROADCAST_ROWS", sent)  # names broadcast, and joined
     want = expected_phrases([(r.lang, r.text) for r in docs.collect()], least, first, share)
     got = phrase_mining.phrases(docs, least, first=first, share=share).drop("cut")
     assert sorted(map(tuple, got.collect())) == want and want
