@@ -181,9 +181,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents stay, with their personal data replaced; n_chars follows the text."""
+    """Pipeline stage: all documents stay, with their personal data replaced; n_chars, if there is one, follows the text."""
     out = redact(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+    return out.select(docs.columns)
 
 
 QUERIES = {"op9_personal_data": op9_personal_data}

@@ -272,13 +272,38 @@ def test_line_rows_with_odd_ids_names_and_lengths(spark):
     assert sorted([got["c"], got["d"]], key=len)[0] == "" and sorted([got["e"], got["f"]], key=len)[0] == ""
 
 
-def test_line_stage_drops_copies_as_a_whole(spark):
+def test_line_stage_keeps_what_stands_nowhere_else(spark):
     r = random.Random(24)
     lines = [prose(20, r) for _ in range(9)]
-    rows = [(1, "\n".join(lines[:6])), (2, "\n".join([*lines[:5], prose(4, r)])), (3, "\n".join([lines[0], *lines[6:]])), (4, None), (5, "")]
+    own = prose(4, r)
+    rows = [(1, "\n".join(lines[:6])), (2, "\n".join([*lines[:5], own])), (3, "\n".join([lines[0], *lines[6:]])), (4, None), (5, ""), (6, lines[2] + "\n \n" + lines[3]), (7, " \n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     got = {x.doc_id: x for x in line_dedup.stage(spark, df, "").collect()}
-    assert {k: x.text for k, x in got.items()} == {1: rows[0][1], 3: "\n".join(lines[6:]), 4: None, 5: ""} and got[3].n_chars == len(got[3].text) and got[4].n_chars is None
+    assert {k: x.text for k, x in got.items()} == {1: rows[0][1], 2: own, 3: "\n".join(lines[6:]), 4: None, 5: "", 7: " \n"}
+    assert got[3].n_chars == len(got[3].text) and got[4].n_chars is None
+    bare = df.drop("n_chars").withColumn("rid", F.lit(1))
+    assert {x.doc_id: x.text for x in line_dedup.stage(spark, bare, "").collect()} == {k: x.text for k, x in got.items()}
+    assert personal_data.stage(spark, bare, "").columns == bare.columns
+
+
+def test_lines_with_characters_edited_anywhere_are_found(spark):
+    """Recall over the relation itself: characters replaced at random places, up to nearly a tenth of them."""
+    r = random.Random(31)
+    rows, kind = [], {}
+    for share in (0.02, 0.04, 0.06, 0.08, 0.095):
+        for size in range(7, 121):
+            line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.choice((2, 3, 5, 7, 9)))) for _ in range(size))
+            at = [k for k, c in enumerate(line) if c != " "]
+            other = list(line)
+            for k in r.sample(at, min(len(at), int(len(line) * share))):
+                other[k] = r.choice("qrstuvwxyz")
+            kind[len(rows) + 1] = share
+            rows += [(len(rows), line), (len(rows) + 1, "".join(other))]
+    got = {x.doc_id for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= kind.keys()
+    for share in set(kind.values()):
+        planted = [k for k, s in kind.items() if s == share]
+        assert sum(k in got for k in planted) >= 0.9 * len(planted), share
 
 
 def test_copies_of_a_text_do_not_add_up_votes(spark, monkeypatch):

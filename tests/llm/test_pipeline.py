@@ -66,7 +66,7 @@ def lines_gone(rows):
     out = []
     for row in rows:
         rest = "\n".join(x for k, x in enumerate(row[1].split("\n")) if k not in drop.get(row, ()))
-        if 2 * len(rest) >= len(row[1]):
+        if rest == row[1] or rest.strip():
             out.append((row[0], rest, *row[2:4], len(rest)))
     return out
 
