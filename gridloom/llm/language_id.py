@@ -9,6 +9,7 @@ the word itself; features are hashed. The model is learnt from a bounded sample
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,23 +49,36 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def script_of(word: str) -> int:
-    """The script of a word's first letter, as a number."""
-    return int(_SCRIPT[np.searchsorted(_FROM, ord(word[0]), "right") - 1])
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter, as a number."""
+    first = np.fromiter((ord(word[0]) for word in words), np.int64, len(words))
+    return _SCRIPT[np.searchsorted(_FROM, first, "right") - 1]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of the features of all words: n-grams of 1 to 4 letters with the word's edges, and the word; and
-    how many each word has."""
-    import xxhash
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes as coordinates."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).astype(np.int64) & (SPACE - 1)
 
-    out, sizes = [], []
-    for word in words:
-        edged = f"<{word}>"
-        grams = [edged, *[edged[k : k + n] for n in (1, 2, 3, 4) for k in range(len(edged) - n + 1)]]
-        out += [xxhash.xxh3_64_intdigest(g.encode("utf-8", "replace"), n) for n, g in zip([9] + [0] * len(grams), grams)]
-        sizes.append(len(grams))
-    return (np.array(out, np.uint64) % np.uint64(SPACE)).astype(np.int64), np.array(sizes, np.int64)
+
+def features(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The features of words: n-grams of 1 to 4 letters with the word's edges, and the word. The words' letters, each
+    word between edges, lie in one array; for each length of n-gram there is an array of coordinates, one for each
+    letter or edge at which an n-gram of its word begins (SPACE, which weighs nothing, for the others). The last array
+    has the words' own. Besides, where each word begins, and how many features it has."""
+    letters = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "replace"), "<u4").astype(np.uint64) if words else np.zeros(0, np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if words else np.zeros(0, np.int64)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(letters))  # letters from here to the word's end
+    base, out = np.uint64(0x9E3779B97F4A7C15), []
+    rolling = np.zeros(len(letters), np.uint64)
+    for n in range(1, 5):
+        rolling[: len(letters) - n + 1] = rolling[: len(letters) - n + 1] * base + letters[n - 1 :] + np.uint64(n)
+        out.append(np.where(left >= n, _mixed(rolling), SPACE))
+    power = np.cumprod(np.r_[np.uint64(1), np.full(max(0, int(sizes.max(initial=1)) - 1), base)])
+    whole = np.add.reduceat(letters * power[left - 1], starts) if words else letters
+    out.append(_mixed(whole ^ np.uint64(0xD6E8FEB86659FD93)))
+    return out, starts, sum(np.maximum(sizes - n + 1, 0) for n in range(1, 5)) + 1
 
 
 @dataclass(frozen=True)
@@ -89,11 +103,11 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word with its score by language, 0 at best; languages that don't use its script get the
         most a word can tell against one. A word in a script that none uses tells nothing."""
-        at, sizes = features(words)
-        ends = np.r_[0, np.cumsum(sizes)[:-1]]
-        out = np.add.reduceat(self.weight[:, at], ends, axis=1).T / np.sqrt(sizes)[:, None]
-        may = self.uses[:, [script_of(w) for w in words]].T
-        out = np.where(may, out, -np.inf)
+        at, starts, sizes = features(words)
+        weight = np.vstack([self.weight.T, np.zeros((1, len(self.langs)), np.float32)])
+        out = weight[at[-1]] + sum(np.add.reduceat(weight[x], starts, axis=0) for x in at[:-1])
+        out = out / np.sqrt(sizes)[:, None]
+        out = np.where(self.uses[:, scripts_of(words)].T, out, -np.inf)
         top = out.max(1, keepdims=True)
         out = np.where(np.isfinite(top), np.maximum(out - np.where(np.isfinite(top), top, 0), -self.most), 0)
         return out.astype(np.float32)
@@ -146,8 +160,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, **settings) -> Model:
     the driver gets SPACE counters for each language. Without any labelled row the model knows no language.
     """
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    order = F.xxhash64("doc_id")
+    sized = usable.groupBy("lang").agg(F.count("*").alias("rows"))  # a row a language
+    # about twice the sample is let through by hash, whatever the language's size, before its rows meet in one task
+    few = usable.select("doc_id", "lang").join(F.broadcast(sized), "lang").where(F.pmod(order, F.lit(1 << 30)) / (1 << 30) < F.lit(2.0 * sample) / F.col("rows"))
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    ids = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
     langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     if not langs:
         return Model.of([], np.zeros((0, SPACE)), np.zeros((0, len(_NAMES))), **settings)
@@ -160,9 +178,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, **settings) -> Model:
             for lang, text in zip(batch["lang"], batch["text"]):
                 words = words_of(text)
                 if words:
+                    n = Counter(words)
+                    words, n = list(n), np.fromiter(n.values(), np.int64, len(n))
+                    at, _, _ = features(words)
                     mine = total.setdefault(number[lang], np.zeros(SPACE + len(_NAMES), np.int64))
-                    mine[:SPACE] += np.bincount(features(words)[0], minlength=SPACE)
-                    mine[SPACE:] += np.bincount([script_of(w) for w in words], minlength=len(_NAMES))
+                    each = np.repeat(n, np.fromiter(map(len, words), np.int64, len(words)) + 2)
+                    for x in at[:-1]:
+                        mine[:SPACE] += np.bincount(x, each, SPACE + 1)[:SPACE].astype(np.int64)
+                    mine[:SPACE] += np.bincount(at[-1], n, SPACE).astype(np.int64)
+                    mine[SPACE:] += np.bincount(scripts_of(words), n, len(_NAMES)).astype(np.int64)
         yield {"block": list(total), "counts": [packed(x, "<u8") for x in total.values()]}
 
     import zlib
