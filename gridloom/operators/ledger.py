@@ -72,7 +72,17 @@ class RunLedger:
                 return changes
 
     def start(self, run_id: str, day, layer: str = "batch") -> None:
-        self.change(lambda runs: [(run_id, day, layer, "running", None, None)])
+        self.start_all({day: run_id}, layer)
+
+    def start_all(self, begun: dict, layer: str = "batch") -> None:
+        """Runs (sim_date to run_id) begin; a run of one of the days that still says running was abandoned, and fails."""
+
+        def decide(runs: DataFrame) -> list[tuple]:
+            same = (F.col("status") == "running") & (F.col("layer") == layer) & F.col("sim_date").cast("string").isin(*map(str, begun))
+            left = [r for r in runs.where(same).collect() if r.run_id not in begun.values()]  # a few a day
+            return [*[(r.run_id, r.sim_date, layer, "failed", r.rows_in, r.rows_out) for r in left], *[(run_id, day, layer, "running", None, None) for day, run_id in begun.items()]]
+
+        self.change(decide)
 
     def fail(self, run_id: str, day, layer: str = "batch", rows_in: int | None = None) -> None:
         self.change(lambda runs: [(run_id, day, layer, "failed", rows_in, None)])
@@ -109,7 +119,7 @@ def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, Dat
     """
     days, rows_in = list(runs), rows_in or {}
     label = F.create_map(*[F.lit(x) for day, run_id in runs.items() for x in (str(day), run_id)])[F.col("sim_date").cast("string")]
-    ledger.change(lambda _: [(run_id, day, layer, "running", None, None) for day, run_id in runs.items()])
+    ledger.start_all(runs, layer)
     try:
         for name, df in tables.items():
             out = _of_days(df, name, days).withColumn("run_id", label)

@@ -1,8 +1,8 @@
-"""Generators: roster, tariff, weather, load and solar curves, faults, grids of ticks and days."""
+"""Generators: roster, tariff, weather, load and solar curves, faults, ticks and days owed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.types import BLOCK_1_STEP, BLOCK_RATES, EXPORT_RATE, FIXED_CHARGE, KWH, MONEY, PERCENT, SUBSIDY_PCT, ZONES
@@ -21,10 +21,6 @@ def roster(users: DataFrame, zones: tuple[str, ...] = ZONES) -> DataFrame:
     )
 
 
-def household_roster(spark: SparkSession, count: int) -> DataFrame:
-    return roster(spark.range(count).withColumnRenamed("id", "user_id"))
-
-
 def ordinal(day: Column) -> Column:
     return F.datediff(day, F.lit("1970-01-01").cast("date")) + EPOCH_ORDINAL
 
@@ -93,10 +89,11 @@ def closed_days_owed(dropped: DataFrame, today: Column, cap: int = 7) -> DataFra
     return newest.select(F.explode(F.when(F.date_add("d", 1) <= last, F.sequence(F.date_add("d", 1), last)).otherwise(F.array().cast("array<date>"))).alias("sim_date"))
 
 
-def tick_grid(spark: SparkSession, anchor: str, now: str, until: str, seconds: int = 2) -> DataFrame:
-    """(tick, due_ts) of the ticks due from now until then: tick k is due at anchor + k * seconds; the first is
-    the next whole one."""
-    at = lambda t: F.unix_micros(F.lit(t).cast("timestamp"))
-    step = F.lit(seconds * 1_000_000)
-    low, high = F.ceil((at(now) - at(anchor)) / step), F.floor((at(until) - at(anchor)) / step)
-    return spark.range(1).select(F.explode(F.sequence(low, high)).alias("tick")).withColumn("due_ts", F.timestamp_micros(at(anchor) + F.col("tick") * step))
+def tick_of(moment: Column, anchor: str, seconds: int = 2) -> Column:
+    """The number of the tick that a moment waits for: tick k is due at anchor + k * seconds."""
+    return F.ceil((F.unix_micros(moment) - F.unix_micros(F.lit(anchor).cast("timestamp"))) / F.lit(seconds * 1_000_000))
+
+
+def due(tick: Column, anchor: str, seconds: int = 2) -> Column:
+    """When a tick is due."""
+    return F.timestamp_micros(F.unix_micros(F.lit(anchor).cast("timestamp")) + tick * F.lit(seconds * 1_000_000))

@@ -86,6 +86,7 @@ def mean_sql(name: str, places: int, scale: int) -> str:
     return f"(2 * CAST(sum(CAST(round({name} * {scale}) AS BIGINT)) AS HUGEINT) * {10**places} + count(*) * {scale}) // (2 * count(*) * {scale}) / {10**places}.0"
 
 
+_HALF_HOURS = "(SELECT hour(event_ts) + (minute(event_ts) // 30) / 2.0 AS hour, count(*) AS readings, sum({}) AS kwh FROM readings GROUP BY 1)"
 _REPORT = "sim_date:d; finalised; restated; has_bills; has_rollup; has_reconciliation; bills:i; billed:n; kwh:n; readings:i; zones:i; zone_kwh:n; reconciled:i; mean_abs:n; mean_pct:n; runs:i; rejected:i"
 _REPORTED = {
     "report": f"""SELECT k.sim_date, coalesce(l.finalised, false) AS finalised, coalesce(l.restated, false) AS restated, b.bills IS NOT NULL AS has_bills, z.zones IS NOT NULL AS has_rollup, r.reconciled IS NOT NULL AS has_reconciliation,
@@ -224,8 +225,16 @@ def scalars(w: World) -> DataFrame:
     )
 
 
-def curve(w: World) -> DataFrame:
-    return w.spark.range(48).select((F.col("id") / 2).alias("hour"))
+def by_half_hour(w: World, energy: str) -> DataFrame:
+    """Energy of all readings by half hour of the day."""
+    hour = (F.hour("event_ts") + F.floor(F.minute("event_ts") / 30) / 2).alias("hour")
+    return w.readings.groupBy(hour).agg(F.count("*").alias("readings"), F.sum(energy).cast("decimal(18,4)").alias("kwh"))
+
+
+def ticks(w: World) -> DataFrame:
+    """The producer's ticks that readings come with, on the real clock, and how many come with each."""
+    tick = simulate.tick_of(clock.to_real(F.col("event_ts")), SETTINGS.anchor).alias("tick")
+    return w.readings.groupBy(tick).agg(F.count("*").alias("readings")).withColumn("due_ts", simulate.due(F.col("tick"), SETTINGS.anchor))
 
 
 def watermark_gap(w: World) -> DataFrame:
@@ -255,8 +264,16 @@ ENTRIES: dict[str, Entry] = {
     "restated_bills": Entry(restated, "run_id; " + _BILL + "final_bill:n", "history WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'success')"),
     "archived_reprice": Entry(repriced, "run_id; household_id; sim_date:d; block_1_rate:n; final_bill:n", "history"),
     "speed_window_retention": Entry(lambda w: published_rollup(w, date(2024, 1, 30))[1], _WINDOW, "windows WHERE window_start >= DATE '2024-01-16'"),
-    "load_curve": Entry(lambda w: curve(w).withColumn("load", F.round(simulate.load_shape(F.col("hour")), 4)), "hour; load=round(0.3 + 0.6 * exp(-pow((hour - 7.5) / 1.5, 2) / 2) + exp(-pow((hour - 19.5) / 2.0, 2) / 2), 4)", "(SELECT unnest(range(48)) / 2.0 AS hour)"),
-    "solar_curve": Entry(lambda w: curve(w).withColumn("solar", F.round(simulate.solar_kwh(F.col("hour"), F.lit(25)), 4)), "hour; solar=round(CASE WHEN hour < 6 OR hour > 18 THEN 0 ELSE pow(cos((hour - 12) / 12 * 3.141592653589793), 2) END * (1 - 0.8 * 25 / 100), 4)", "(SELECT unnest(range(48)) / 2.0 AS hour)"),
+    "load_curve": Entry(
+        lambda w: by_half_hour(w, "consumption_kwh").withColumn("load", F.round(simulate.load_shape(F.col("hour")), 4)),
+        "hour; readings:i; kwh:n; load=round(0.3 + 0.6 * exp(-pow((hour - 7.5) / 1.5, 2) / 2) + exp(-pow((hour - 19.5) / 2.0, 2) / 2), 4)",
+        _HALF_HOURS.format("consumption_kwh"),
+    ),
+    "solar_curve": Entry(
+        lambda w: by_half_hour(w, "solar_generation_kwh").withColumn("solar", F.round(simulate.solar_kwh(F.col("hour"), F.lit(25)), 4)),
+        "hour; readings:i; kwh:n; solar=round(CASE WHEN hour < 6 OR hour > 18 THEN 0 ELSE pow(cos((hour - 12) / 12 * 3.141592653589793), 2) END * (1 - 0.8 * 25 / 100), 4)",
+        _HALF_HOURS.format("solar_generation_kwh"),
+    ),
     "household_roster": Entry(lambda w: w.roster, "household_id; meter_id; grid_zone; billing_tier; subsidy_flag; has_solar", "roster"),
     "tariff_generator": Entry(lambda w: w.tariff_all, _TARIFF, "tariff_all"),
     "weather_forecast": Entry(lambda w: simulate.weather(w.days), "grid_zone; forecast_date:d; cloud_cover_pct:n; temperature_c:n; solar_irradiance_index:n", "(SELECT 'ZONE-' || chr(CAST(65 + i AS INTEGER)) AS grid_zone, sim_date AS forecast_date, (o * 7 + i * 13) % 80 + 10 AS cloud_cover_pct, 20 + (o * 3 + i * 5) % 15 AS temperature_c, (100 - ((o * 7 + i * 13) % 80 + 10)) / 100.0 AS solar_irradiance_index FROM (SELECT sim_date, date_diff('day', DATE '1970-01-01', sim_date) + 719163 AS o FROM days) CROSS JOIN (SELECT unnest(range(5)) AS i))"),
@@ -264,7 +281,11 @@ ENTRIES: dict[str, Entry] = {
     "closed_days_owed": Entry(lambda w: simulate.closed_days_owed(w.days.where("sim_date <= date '2024-01-08'"), F.lit("2024-01-20").cast("date")), "sim_date:d", "(SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-09', least(TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-15'), INTERVAL 1 DAY)) AS DATE) AS sim_date)"),
     "pending_days": Entry(pending, "sim_date:d", "days WHERE sim_date IN (SELECT CAST(event_ts AS DATE) FROM raw)"),
     "tariff_files": Entry(lambda w: Lake(w).tariff, _TARIFF, "tariff_all"),
-    "tick_grid": Entry(lambda w: simulate.tick_grid(w.spark, "2024-06-01 00:00:00", "2024-06-01 00:00:03", "2024-06-01 00:10:00"), "tick:i; due_ts:t", "(SELECT k AS tick, TIMESTAMP '2024-06-01 00:00:00' + to_seconds(k * 2) AS due_ts FROM (SELECT unnest(range(2, 301)) AS k))"),
+    "tick_grid": Entry(
+        ticks,
+        "tick:i; readings:i; due_ts:t=TIMESTAMP '2024-06-01 00:00:00' + to_seconds(CAST(tick * 2 AS BIGINT))",
+        "(SELECT ((epoch_us(event_ts) - epoch_us(TIMESTAMP '2024-01-01')) // 288 + 1999999) // 2000000 AS tick, count(*) AS readings FROM readings GROUP BY 1)",
+    ),
     # projections, filters, predicates
     "validate_valid": Entry(lambda w: rules.split(w.raw, w.roster)[0], _READING + "; ingest_ts:t", "marked WHERE reason IS NULL"),
     "validate_rejected": Entry(lambda w: rules.split(w.raw, w.roster)[1], _READING + "; reason", "marked WHERE reason IS NOT NULL"),
@@ -283,6 +304,14 @@ ENTRIES: dict[str, Entry] = {
     "zone_history": Entry(lambda w: serving.zone_history(w.windows, "2024-01-10 00:00:00", "2024-01-10 12:00:00", "ZONE-B"), _WINDOW, "windows WHERE grid_zone = 'ZONE-B' AND window_start >= TIMESTAMP '2024-01-10' AND window_start < TIMESTAMP '2024-01-10 12:00:00'"),
     "all_zone_history": Entry(lambda w: serving.zone_history(w.windows, "2024-01-10 00:00:00", "2024-01-10 12:00:00"), _WINDOW, "windows WHERE window_start >= TIMESTAMP '2024-01-10' AND window_start < TIMESTAMP '2024-01-10 12:00:00'"),
     "bill_lookup": Entry(lambda w: summaries.bill_of(w.on(DAY).bills, "HH-0003", DAY), _BILL + "final_bill:n", f"bills WHERE household_id = 'HH-0003' AND sim_date = DATE '{DAY}'"),
+    "estimate_lookup": Entry(
+        lambda w: summaries.bill_of(w.on(DAY).speed_bills, "HH-0003", DAY),
+        _BILL + "estimated_bill:n; tariff_source_date:d",
+        f"speed_bills WHERE household_id = 'HH-0003' AND sim_date = DATE '{DAY}'",
+    ),
+    "reconciliation_lookup": Entry(
+        lambda w: summaries.bill_of(w.on(DAY).reconciled, "HH-0003", DAY), _REC, f"reconciled WHERE household_id = 'HH-0003' AND sim_date = DATE '{DAY}'"
+    ),
     "zone_daily_slice": Entry(lambda w: day(w.on(DAY).zone_days).orderBy("grid_zone"), _ZONE_DAY, f"zone_days WHERE sim_date = DATE '{DAY}'"),
     "scalar_functions": Entry(scalars, "event_id:i; up=upper(meter_id); low=lower(grid_zone); padded=lpad(CAST(event_id AS VARCHAR), 9, '0'); y:i=year(event_ts); h:i=hour(event_ts); later:d=CAST(event_ts AS DATE) + 3; big:n=greatest(consumption_kwh, solar_generation_kwh); r1:n=round(consumption_kwh, 1); a:i=abs(event_id % 7 - 3); n:i=2; second=grid_zone; json_id=meter_id; zone_or_none=coalesce(nullif(grid_zone, 'ZONE-A'), 'none')", "readings"),
     # joins

@@ -149,3 +149,24 @@ def test_latency_quantiles_are_bounded_and_near(spark):
         assert got[f"p{round(100 * q)}"] == pytest.approx(expected_quantile(values, q), abs=1e-4)
     assert latency.histogram(seconds.limit(0)).first().p50 is None
     assert latency.told(spark, None, 1.0)["p50"] is None
+
+
+@pytest.mark.parametrize("mode, want", [("update", [1, 1]), ("complete", [1, 2]), ("append", [1, 0])])
+def test_output_modes_and_a_timed_trigger(spark, tmp_path, mode, want):
+    """What a second batch hands to the sink: changed rows, all rows, or only those behind the watermark."""
+    got = {}
+    put(spark, tmp_path, 1, [(T(1), 1, "HH-0001", None)])
+    made = lambda s: s.withWatermark("event_ts", "1 hour").groupBy(F.window("event_ts", "15 minutes")).count()
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    sink = lambda batch, n: got.update({n: batch.count()})
+    if mode == "append":
+        stream = stream.withWatermark("event_ts", "1 hour")
+        made = lambda s: s.select("event_ts")
+    query = speed.start(made(stream), sink, f"{tmp_path}/check", f"modes_{mode}", mode, {"processingTime": "1 second"})
+    query.processAllAvailable()
+    put(spark, tmp_path, 2, [(T(2), 1, "HH-0001", None)] if mode != "append" else [])
+    query.processAllAvailable()
+    query.stop()
+    assert speed.SETTINGS.trigger == "10 seconds" and [n for _, n in sorted(got.items())][:1] == want[:1]
+    if mode != "append":
+        assert max(got.values()) == want[1]

@@ -109,6 +109,16 @@ def test_two_runs_that_end_together_leave_one_success(spark, tmp_path):
     assert sorted(r.status for r in runs.collect()) == ["success", "superseded"] and not ledger.double_success(runs).count()
 
 
+def test_an_abandoned_run_fails_when_the_next_one_starts(spark, tmp_path):
+    day = dt.date(2024, 1, 3)
+    book = ledger.RunLedger(spark, f"{tmp_path}/ledger")
+    book.start("r1", day)
+    book.start("x1", day, "rollup")
+    book.start("y1", dt.date(2024, 1, 4))
+    book.start("r2", day)
+    assert {r.run_id: r.status for r in book.runs().collect()} == {"r1": "failed", "x1": "running", "y1": "running", "r2": "running"}
+
+
 def test_an_interrupt_ends_the_run(spark, tmp_path, monkeypatch):
     day = dt.date(2024, 1, 3)
     book = ledger.RunLedger(spark, f"{tmp_path}/ledger")
