@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import SPACE, documents, staged
+from gridloom.llm._common import SPACE, Scratch, documents
 from gridloom.llm._simhash import distance, fingerprint, tables, votes
 
 BITS = 128
@@ -24,8 +24,9 @@ PAIR, SINGLE = 4, 1
 BLOCKS, CHOSEN = 7, 2
 RADIUS = BLOCKS - CHOSEN
 #: Ranges of ids within which neighbouring documents are found are cut so that one holds about RANGE rows; their
-#: bounds, one for each range, reach the driver. They are looked up in two steps of FAN or more.
-FAN, RANGE = 32, 4096
+#: bounds, one for each range, reach the driver. They are looked up in two steps of FAN or more, of MOST_FAN at most,
+#: so that at any size there are some sixteen thousand bounds; ranges of very many rows are sorted on disk.
+FAN, MOST_FAN, RANGE = 32, 128, 4096
 
 
 def fingerprints(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -78,7 +79,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut into ranges at quantiles; a range is one window, with a copy of the first document of the
     next range as its last row. So nothing is sorted in one place, and a text moves once.
     """
-    fan = max(FAN, math.isqrt(docs.count() // RANGE) + 1)
+    fan = min(MOST_FAN, max(FAN, math.isqrt(docs.count() // RANGE) + 1))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / fan**2 for k in range(1, fan**2)], 20 * fan**2)).first()[0] or [0]
     cuts = sorted(set(cuts))
     fine = [cuts[k : k + fan] for k in range(0, len(cuts), fan)]
@@ -113,12 +114,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
     made = nexts.select("doc_id", "n_chars", "sha", "next_sha", edited.alias("edited"))
-    made = staged(made.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)))
-    texts = plain.select("sha", "text").unionByName(made.select(F.col("edited_sha256").alias("sha"), F.col("edited").alias("text")))
-    prints = staged(fingerprints(texts, "sha"))
-    named = lambda name, a, b: prints.select(F.col("sha").alias(name), F.col("fp0").alias(a), F.col("fp1").alias(b))
-    rows = made.drop("edited").join(named("sha", "fp0", "fp1"), "sha").join(named("edited_sha256", "e0", "e1"), "edited_sha256").join(named("next_sha", "n0", "n1"), "next_sha")
-    rows = staged(rows.select("doc_id", "n_chars", "edited_sha256", "fp0", "fp1", "e0", "e1", "n0", "n1"))
+    with Scratch() as stage:  # edited texts and single prints go when rows has what is needed of them
+        made = stage(made.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)))
+        texts = plain.select("sha", "text").unionByName(made.select(F.col("edited_sha256").alias("sha"), F.col("edited").alias("text")))
+        prints = stage(fingerprints(texts, "sha"))
+        named = lambda name, a, b: prints.select(F.col("sha").alias(name), F.col("fp0").alias(a), F.col("fp1").alias(b))
+        rows = made.drop("edited").join(named("sha", "fp0", "fp1"), "sha").join(named("edited_sha256", "e0", "e1"), "edited_sha256").join(named("next_sha", "n0", "n1"), "next_sha")
+        rows = stage.keep(rows.select("doc_id", "n_chars", "edited_sha256", "fp0", "fp1", "e0", "e1", "n0", "n1"))
     asked = rows.where("doc_id % 100 = 0")
     near = neighbours(rows, asked).groupBy(F.col("q0").alias("fp0"), F.col("q1").alias("fp1")).agg(F.sum("n").alias("n_near"))
     answered = asked.join(near, ["fp0", "fp1"], "left").select(*rows.columns, "n_near")

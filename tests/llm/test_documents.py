@@ -403,3 +403,55 @@ def test_ledger_takes_columns_of_any_name(spark):
     df = spark.createDataFrame([("a b c a b c", 1, "x", None)], "text string, __t int, __w string, n_words long")
     row = quality_rules.ledger(df).first()
     assert (row["__t"], row["__w"], row.n_words, row.n_repeat_words) == (1, "x", 6, 6)
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The array version of the learner against the published update, coordinate by coordinate."""
+    r = np.random.default_rng(8)
+    rows = [np.unique(r.integers(0, 40, r.integers(1, 12))) for _ in range(60)]
+    labels = np.array([float(3 in x or 7 in x) for x in rows])
+    own = toxicity.Ftrl(alpha=0.7, beta=1.3, l1=0.4, l2=0.2, epochs=3)
+    got, got_bias = own.learn(rows, labels, seed=5)
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= own.l1 else (math.copysign(own.l1, z[i]) - z[i]) / ((own.beta + math.sqrt(n[i])) / own.alpha + own.l2)
+    order = np.random.default_rng(5)
+    for _ in range(own.epochs):
+        for k in order.permutation(len(rows)):
+            at = rows[k].tolist()
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - labels[k]
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / own.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.1 * g / (1 + math.sqrt(bias_n))
+    assert got_bias == pytest.approx(bias) and got[:40] == pytest.approx([weight(i) for i in range(40)]) and not got[40:].any()
+    assert 0 < np.count_nonzero(got) < 40  # L1 leaves some at zero
+
+
+def test_features_equal_a_plain_loop():
+    import xxhash
+
+    words = [b"don't", b"stop", b"\xc3\xa9t\xc3\xa9", b"stop", b"a"]
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    wide = (1 << 64) - 1
+    p, q, r = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+    single, pairs, skips = [x * p & wide for x in h], [a * q + b * r & wide for a, b in zip(h, h[1:])], [a * r + b * p & wide for a, b in zip(h, h[2:])]
+    want = [((x ^ x >> 31) * q & wide) >> 44 for x in (*single, *pairs, *skips)]
+    assert toxicity.features("Don't STOP, \u00e9t\u00e9 stop a").tolist() == want
+
+
+def test_toxicity_of_odd_texts(spark):
+    bad, good = "you are a filthy rotten zorg", "a quiet walk along the river"
+    docs = [(k, f"{bad} {k}" if k % 2 else f"{good} {k}", "x", 1) for k in range(300)] + [(300, None, None, None), (301, "", "x", 1), (302, f"{good} " * 40_000 + bad, "x", 1), (1, f"{bad} again", "x", 1), (None, good, "x", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string, id int").withColumn("label", F.lit(0))
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(300)] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, labels, learner=toxicity.Ftrl(l1=0.5))
+    rows = toxicity.score(df, model).collect()
+    assert len(rows) == len(docs) and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id is not None and r.doc_id < 300)
+    none = {r.doc_id: r.score for r in rows if r.doc_id in (300, 301)}
+    assert none[300] == none[301] and not toxicity.score(df.limit(0), model).count()
+    blank = toxicity.train(df.limit(0), labels)
+    assert {r.score for r in toxicity.score(df, blank).collect()} == {0.5}
