@@ -93,14 +93,15 @@ def as_of(rows: DataFrame, tariff: DataFrame, *lags: int) -> DataFrame:
 
     Rows and tariffs of a household are put in one order of days and the last tariff is looked up from there: one
     shuffle by household for all lags, and work in proportion to rows and tariffs, however sparse these are."""
-    terms = F.struct(*[c for c in tariff.columns if c != "household_id"])
-    dated = tariff.groupBy("household_id", "effective_date").agg(F.min(terms).alias("terms"), F.count("*").alias("n"))
-    held = F.struct("terms.*", F.col("n").alias("rows_in_force"))
-    known = dated.select("household_id", F.unix_date("effective_date").alias("day"), held.alias("tariff"), F.lit(None).cast(rows.schema).alias("row"))
-    asked = rows.select("household_id", F.unix_date("sim_date").alias("day"), F.lit(None).cast(known.schema["tariff"].dataType).alias("tariff"), F.struct(*rows.columns).alias("row"))
-    order = Window.partitionBy("household_id").orderBy("day")
-    found = {f"tariff_{lag}": F.last("tariff", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -lag)) for lag in lags}
-    return known.unionByName(asked).select("row", *[c.alias(n) for n, c in found.items()]).where("row IS NOT NULL").select("row.*", *found)
+    day = Window.partitionBy("household_id").orderBy("day")
+    held = F.struct(*[c for c in tariff.columns if c != "household_id"])
+    known = tariff.select("household_id", F.unix_date("effective_date").alias("day"), held.alias("terms"), F.lit(None).cast(rows.schema).alias("row"))
+    empty = F.lit(None).cast(known.schema["terms"].dataType).alias("terms")
+    asked = rows.select("household_id", F.unix_date("sim_date").alias("day"), empty, F.struct(*rows.columns).alias("row"))
+    both = known.unionByName(asked).withColumn("n", F.count("terms").over(day.rangeBetween(0, 0)))
+    both = both.withColumn("tariff", F.when(F.col("terms").isNotNull(), F.struct("terms.*", F.col("n").alias("rows_in_force"))))
+    found = {f"tariff_{lag}": F.last("tariff", ignorenulls=True).over(day.rangeBetween(Window.unboundedPreceding, -lag)) for lag in lags}
+    return both.select("row", *[c.alias(n) for n, c in found.items()]).where("row IS NOT NULL").select("row.*", *found)
 
 
 def fault(held: str, where: Column | None = None) -> Column:

@@ -15,14 +15,20 @@ _KEY = ["household_id", "sim_date"]
 def _effects(paired: DataFrame) -> DataFrame:
     """From S, B and C (speed_estimate, batch_final, at_own_tariff) the gap, its share of B's gross charges, and its
     parts: tariff_effect = S - C, data_effect = C - B."""
-    gap = F.abs(F.col("speed_estimate") - F.col("batch_final")).cast(MONEY)
     return paired.select(
-        *_KEY, "speed_estimate", "batch_final", gap.alias("abs_divergence"), pct_divergence(gap, F.col("b_energy"), F.col("b_fixed")).alias("pct_divergence"),
+        *_KEY, "speed_estimate", "batch_final", *gaps(),
         (F.col("speed_estimate") - F.col("at_own_tariff")).cast(MONEY).alias("tariff_effect"), (F.col("at_own_tariff") - F.col("batch_final")).cast(MONEY).alias("data_effect"),
         "speed_kwh", "batch_kwh",
     )
 
 
+def gaps() -> list[Column]:
+    """abs_divergence and pct_divergence of S and B; null where one of them is."""
+    gap = F.abs(F.col("speed_estimate") - F.col("batch_final")).cast(MONEY)
+    share = F.when(gap.isNotNull(), pct_divergence(gap, F.col("b_energy"), F.col("b_fixed")))
+    return [gap.alias("abs_divergence"), share.alias("pct_divergence")]
+
+
 def reconciliation(speed: DataFrame, batch: DataFrame, tariff: DataFrame) -> DataFrame:
     """Matched household days with S (estimate), B (final bill) and C (speed energy at the tariff in force on the day):
     tariff_effect = S - C, data_effect = C - B; the percentage is of B's gross charges. A matched household without a
@@ -54,7 +60,13 @@ def priced_layers(layers: DataFrame, tariff: DataFrame) -> DataFrame:
 def reconciled_layers(priced: DataFrame) -> DataFrame:
     """The reconciliation of those household days of priced_layers that have both bills."""
     both = priced.where("bill IS NOT NULL AND estimate IS NOT NULL")
-    return _effects(both.select(*_KEY, F.col("estimate").alias("speed_estimate"), F.col("bill.total").alias("batch_final"), F.col("own").alias("at_own_tariff"), F.col("bill.energy_charge").alias("b_energy"), F.col("bill.fixed_charge").alias("b_fixed"), "speed_kwh", "batch_kwh"))
+    return _effects(both.select(*_KEY, *sides(), "speed_kwh", "batch_kwh"))
+
+
+def sides() -> list[Column]:
+    """S, B, C and B's charges of a row of priced_layers; null where it has no such bill."""
+    named = {"speed_estimate": "estimate", "batch_final": "bill.total", "at_own_tariff": "own", "b_energy": "bill.energy_charge", "b_fixed": "bill.fixed_charge"}
+    return [F.col(c).alias(n) for n, c in named.items()]
 
 
 def unmatched(priced: DataFrame) -> DataFrame:
@@ -64,8 +76,8 @@ def unmatched(priced: DataFrame) -> DataFrame:
 
 
 def mean(name: str, places: int):
-    """Mean of a decimal column, half up."""
-    return F.round(F.sum(F.col(name)) / F.count(name), places)
+    """Mean of a decimal column, half up; null without values."""
+    return F.round(F.sum(F.col(name)) / F.nullif(F.count(name), F.lit(0).cast("long")), places)
 
 
 def shortfall(speed: Column, batch: Column) -> Column:

@@ -124,18 +124,24 @@ def tier_utilisation(tiers: DataFrame, width: Column) -> DataFrame:
     return bounded.withColumn("used_pct", F.round(F.col("kwh") / width * 100, 2).cast("decimal(7,2)"))
 
 
-def daily_report(bills: DataFrame, zone_days: DataFrame, reconciled: DataFrame, runs: DataFrame, marked: DataFrame) -> DataFrame:
+def daily_report(priced: DataFrame, zone_days: DataFrame, runs: DataFrame, marked: DataFrame) -> DataFrame:
     """A row for each day that has a run, bills or zone rows: what the report shows, with nulls for parts that are not
-    there, and flags that tell which are. Each part is aggregated by day by itself; the few rows of all parts meet in
-    one aggregation, not in joins."""
+    there, and flags that tell which are. Bills and their reconciliation come from one pass over priced household days
+    (reconcile.priced_layers). Each part is aggregated by day by itself; the few rows of all parts meet in one
+    aggregation, not in joins."""
     day = F.to_date("event_ts").alias("sim_date")
+    some = lambda n: F.nullif(n, F.lit(0).cast("long"))
+    rows = priced.select("sim_date", *reconcile.sides(), *[F.when(F.col("bill").isNotNull(), F.col(c)).alias(c) for c in ("batch_kwh", "readings_count")])
+    rows = rows.select("sim_date", "batch_final", "batch_kwh", "readings_count", *reconcile.gaps())
     parts = [
-        bills.groupBy("sim_date").agg(F.count("*").alias("bills"), F.sum("final_bill").cast(AMOUNT).alias("billed"), F.sum("consumption_kwh").cast(TOTAL).alias("kwh"), F.sum("readings_count").alias("readings")),
+        rows.groupBy("sim_date").agg(
+            some(F.count("batch_final")).alias("bills"), F.sum("batch_final").cast(AMOUNT).alias("billed"), F.sum("batch_kwh").cast(TOTAL).alias("kwh"), F.sum("readings_count").alias("readings"),
+            some(F.count("abs_divergence")).alias("reconciled"), reconcile.mean("abs_divergence", 2).alias("mean_abs"), reconcile.mean("pct_divergence", 3).alias("mean_pct"),
+        ),
         zone_days.groupBy("sim_date").agg(F.count("*").alias("zones"), F.sum("total_consumption_kwh").cast(TOTAL).alias("zone_kwh")),
-        reconciled.groupBy("sim_date").agg(F.count("*").alias("reconciled"), reconcile.mean("abs_divergence", 2).alias("mean_abs"), reconcile.mean("pct_divergence", 3).alias("mean_pct")),
         runs.groupBy("sim_date").agg(F.count("*").alias("runs"), F.bool_or(F.col("status") == "superseded").alias("restated"), F.bool_or((F.col("status") == "success") & (F.col("layer") == "batch")).alias("finalised")),
         marked.where("reason IS NOT NULL").groupBy(day).agg(F.count("*").alias("rejected")),
-    ]
+    ]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part, allowMissingColumns=True)

@@ -275,7 +275,7 @@ def latencies(w: World) -> DataFrame:
 
 
 def report(w: World) -> DataFrame:
-    return summaries.daily_report(w.bills, w.zone_days, w.reconciled, w.runs, w.marked)
+    return summaries.daily_report(w.priced, w.zone_days, w.runs, w.marked)
 
 
 def day_check(w: World) -> DataFrame:
