@@ -85,7 +85,11 @@ class RunLedger:
         self.change(decide)
 
     def fail(self, run_id: str, day, layer: str = "batch", rows_in: int | None = None) -> None:
-        self.change(lambda runs: [(run_id, day, layer, "failed", rows_in, None)])
+        self.fail_all({day: run_id}, layer, {day: rows_in})
+
+    def fail_all(self, ended: dict, layer: str = "batch", rows_in: dict | None = None) -> None:
+        """Runs (sim_date to run_id) fail, all at once."""
+        self.change(lambda runs: [(run_id, day, layer, "failed", (rows_in or {}).get(day), None) for day, run_id in ended.items()])
 
     def succeed(self, run_id: str, day, rows_in: int, rows_out: int, layer: str = "batch") -> None:
         """The run counts from now on, and the day's run that counted until now is superseded, both at once."""
@@ -129,7 +133,7 @@ def publish_days(ledger: RunLedger, root: str, runs: dict, tables: dict[str, Dat
         if written:
             made = {str(r["sim_date"]): r["n"] for r in ledger.spark.read.parquet(*written).groupBy("sim_date").agg(F.count("*").alias("n")).collect()}
     except BaseException:  # an interrupt, too, must not leave runs that never end
-        ledger.change(lambda _: [(run_id, day, layer, "failed", rows_in.get(day), None) for day, run_id in runs.items()])
+        ledger.fail_all(runs, layer, rows_in)
         raise
     ledger.succeed_all([(run_id, day, rows_in.get(day), made.get(str(day), 0)) for day, run_id in runs.items()], layer)
 

@@ -550,7 +550,7 @@ ENTRIES: dict[str, Entry] = {
         "epoch_us(TIMESTAMP '2024-01-01')) // 288 AS since_end FROM windows) CROSS JOIN anchor",
         {"anchor": "SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows"},
     ),
-    "finalised_days": Entry(lambda w: ledger.finalised_days(w.runs), "sim_date:d", "finalised"),
+    "finalised_days": Entry(lambda w: ledger.finalised_days(Lake(w).booked), "sim_date:d", "finalised"),
     "merged_bills": Entry(
         lambda w: serving.merged_bills(w.priced, ledger.finalised_days(w.runs)),
         "household_id; sim_date:d; total:n; provisional; tariff_date:d; readings_count:i",
@@ -666,12 +666,12 @@ ENTRIES: dict[str, Entry] = {
         "(SELECT max(window_start) AS newest, count(*) AS n FROM windows)",
     ),
     "newest_billed_day": Entry(
-        lambda w: summaries.newest_billed_day(w.runs),
+        lambda w: summaries.newest_billed_day(Lake(w).booked),
         "sim_date:d",
         "(SELECT max(sim_date) AS sim_date FROM finalised)",
     ),
     "ledger_status_counts": Entry(
-        lambda w: summaries.status_counts(w.runs),
+        lambda w: summaries.status_counts(Lake(w).booked),
         "status; n:i",
         "(SELECT status, count(*) AS n FROM runs GROUP BY 1)",
     ),

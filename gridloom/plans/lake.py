@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cached_property
@@ -20,11 +22,13 @@ from gridloom.sources.readings import Layout
 def scratch(w: World) -> str:
     """A new folder that the driver and all executors share."""
     root = w.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not w.spark.sparkContext.master.startswith("local") or "cluster" in w.spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    if root:
+        return f"{root.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    if not w.spark.sparkContext.master.startswith("local") or "cluster" in w.spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 class Lake:
@@ -78,23 +82,46 @@ class Lake:
         totals = self.totals.join(F.broadcast(days), "sim_date", "left_semi")
         publish_days(self.ledger, self.layout.root, runs, {"bills": billing.daily_bills(totals, own, days)}, "bills")
 
+    def runs(self) -> tuple[dict, dict, dict, dict]:
+        """The runs of each day but the last (sim_date to run_id): first runs that fail, those that succeed at first or
+        on repetition, restatements; and the last day's run, which does not end."""
+        days = [r["sim_date"] for r in self.w.open_days.orderBy("sim_date").collect()]
+        name = lambda day, n: f"run-{day}-{n}"
+        failed = {day: name(day, 1) for d, day in enumerate(days[:-1]) if d % 7 == 3}
+        first = {day: name(day, 2 if day in failed else 1) for day in days[:-1]}
+        again = {day: name(day, 9) for d, day in enumerate(days[:-1]) if d % 5 == 0}
+        return failed, first, again, {day: name(day, 1) for day in days[-1:]}
+
+    def failed_runs(self, failed: dict) -> None:
+        if failed:
+            self.ledger.start_all(failed)
+            self.ledger.fail_all(failed)
+
     @cached_property
     def published(self) -> str:
         """Bills of all days but the last one: some days' first run fails and is repeated, some are restated with a
         higher block 1."""
-        days = [r["sim_date"] for r in self.w.open_days.orderBy("sim_date").collect()][:-1]
-        name = lambda day, n: f"run-{day}-{n}"
-        failed = [day for d, day in enumerate(days) if d % 7 == 3]
-        if failed:
-            self.ledger.change(lambda _: [(name(day, 1), day, "batch", state, None, None) for day in failed for state in ("running", "failed")])
-        first = {day: name(day, 2 if d % 7 == 3 else 1) for d, day in enumerate(days)}
-        again = {day: name(day, 9) for d, day in enumerate(days) if d % 5 == 0}
+        failed, first, again, _ = self.runs()
+        self.failed_runs(failed)
         if first:
             self.bill(first, self.w.tariff_all)
         if again:
             self.bill(again, self.w.tariff_all.withColumn("block_1_rate", (F.col("block_1_rate") + 1).cast("decimal(12,2)")))
         return self.layout.root
 
+    @cached_property
+    def booked(self) -> DataFrame:
+        """What the ledger tells when these runs, and the last day's, have been entered one after the other."""
+        failed, first, again, last = self.runs()
+        self.failed_runs(failed)
+        for runs in (first, again):
+            if runs:
+                self.ledger.start_all(runs)
+                self.ledger.succeed_all([(run_id, day, 1000, 100) for day, run_id in runs.items()])
+        if last:
+            self.ledger.start_all(last)
+        return self.ledger.runs()
+
 
 def published_rollup(w: World, day) -> tuple[Lake, DataFrame]:
     """The windows that are left when the zone days until a day have been published."""
