@@ -13,7 +13,7 @@ from gridloom.functions import clock, latency, rules
 from gridloom.functions.tariff import block_rows, netting, slabs, tier_json
 from gridloom.operators import alerts, billing, ledger, reconcile, rollups, serving, simulate, summaries
 from gridloom.plans import oracle
-from gridloom.plans.lake import Lake, published_rollup, scratch
+from gridloom.plans.lake import lake, published_rollup, scratch
 from gridloom.plans.world import World, presentable
 from gridloom.sources import readings as log
 from gridloom.sources import sinks
@@ -207,27 +207,27 @@ def parse(w: World) -> DataFrame:
 
 def archived(w: World) -> DataFrame:
     """What the archive holds, by its folders."""
-    return w.spark.read.parquet(Lake(w).raw).groupBy("sim_date", "hour").agg(F.count("*").alias("readings"))
+    return w.spark.read.parquet(lake(w).raw).groupBy("sim_date", "hour").agg(F.count("*").alias("readings"))
 
 
 def pending(w: World) -> DataFrame:
     """From the names of tariff files and of the archive's folders."""
-    lake = Lake(w)
-    _ = lake.raw, lake.landing  # written now
-    return log.pending_days(w.spark, lake.layout)
+    files = lake(w)
+    _ = files.raw, files.landing  # written now
+    return log.pending_days(w.spark, files.layout)
 
 
 def restated(w: World) -> DataFrame:
     """Bills of the runs that count, as published: written run by run, some failed, some superseded."""
-    lake = Lake(w)
-    return ledger.published(lake.ledger, lake.published, "bills")
+    files = lake(w)
+    return ledger.published(files.ledger, files.published, "bills")
 
 
 def repriced(w: World) -> DataFrame:
     """Every run's bills again, superseded ones too, from the tariff that the run archived."""
-    lake = Lake(w)
-    held = sinks.archived_tariffs(w.spark, lake.published)
-    rows = held.join(lake.totals, ["household_id", "sim_date"], "left")
+    files = lake(w)
+    held = sinks.archived_tariffs(w.spark, files.published)
+    rows = held.join(files.totals, ["household_id", "sim_date"], "left")
     zero = {"consumption_kwh": F.lit(0).cast(KWH), "solar_kwh": F.lit(0).cast(KWH)}
     return billing.price(rows.withColumns({n: F.coalesce(n, z) for n, z in zero.items()}), "final_bill")
 
@@ -333,7 +333,7 @@ ENTRIES: dict[str, Entry] = {
         "(SELECT *, event_id % 97 <> 0 AS ok FROM readings))",
     ),
     "read_day": Entry(
-        lambda w: log.read_day(w.spark, Lake(w).raw, DAY),
+        lambda w: log.read_day(w.spark, lake(w).raw, DAY),
         _READING + "; ingest_ts:t",
         f"raw WHERE CAST(event_ts AS DATE) = DATE '{DAY}'",
     ),
@@ -393,7 +393,7 @@ ENTRIES: dict[str, Entry] = {
         "DAY)) AS DATE) AS sim_date)",
     ),
     "pending_days": Entry(pending, "sim_date:d", "days WHERE sim_date IN (SELECT CAST(event_ts AS DATE) FROM raw)"),
-    "tariff_files": Entry(lambda w: Lake(w).tariff, _TARIFF, "tariff_all"),
+    "tariff_files": Entry(lambda w: lake(w).tariff, _TARIFF, "tariff_all"),
     "tick_grid": Entry(
         ticks,
         "tick:i; readings:i; due_ts:t=TIMESTAMP '2024-06-01 00:00:00' + to_seconds(CAST(tick * 2 AS BIGINT))",
@@ -550,7 +550,7 @@ ENTRIES: dict[str, Entry] = {
         "epoch_us(TIMESTAMP '2024-01-01')) // 288 AS since_end FROM windows) CROSS JOIN anchor",
         {"anchor": "SELECT CAST(min(epoch_us(updated_at) - (epoch_us(window_start) - epoch_us(TIMESTAMP '2024-01-01')) // 288) AS BIGINT) AS us FROM windows"},
     ),
-    "finalised_days": Entry(lambda w: ledger.finalised_days(Lake(w).booked), "sim_date:d", "finalised"),
+    "finalised_days": Entry(lambda w: ledger.finalised_days(lake(w).booked), "sim_date:d", "finalised"),
     "merged_bills": Entry(
         lambda w: serving.merged_bills(w.priced, ledger.finalised_days(w.runs)),
         "household_id; sim_date:d; total:n; provisional; tariff_date:d; readings_count:i",
@@ -666,12 +666,12 @@ ENTRIES: dict[str, Entry] = {
         "(SELECT max(window_start) AS newest, count(*) AS n FROM windows)",
     ),
     "newest_billed_day": Entry(
-        lambda w: summaries.newest_billed_day(Lake(w).booked),
+        lambda w: summaries.newest_billed_day(lake(w).booked),
         "sim_date:d",
         "(SELECT max(sim_date) AS sim_date FROM finalised)",
     ),
     "ledger_status_counts": Entry(
-        lambda w: summaries.status_counts(Lake(w).booked),
+        lambda w: summaries.status_counts(lake(w).booked),
         "status; n:i",
         "(SELECT status, count(*) AS n FROM runs GROUP BY 1)",
     ),

@@ -41,7 +41,7 @@ class Lake:
     def raw(self) -> str:
         """The archive of all readings, by day and hour."""
         out = log.with_partitions(self.w.raw).repartition("sim_date", "hour")
-        out.write.partitionBy("sim_date", "hour").parquet(self.layout.raw())
+        out.write.mode("overwrite").partitionBy("sim_date", "hour").parquet(self.layout.raw())
         return self.layout.raw()
 
     @cached_property
@@ -49,7 +49,7 @@ class Lake:
         """A tariff CSV for each day, the day before the first reading included: folders named like the files."""
         made = f"{self.layout.root}/made"
         text = self.w.tariff_all.withColumn("day", F.col("effective_date").cast("string"))
-        text.repartition("day").write.option("header", "true").partitionBy("day").csv(made)
+        text.repartition("day").write.option("header", "true").partitionBy("day").mode("overwrite").csv(made)
         for name in files.names(self.w.spark, made):
             if name.startswith("day="):
                 files.move(self.w.spark, f"{made}/{name}", self.layout.landing("tariff", name[4:]))
@@ -64,7 +64,7 @@ class Lake:
     def totals(self) -> DataFrame:
         """Household days, written once."""
         path = f"{self.layout.root}/totals"
-        self.w.totals.write.parquet(path)
+        self.w.totals.write.mode("overwrite").parquet(path)
         return self.w.spark.read.parquet(path)
 
     @cached_property
@@ -92,17 +92,18 @@ class Lake:
         again = {day: name(day, 9) for d, day in enumerate(days[:-1]) if d % 5 == 0}
         return failed, first, again, {day: name(day, 1) for day in days[-1:]}
 
-    def failed_runs(self, failed: dict) -> None:
+    @staticmethod
+    def failed_runs(book: RunLedger, failed: dict) -> None:
         if failed:
-            self.ledger.start_all(failed)
-            self.ledger.fail_all(failed)
+            book.start_all(failed)
+            book.fail_all(failed)
 
     @cached_property
     def published(self) -> str:
         """Bills of all days but the last one: some days' first run fails and is repeated, some are restated with a
         higher block 1."""
         failed, first, again, _ = self.runs()
-        self.failed_runs(failed)
+        self.failed_runs(self.ledger, failed)
         if first:
             self.bill(first, self.w.tariff_all)
         if again:
@@ -112,15 +113,24 @@ class Lake:
     @cached_property
     def booked(self) -> DataFrame:
         """What the ledger tells when these runs, and the last day's, have been entered one after the other."""
+        book = RunLedger(self.w.spark, f"{self.layout.root}/booked")
         failed, first, again, last = self.runs()
-        self.failed_runs(failed)
+        self.failed_runs(book, failed)
         for runs in (first, again):
             if runs:
-                self.ledger.start_all(runs)
-                self.ledger.succeed_all([(run_id, day, 1000, 100) for day, run_id in runs.items()])
+                book.start_all(runs)
+                book.succeed_all([(run_id, day, 1000, 100) for day, run_id in runs.items()])
         if last:
-            self.ledger.start_all(last)
-        return self.ledger.runs()
+            book.start_all(last)
+        return book.runs()
+
+
+_lakes: dict[tuple[str, str], Lake] = {}
+
+
+def lake(w: World) -> Lake:
+    """The files of a data folder: written once in an application, read by all queries that ask for them."""
+    return _lakes.setdefault((w.spark.sparkContext.applicationId, w.dir), Lake(w))
 
 
 def published_rollup(w: World, day) -> tuple[Lake, DataFrame]:
