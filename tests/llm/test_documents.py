@@ -455,3 +455,38 @@ def test_toxicity_of_odd_texts(spark):
     assert none[300] == none[301] and not toxicity.score(df.limit(0), model).count()
     blank = toxicity.train(df.limit(0), labels)
     assert {r.score for r in toxicity.score(df, blank).collect()} == {0.5}
+
+
+def test_personal_data_of_odd_rows(spark):
+    long = "x " * 100_000 + "write to a.b@mail.example.com now"
+    rows = [(1, long, "a"), (2, None, None), (2, "ip 10.0.0.1", "b"), (2, "ip 10.0.0.1", "b"), (None, "ip 10.0.0.1", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, personal_data string").withColumn("spans", F.lit("x"))
+    got = [(r.doc_id, r.text) for r in personal_data.redact(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "x " * 100_000 + "write to [EMAIL] now"), (2, None), (2, "ip [IP]"), (2, "ip [IP]"), (None, "ip [IP]")], key=str)
+    assert not personal_data.redact(df.limit(0)).count()
+
+
+def test_fingerprints_of_repeated_ids_and_clashing_names(spark):
+    r = random.Random(6)
+    rows = [(7, prose(r.randint(5, 60), r), "x", 1, "y") for _ in range(40)] + [(k, prose(30, r), "x", 1, "y") for k in (1, 7, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sha string, fp0 int, __row string").withColumn("next_sha", F.lit(1))
+    got = doc_fingerprints.edited_pairs(df).collect()
+    assert len(got) == len(rows) and sum(x.doc_id == 7 for x in got) == 41
+    assert all(0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 and len(x.fingerprint) == 32 for x in got)
+    plain = {(x.doc_id, x.n_chars, x.fingerprint, x.edited_sha256) for x in doc_fingerprints.edited_pairs(df.select("doc_id", "text")).collect()}
+    assert plain == {(x.doc_id, x.n_chars, x.fingerprint, x.edited_sha256) for x in got}
+
+
+def test_a_shingle_of_many_classes_and_very_long_texts(spark):
+    """A sentence that three hundred texts share links none of them; two long texts with few edits are linked."""
+    r = random.Random(12)
+    shared = "this very sentence stands in all of these texts"
+    rows = [(k, prose(r.randint(20, 60), r) + " " + shared) for k in range(300)]
+    long = prose(60_000, r).split(" ")
+    other = list(long)
+    for at in range(0, len(long), 2000):
+        other[at] = "zz"
+    rows += [(300, " ".join(long)), (301, " ".join(other)), (302, " ".join(reversed(long)))]
+    got = {x.doc_id: x for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[301].component_id == 300 and all(x.component_id == k for k, x in got.items() if k != 301)
+    assert got[300].n_shingles == len(shingle_set(rows[300][1]))

@@ -111,3 +111,24 @@ def test_packed_pieces_make_up_the_documents(spark):
         windows[r.sequence_id] = r.offset + r.length
     assert all(n <= 2048 and not n & (n - 1) for n in windows.values())
     assert pack(odd(spark).limit(0), WORDS).count() == 0
+
+
+def test_pools_that_overflow_and_many_partitions(spark, monkeypatch):
+    """Every id lies in one piece, windows are gapless and full but for powers of two, whatever the pool holds."""
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module("gridloom.llm.pack_windows"), "POOL_IDS", 5000)
+    r = random.Random(4)
+    docs = [(k, " ".join(r.choice(("word", "day", "xyzzy", "é")) for _ in range(r.randint(0, 900)))) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = pack(df, WORDS).collect()
+    own = WordTokenizer(WORDS)
+    sizes, seen, windows = {k: len(own([t])[0]) + 1 for k, t in docs}, {}, {}
+    for x in sorted(rows, key=lambda x: (x.doc_id, x.start)):
+        assert x.start == seen.get(x.doc_id, 0) and x.doc_tokens == sizes[x.doc_id]
+        seen[x.doc_id] = x.start + x.length
+    assert seen == sizes
+    for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == windows.get(x.sequence_id, 0)
+        windows[x.sequence_id] = x.offset + x.length
+    assert all(n <= 2048 and not n & (n - 1) for n in windows.values()) and len(windows) > sum(sizes.values()) // 2048
