@@ -490,3 +490,13 @@ def test_a_shingle_of_many_classes_and_very_long_texts(spark):
     got = {x.doc_id: x for x in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[301].component_id == 300 and all(x.component_id == k for k, x in got.items() if k != 301)
     assert got[300].n_shingles == len(shingle_set(rows[300][1]))
+
+
+def test_long_lines_have_few_line_blocks(spark):
+    r = random.Random(32)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(200)]
+    common = [" ".join(r.choice(("of", "the", "a", "in", "to")) for _ in range(17)) + f" {k}end" for k in range(200)]
+    blocks = lambda x: line_dedup._blocks(spark.createDataFrame(list(enumerate(x)), "h long, norm string"), False)
+    assert blocks(lines).count() < 0.37 * 200 * 60
+    sizes = [row["count"] for row in blocks(common).where("h >= 0").groupBy("key").count().collect()]
+    assert max(sizes) < 200
