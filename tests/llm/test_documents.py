@@ -500,3 +500,20 @@ def test_long_lines_have_few_line_blocks(spark):
     assert blocks(lines).count() < 0.37 * 200 * 60
     sizes = [row["count"] for row in blocks(common).where("h >= 0").groupBy("key").count().collect()]
     assert max(sizes) < 200
+
+
+def test_line_texts_are_staged_once_and_letters_are_counted(spark, monkeypatch):
+    r = random.Random(5)
+    lines = [prose(n, r) for n in (8, 20, 40) for _ in range(4)]
+    rows = list(enumerate(lines + [x.replace("e", "é", 1) for x in lines] + ["zz top! 日本", "e" * 300]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = []
+    call = line_dedup.Scratch.__call__
+    monkeypatch.setattr(line_dedup.Scratch, "__call__", lambda self, x: texts.append("norm" in x.columns) or call(self, x))
+    assert line_dedup.duplicate_lines(df).count() == len(lines) and sum(texts) == 1
+    norms = line_dedup._lines(df)
+    of = {x.h: x.norm for x in norms.collect()}
+    for x in line_dedup._lettered(norms).collect():
+        counts = b"".join(c.to_bytes(7 if k < 3 else 5, "little") for k, c in enumerate((x.c0, x.c1, x.c2, x.c3)))
+        assert list(counts) == [min(255, of[x.h].count(c)) for c in line_dedup._COMMON]
+        assert x.rare == "".join(c for c in of[x.h] if c not in " " + line_dedup._COMMON[: line_dedup._DENSE]) and x.size == len(of[x.h])
