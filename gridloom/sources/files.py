@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -45,6 +46,8 @@ def put_new(spark: SparkSession, path: str, data: bytes) -> bool:
     fs, where = _at(spark, path)
     if fs.exists(where):
         return False
+    if fs.getUri().getScheme() == "file":
+        return _link_new(fs.makeQualified(where).toUri().getPath(), data)
     draft = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
     put(spark, draft, data)
     jvm = spark._jvm
@@ -60,6 +63,26 @@ def put_new(spark: SparkSession, path: str, data: bytes) -> bool:
     return True
 
 
+def _link_new(path: str, data: bytes) -> bool:
+    """put_new on a local disk: Hadoop's rename looks and then replaces, in two steps and once more for the checksum, so
+    two writers can both be first; a link is made in one step or not at all, and has no checksum file."""
+    folder = os.path.dirname(path)
+    os.makedirs(folder, exist_ok=True)
+    draft = f"{folder}/.{uuid.uuid4().hex}"
+    try:
+        with open(draft, "xb") as out:
+            out.write(data)
+            out.flush()
+            os.fsync(out.fileno())
+        os.link(draft, path)
+    except FileExistsError:
+        return False
+    finally:
+        if os.path.exists(draft):
+            os.unlink(draft)
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)

@@ -24,6 +24,24 @@ def test_small_files(spark, tmp_path):
         files.get(spark, path)
 
 
+def test_of_many_writers_of_one_name_one_is_first(spark, tmp_path):
+    for k in range(15):
+        path, won, ready = f"{tmp_path}/w/{k}.json", [], threading.Barrier(8)
+
+        def write(n, path=path, won=won, ready=ready):
+            ready.wait(60)
+            if files.put_new(spark, path, f"writer {n} ".encode() * (n + 1)):
+                won.append(n)
+
+        threads = [threading.Thread(target=write, args=(n,)) for n in range(8)]
+        [t.start() for t in threads]
+        [t.join(60) for t in threads]
+        assert len(won) == 1 and files.get(spark, path).decode() == f"writer {won[0]} " * (won[0] + 1)
+        assert spark.read.text(path).count() == 1
+    # a checksum file would be published in a step of its own, so that readers and the other writers see a half
+    assert sorted(p.name for p in (tmp_path / "w").iterdir()) == sorted(f"{k}.json" for k in range(15))
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "zone string, at timestamp, v int")
 
