@@ -517,3 +517,17 @@ def test_line_texts_are_staged_once_and_letters_are_counted(spark, monkeypatch):
         counts = b"".join(c.to_bytes(7 if k < 3 else 5, "little") for k, c in enumerate((x.c0, x.c1, x.c2, x.c3)))
         assert list(counts) == [min(255, of[x.h].count(c)) for c in line_dedup._COMMON]
         assert x.rare == "".join(c for c in of[x.h] if c not in " " + line_dedup._COMMON[: line_dedup._DENSE]) and x.size == len(of[x.h])
+
+
+def test_unrelated_lines_of_one_language_are_told_apart_by_their_short_forms(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(("th", "er", "on", "an", "in", "re", "ed", "nd", "ha", "es", "st", "en", "at", "ti", "or", "ble", "tion", "ly", "wh", "ou")) for _ in range(r.choice((1, 1, 2, 3))))
+    lines = [" ".join(word() for _ in range(n)) for n in (30, 60, 90) for _ in range(40)]
+    edited = ["".join(r.choice("eta") if c != " " and r.random() < 0.08 else c for c in x) for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines + edited)), "h long, norm string")
+    short, n = line_dedup._lettered(df), len(lines)
+    other = spark.createDataFrame([(a, b) for k in range(0, n, 40) for a in range(k, k + 40) for b in range(k, a)], "a long, b long")
+    assert line_dedup._near(other, short, True).count() < 0.02 * other.count()
+    copies = [(k, n + k) for k in range(n) if levenshtein(lines[k], edited[k]) <= max(len(lines[k]), len(edited[k])) // 10]
+    got = {(x.a, x.b) for known in (True, False) for x in line_dedup._near(spark.createDataFrame(copies, "a long, b long"), short, known).collect()}
+    assert len(copies) > 60 and got == set(copies)
